@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import exact_dedup, quality, shards, simhash
 
-MODULES = [exact_dedup, simhash]
+MODULES = [exact_dedup, quality, shards, simhash]
 
 
 def queries() -> dict:
