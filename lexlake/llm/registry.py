@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality, shards, simhash
+from . import chat, exact_dedup, quality, shards, simhash
 
-MODULES = [exact_dedup, quality, shards, simhash]
+MODULES = [chat, exact_dedup, quality, shards, simhash]
 
 
 def queries() -> dict:
