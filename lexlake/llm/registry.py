@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, quality, shards, simhash
+from . import bpe, chat, exact_dedup, packing, quality, shards, simhash
 
-MODULES = [chat, exact_dedup, quality, shards, simhash]
+MODULES = [chat, quality, shards, packing, exact_dedup, bpe, simhash]
 
 
 def queries() -> dict:
