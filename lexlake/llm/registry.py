@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, packing, quality, shards, simhash
+from . import bpe, chat, exact_dedup, langid, licenses, packing, pii, quality, shards, simhash
 
-MODULES = [chat, quality, shards, packing, exact_dedup, bpe, simhash]
+MODULES = [chat, langid, quality, licenses, shards, packing, exact_dedup, bpe, pii, simhash]
 
 
 def queries() -> dict:
