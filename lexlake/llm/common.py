@@ -20,15 +20,23 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df through the folder in spark.checkpoint.dir, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
 
     A folder of this machine is set only where the session names none (local tests).
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
+        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        known = context._jsc.sc().getCheckpointDir()
+    return known.get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of df through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

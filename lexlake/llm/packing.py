@@ -125,7 +125,7 @@ def _pack_groups(pieces: DataFrame, per_group: int, base: int, capacity: Capacit
     """row_id, length, sequence_id, offset, filled; groups are numbered from base, a sequence by its group and bin."""
     groups = max(1, round(pieces.count() / per_group))
 
-    def run(key, batch: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("row_id", ignore_index=True)
         bins, offsets = best_fit(batch["length"].to_numpy(), capacity, score)
         filled = np.bincount(bins, batch["length"].to_numpy()).astype(np.int64)[bins] if len(bins) else bins

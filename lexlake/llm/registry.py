@@ -8,8 +8,13 @@ MODULES = [chat, langid, quality, licenses, shards, packing, exact_dedup, bpe, p
 
 
 def queries() -> dict:
-    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
+    import corpus_pipeline
+
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
+    import corpus_pipeline
+
+    sql = {name: sql for module in MODULES for name, sql in module.SQL.items()}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
