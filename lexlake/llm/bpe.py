@@ -185,8 +185,9 @@ class WordCache:
 
     def __init__(self, path: str, value, limit: int = CACHE_WORDS):
         self.encoder, self._value, self._limit = encoder(path), value, limit
-        self._known: dict = {i: value(np.array([i], "<u4")) for i in self.encoder.special.values()}
-        self._specials = dict(self._known)
+        self._known: dict = {}
+        self._specials = {i: value(np.array([i], "<u4")) for i in self.encoder.special.values()}
+        self._known.update(self._specials)
 
     def lookup(self, words: list) -> list:
         values = list(map(self._known.get, words))
@@ -221,12 +222,24 @@ class WordCache:
             at += len(words)
 
 
+@lru_cache(maxsize=2)
+def word_bytes(path: str) -> WordCache:
+    """Words as little-endian ids. One for each Python worker, which Spark keeps from task to task."""
+    return WordCache(path, lambda ids: ids.tobytes())
+
+
+@lru_cache(maxsize=2)
+def word_strings(path: str) -> WordCache:
+    """Words as (number of ids, ids in decimal, tokens), for each Python worker."""
+    decode = encoder(path).decode
+    return WordCache(path, lambda ids: (len(ids), " ".join(map(str, x := ids.tolist())), decode(x)))
+
+
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the decimal ids and of the decoded text of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
-        cache = WordCache(path, lambda ids: (len(ids), " ".join(map(str, x := ids.tolist())), coder.decode(x)))
+        cache = word_strings(path)
         for batch in batches:
             n = batch.num_rows
             count = [0] * n
@@ -250,7 +263,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
     """docs with the array of ids of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(path, lambda ids: ids.tobytes())
+        cache = word_bytes(path)
         for batch in batches:
             parts: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
             for k, values in cache.texts(batch.column(text).to_pylist()):

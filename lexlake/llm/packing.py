@@ -90,7 +90,7 @@ def token_pieces(docs: DataFrame, path: str, tokens: int = TOKENS, with_ids: boo
     """doc_id, piece, start, length, ids_crc32 (and ids) of each piece of each row; a document is its ids and the closing id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = bpe.WordCache(path, lambda ids: ids.tobytes())
+        cache = bpe.word_bytes(path)
         closing = np.array([CLOSING_ID], "<u4").tobytes()
         step = 4 * tokens
         for batch in batches:
