@@ -32,6 +32,8 @@ from . import common
 #: Words that a task remembers before it starts anew.
 CACHE_WORDS = 400_000
 _PIECE_CHARS = 1 << 18
+#: Fewer words than one for so many columns of their matrix are merged one by one.
+_ROWS_AT_ONCE = 32
 _NONE = np.int64(1) << 62
 
 # Latin-1 letters and numbers, as Unicode classes them (fixed values).
@@ -73,6 +75,7 @@ class Encoder:
         keys = np.array([self.vocab[a] * self._width + self.vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self._keys, self._ranks = keys[order], order.astype(np.int64)
+        self._rank_of = dict(zip(keys.tolist(), range(len(pairs)), strict=True))
         self._made = np.array([self.vocab[a + b] for a, b in pairs], np.int64)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,6 +125,46 @@ class Encoder:
             live = live[tree[live, 1] < _NONE]
         return symbols
 
+    def _merge_long(self, symbols: list[int]) -> list[int]:
+        """_merge() for a single long word: the same tree in plain numbers, whose paths end where nothing changes."""
+        n = 1 << (len(symbols) - 1).bit_length()
+        none, width, rank_of, made = n << 40, self._width, self._rank_of, self._made.tolist()
+        tree = [none] * (2 * n)
+        for k in range(len(symbols) - 1):
+            rank = rank_of.get(symbols[k] * width + symbols[k + 1])
+            if rank is not None:
+                tree[n + k] = rank * n + k
+        for k in range(n - 1, 0, -1):
+            tree[k] = min(tree[2 * k], tree[2 * k + 1])
+        after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
+
+        def put(leaf: int, value: int) -> None:
+            node = leaf + n
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                least = min(tree[2 * node], tree[2 * node + 1])
+                if tree[node] == least:
+                    break
+                tree[node] = least
+
+        def pair(left: int, right: int) -> int:
+            rank = rank_of.get(symbols[left] * width + symbols[right]) if left >= 0 and right < len(symbols) else None
+            return none if rank is None else rank * n + left
+
+        while tree[1] < none:
+            rank, at = divmod(tree[1], n)
+            right = after[at]
+            symbols[at], symbols[right] = made[rank], -1
+            after[at] = after[right]
+            if after[at] < len(symbols):
+                before[after[at]] = at
+            put(right, none)
+            put(at, pair(at, after[at]))
+            if before[at] >= 0:
+                put(before[at], pair(before[at], at))
+        return [x for x in symbols if x >= 0]
+
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word, many words at a time."""
         raw = [w.encode() for w in words]
@@ -130,6 +173,12 @@ class Encoder:
         sizes = 1 << np.ceil(np.log2(np.maximum(lengths, 2))).astype(np.int64)
         for size in np.unique(sizes).tolist():
             members = np.flatnonzero(sizes == size)
+            if len(members) * _ROWS_AT_ONCE < size:
+                for i in members.tolist():
+                    own = self._inner[np.frombuffer(raw[i], np.uint8)]
+                    own[-1] = self._last[raw[i][-1]]
+                    out[i] = np.array(self._merge_long(own.tolist()), "<u4")
+                continue
             step = max(1, (1 << 18) // size)
             for k in range(0, len(members), step):
                 part = members[k : k + step]
