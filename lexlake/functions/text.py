@@ -61,7 +61,9 @@ def normalize(text: Column, profile: str = "predict") -> Column:
     glued = {"train": L.GLUED_TRAIN, "predict": L.GLUED_PREDICT, "annotated": L.GLUED_ANNOTATED}[profile]
     chars = L.REPLACED_ANNOTATED if profile == "annotated" else L.REPLACED
     kept = [(a, b) for a, b in chars.items() if b] + [(a, b) for a, b in chars.items() if not b]
-    out = F.translate(nfc(text), "".join(a for a, _ in kept), "".join(b for _, b in kept))
+    # most texts hold none of these characters: one look spares them the replacement
+    plain = nfc(text)
+    out = F.when(plain.rlike("[" + "".join(chars) + "]"), F.translate(plain, "".join(a for a, _ in kept), "".join(b for _, b in kept))).otherwise(plain)
     for bad, good in glued.items():
         out = F.replace(out, F.lit(bad), F.lit(good))
     out = F.regexp_replace(out, r"[ \t]+", " ")
@@ -91,10 +93,9 @@ def fold_words(text: Column) -> Column:
 
 def clean_raw(text: Column, profile: str = "predict") -> Column:
     """normalize(), then without page numbers, rules and (predict) the national motto; at most one empty line in a row."""
-    bare = lambda x: F.lower(strip(x))
-    skip = lambda x: bare(x).rlike(r"^\d{1,3}$") | strip(x).rlike(r"(?U)^[-–—_\s]{3,}$")
-    keep = (lambda x: ~skip(x) & ~bare(x).isin(L.MOTTO)) if profile == "predict" else (lambda x: ~skip(x))
-    lines = F.transform(F.filter(F.split(normalize(text, profile), r"\r\n|[\n\r]"), keep), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    page, rule, motto = r"\s*\d{1,3}\s*", r"\s*[-–—_\s]{3,}", r"\s*(?:" + "|".join(L.MOTTO) + r")\s*"
+    skip = f"{L.FLAGS}^(?:{page}|{rule}{'|' + motto if profile == 'predict' else ''})$"
+    lines = F.transform(F.filter(F.split(normalize(text, profile), r"\r\n|[\n\r]"), lambda x: ~x.rlike(skip)), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
     return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 

@@ -68,21 +68,29 @@ def _named(span: Column, label: str) -> Column:
 
 def clean_entities(entities: DataFrame) -> DataFrame:
     """entities with their texts normalised by label; those that fail their label's rules are dropped. Positions stay as found."""
-    label, context = T.label_alias(F.col("label")), F.col("context")
-    raw = T.trim_entity(F.col("text"))
-    text = (
-        F.when(label == "DRUG", T.norm_drug(raw)).when(label == "DRUG_WEIGHT", T.norm_weight(raw)).when(label == "PERSON", T.norm_person(raw))
-        .when(label == "CHARGE", T.norm_charge(raw)).when(label.isin("LEGAL_ARTICLE", "SENTENCE"), T.norm_article(raw)).otherwise(raw)
-    )
-    named = entities.where(label.isin(L.LABELS) & (raw != "")).withColumn("label", label).withColumn("text", text)
-    label, text = F.col("label"), F.col("text")
-    keep = (
-        F.when(label == "DRUG", ~P.bad_drug(text) & ~P.bad_drug_context(context)).when(label == "DRUG_WEIGHT", P.valid_weight(text) & ~P.bad_weight_context(context))
-        .when(label == "CRIME_TIME", P.valid_time(text) & ~P.bad_time_context(context)).when(label == "CRIME_LOC", P.clear_location(text) & ~P.bad_location_context(context))
-        .when(label == "PERSON", P.valid_person(text)).when(label == "CHARGE", F.lower(text).contains(L.CHARGE_OBJECT))
-        .when(label == "LEGAL_ARTICLE", ~P.bad_article(text)).otherwise(P.valid_sentence(text))
-    )
-    return named.where(keep).withColumn("score", F.coalesce(F.nullif(F.col("score").cast("double"), F.lit(0.0)), F.lit(1.0)))
+    label, context, raw = F.col("_label"), F.col("context"), F.col("_raw")
+    checks = {
+        "DRUG": (T.norm_drug, lambda t: ~P.bad_drug(t) & ~P.bad_drug_context(context)),
+        "DRUG_WEIGHT": (T.norm_weight, lambda t: P.valid_weight(t) & ~P.bad_weight_context(context)),
+        "CRIME_TIME": (lambda t: t, lambda t: P.valid_time(t) & ~P.bad_time_context(context)),
+        "CRIME_LOC": (lambda t: t, lambda t: P.clear_location(t) & ~P.bad_location_context(context)),
+        "PERSON": (T.norm_person, P.valid_person),
+        "CHARGE": (T.norm_charge, lambda t: F.lower(t).contains(L.CHARGE_OBJECT)),
+        "LEGAL_ARTICLE": (T.norm_article, lambda t: ~P.bad_article(t)),
+        "SENTENCE": (T.norm_sentence, P.valid_sentence),
+    }
+    # each branch gives the normalised text, or null where the label's rules fail
+    out = F.lit(None).cast("string")
+    for name, (normal, holds) in checks.items():
+        out = F.when(label == name, T.let(normal(raw), _kept_if(holds))).otherwise(out)
+    named = entities.withColumn("_label", T.label_alias(F.col("label"))).withColumn("_raw", T.trim_entity(F.col("text")))
+    cleaned = named.withColumn("_clean", F.when(raw != "", out)).where(F.col("_clean").isNotNull())
+    columns = {"label": F.col("_label"), "text": F.col("_clean"), "score": F.coalesce(F.nullif(F.col("score").cast("double"), F.lit(0.0)), F.lit(1.0))}
+    return cleaned.withColumns(columns).drop("_label", "_raw", "_clean")
+
+
+def _kept_if(holds):
+    return lambda t: F.when(holds(t), t)
 
 
 def dedupe_entities(entities: DataFrame) -> DataFrame:

@@ -93,7 +93,9 @@ def pack_sentences(text: Column, most: int = L.PACK_WORDS) -> Column:
 
 
 def _until_stop(text: Column, stops: list[str]) -> Column:
-    return strip(F.left(text, F.coalesce(position(fold_upper(text), L.any_of(stops, lines=True)), F.length(text))))
+    """text up to the first stop, found on its folded form; text and form are computed once."""
+    stop = L.any_of(stops, lines=True)
+    return let(text, lambda t: strip(F.left(t, let(fold_upper(t), lambda f: F.coalesce(position(f, stop), F.length(f))))))
 
 
 def decision_clauses(text: Column) -> Column:

@@ -258,3 +258,36 @@ def corpus_strict_records(spark, sf_dir):
     """Strict reading of lines that are all good; a bad one would stop the query."""
     lines = _lines(spark, sf_dir).where("line_no % 10 != 0")
     return R.strict_records(lines).select("record_id", "source", T.count_words(F.col("text")).alias("n_words"))
+
+
+@query(fixture.with_tables("SELECT source, 1::BIGINT AS n, length(text) AS chars FROM judgments WHERE doc_id IN (SELECT min(doc_id) FROM judgments GROUP BY source)", "judgments"))
+def source_read_documents(spark, sf_dir):
+    """One judgment of each source written as a text file, and the files read as documents."""
+    folder = shared_folder(spark)
+    docs = fixture.judgments(spark, sf_dir)
+    first = docs.groupBy("source").agg(F.min_by("text", "doc_id").alias("value"))
+    first.repartition("source").write.partitionBy("source").option("lineSep", "\u0001").text(folder)
+    read = spark.read.option("recursiveFileLookup", True).text(folder, lineSep="\u0001").withColumn("source", F.regexp_extract(F.col("_metadata.file_path"), "source=([^/]+)/", 1))
+    return read.groupBy(T.source_key(F.col("source")).alias("source")).agg(F.count("*").alias("n"), F.max(F.length("value")).cast("long").alias("chars"))
+
+
+@query(_split_sql("SELECT split, count(*) AS n FROM rec GROUP BY split"))
+def source_load_split(spark, sf_dir):
+    """Splits written apart and read as one."""
+    folder = shared_folder(spark)
+    K.write_split(_split(spark, sf_dir), folder)
+    parts = [spark.read.text(f"{folder}/split={s}").withColumn("record_id", F.get_json_object("value", "$.id")) for s in C.SPLITS]
+    return R.load_split(*parts).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query(fixture.with_tables("""
+SELECT m.model, l.label, CASE WHEN l.label = 'DRUG' AND m.model = 'b' THEN 0.0 WHEN l.label IN ('PERSON', 'DRUG', 'DRUG_WEIGHT', 'CRIME_TIME', 'CRIME_LOC') THEN (SELECT count(*) FROM gold g WHERE g.label = l.label AND rid % 7 <> 0)::DOUBLE ELSE 0.0 END AS support
+FROM (SELECT unnest(['a', 'b']) AS model) m, (SELECT unnest(['PERSON', 'DRUG', 'DRUG_WEIGHT', 'CRIME_TIME', 'CRIME_LOC', 'CHARGE', 'LEGAL_ARTICLE', 'SENTENCE']) AS label) l""", "annotated", "gold"))
+def source_load_metrics(spark, sf_dir):
+    """Metric tables of two models under different column names, one without a label."""
+    from ..functions import lexicon as L
+
+    counts = fixture.gold(spark, sf_dir).where("rid % 7 != 0").groupBy("label").agg(F.count("*").alias("support"))
+    full = counts.select("label", F.lit(1.0).alias("precision"), F.lit(1.0).alias("recall"), F.lit(1.0).alias("f1"), "support")
+    other = full.where("label != 'DRUG'").withColumnsRenamed({"label": "Entity type", "precision": "Precision", "recall": "Recall", "f1": "F1", "support": "Support"})
+    return R.load_metrics({"a": full, "b": other}, L.LABELS).where("label != 'overall'").select("model", "label", "support")

@@ -29,8 +29,13 @@ FROM orders
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, text: one invented judgment for each order, over 200 sources."""
-    sql = JUDGMENTS.replace("FROM orders", "FROM {orders}")
-    return spark.sql(sql, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return spark.sql(JUDGMENTS.replace("FROM orders", "FROM {orders}"), orders=orders(spark, sf_dir))
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that the derived tables are made of. A small file is one partition of few bytes; what is derived from it is dear, so
+    rows are dealt out before."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate").repartition(spark.sparkContext.defaultParallelism)
 
 
 _NAME = "CASE o_orderkey % 4 WHEN 0 THEN 'Mùa A T' WHEN 1 THEN 'Bùi Phúc T' WHEN 2 THEN 'Trần Thanh L' ELSE 'Lò Văn H' END"
@@ -71,7 +76,7 @@ def with_tables(body: str, *names: str) -> str:
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rid, record_id, source, text and the words of the entities."""
-    return spark.sql(ANNOTATED.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return spark.sql(ANNOTATED.replace("FROM orders", "FROM {orders}"), orders=orders(spark, sf_dir))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:

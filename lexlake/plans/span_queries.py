@@ -103,6 +103,16 @@ def span_phrase_locate(spark, sf_dir):
     return X.phrase_locate(docs, phrases)
 
 
+@query(fixture.with_tables("SELECT drug AS text, count(*) AS occurrences FROM annotated WHERE drug <> 'cần sa' GROUP BY drug UNION ALL SELECT 'Fentanyl', 0", "annotated"))
+def span_phrase_stats(spark, sf_dir):
+    """How often drug names are found in sentences; one is in none."""
+    pages = fixture.annotated(spark, sf_dir).select(F.col("rid").alias("page_id"), "text")
+    phrases = spark.createDataFrame(list(enumerate(["Methamphetamine", "HEROINE", "ketamine,", "mdma", "Fentanyl"])), "phrase_id int, text string")
+    stats = X.phrase_stats(phrases, X.phrase_locate(pages, phrases))
+    names = F.element_at(F.array(*map(F.lit, ("Methamphetamine", "Heroine", "Ketamine", "MDMA", "Fentanyl"))), F.col("phrase_id") + 1)
+    return stats.select(names.alias("text"), "occurrences")
+
+
 _PRF = """
 , c AS (SELECT label, count(*) AS support, 0 AS predicted, 0 AS tp FROM gold GROUP BY label
   UNION ALL SELECT label, 0, count(*), 0 FROM {m} GROUP BY label

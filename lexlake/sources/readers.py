@@ -55,14 +55,15 @@ def parse_annotated(lines: DataFrame) -> DataFrame:
     error is `json` for a line that doesn't parse, `text` for a record without a text, `labels` for labels that are no list.
     The source defaults to the file's name without its ending.
     """
-    record = F.col("record")
-    parsed = concat_lines(lines).withColumn("record", F.try_parse_json("line"))
-    text, spans = _field(record, "text", "string"), spans_of(record)
+    record, spans = F.col("record"), F.col("spans")
+    # as generated columns, the parsed line and its spans are made once and not again in each filter above
+    parsed = concat_lines(lines).withColumn("record", F.explode(F.array(F.try_parse_json("line")))).withColumn("spans", F.explode(F.array(spans_of(record))))
+    text = _field(record, "text", "string")
     error = F.when(record.isNull(), "json").when(text.isNull(), "text").when(spans.isNull(), "labels")
     source = F.coalesce(F.nullif(_field(record, "meta.source", "string"), F.lit("")), F.nullif(_field(record, "source", "string"), F.lit("")), F.regexp_replace("source_file", r"\.jsonl$", ""))
     return parsed.select(
         "source_file", "line_no", "line", error.alias("error"), F.coalesce(_field(record, "id", "string"), F.concat_ws(":", "source_file", "line_no")).alias("record_id"),
-        source.alias("source"), text.alias("text"), spans.alias("spans"), _field(record, "meta.split", "string").alias("split"),
+        source.alias("source"), text.alias("text"), "spans", _field(record, "meta.split", "string").alias("split"),
     )
 
 
