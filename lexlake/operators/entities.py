@@ -84,7 +84,8 @@ def clean_entities(entities: DataFrame) -> DataFrame:
     for name, (normal, holds) in checks.items():
         out = F.when(label == name, T.let(normal(raw), _kept_if(holds))).otherwise(out)
     named = entities.withColumn("_label", T.label_alias(F.col("label"))).withColumn("_raw", T.trim_entity(F.col("text")))
-    cleaned = named.withColumn("_clean", F.when(raw != "", out)).where(F.col("_clean").isNotNull())
+    # as a generated column it is made once, whatever filters come above
+    cleaned = named.withColumn("_clean", F.explode(F.array(F.when(raw != "", out)))).where(F.col("_clean").isNotNull())
     columns = {"label": F.col("_label"), "text": F.col("_clean"), "score": F.coalesce(F.nullif(F.col("score").cast("double"), F.lit(0.0)), F.lit(1.0))}
     return cleaned.withColumns(columns).drop("_label", "_raw", "_clean")
 
