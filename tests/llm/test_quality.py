@@ -67,7 +67,9 @@ def test_base_of_documents(docs):
 
 
 def unique_lines(k, n):
-    return "\n".join(f"w{k}x{i} alpha{k * i} beta{k + i} gamma{i} delta{k}q eps{k}z{i}" for i in range(n))
+    """Lines that no other k has, by letters: normalising makes all numbers alike."""
+    name = lambda x: "".join("abcdefghij"[int(c)] for c in str(x))
+    return "\n".join(f"w{name(k)}x{name(i)} alpha{name(k * i)} beta{name(k + i)} gamma{name(i)} delta{name(k)}q eps{name(k)}z{name(i)}" for i in range(n))
 
 
 def test_boilerplate_is_removed_and_depleted_documents_go(spark):
