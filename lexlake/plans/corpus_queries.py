@@ -253,7 +253,7 @@ def stream_ingest_new(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("source")
 
 
-@query()
+@query(_GOLD_LINES + "SELECT record_id, source, len(string_split(text, ' '))::INT AS n_words FROM annotated WHERE rid % 10 <> 0")
 def corpus_strict_records(spark, sf_dir):
     """Strict reading of lines that are all good; a bad one would stop the query."""
     lines = _lines(spark, sf_dir).where("line_no % 10 != 0")
