@@ -129,32 +129,29 @@ def _medians(rows: DataFrame, totals: dict[int, int], shares: dict[int, float])
 
 
 def kd_shards(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None) -> DataFrame:
-    """Every row's doc_id, size, text_crc32, shard and slot.
+    """Every row's doc_id, size, text_crc32, shard and slot; shards are numbered from 0 in the order of the tree.
 
-    The tree has `shards` leaves, or as many as bring leaves down to target_bytes.
+    The tree has `shards` leaves of equal shares; or, with target_bytes, nodes are halved until no leaf of two rows or more
+    is above it. The nodes of a level are expressions of one plan, which is meant for up to some thousand leaves.
     """
     rows = common.checkpoint(metadata(docs)).withColumn("node", F.lit(0))
-    if target_bytes:
-        total = rows.agg(F.sum("size")).first()[0] or 0
-        shards = max(1, -(-total // target_bytes))
-    leaves = {0: shards}  # how many leaves each node has still to make
-    node, first = F.col("node"), {0: 0}
-    while any(k > 1 for k in leaves.values()):
-        spans = rows.groupBy("node").agg(F.sum("size").alias("size"), *[f(d).alias(f"{f.__name__}_{d}") for d in ("d0", "d1", "d2") for f in (F.min, F.max)]).collect()
+    node, leaves, order = F.col("node"), {0: shards}, [0]  # leaves: how many each node has still to make
+    while target_bytes or any(k > 1 for k in leaves.values()):
+        spans = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("size"), *[f(d).alias(f"{f.__name__}_{d}") for d in ("d0", "d1", "d2") for f in (F.min, F.max)]).collect()
+        if target_bytes:
+            leaves = {r["node"]: 2 if r["size"] > target_bytes and r["n"] > 1 else 1 for r in spans}
         split = {r["node"]: r for r in spans if leaves[r["node"]] > 1}
         if not split:
             break
         axis = {n: max(("d0", "d1", "d2"), key=lambda d: r[f"max_{d}"] - r[f"min_{d}"]) for n, r in split.items()}
         placed = rows.withColumn("coordinate", _case(node, {n: F.col(d) for n, d in axis.items()}, F.lit(0).cast("long")))
         cuts = _medians(placed.where(node.isin(*split)), {n: r["size"] for n, r in split.items()}, {n: (leaves[n] // 2) / leaves[n] for n in split})
-        after = {n: first[n] + leaves[n] // 2 for n in split}
-        rows = placed.withColumn("node", _case(node, {n: F.when(_below(cut), F.lit(first[n])).otherwise(F.lit(after[n])) for n, cut in cuts.items()}, node)).drop("coordinate")
-        rows = common.checkpoint(rows)
-        for n in split:
-            k = leaves.pop(n)
-            leaves[n], leaves[after[n]] = k // 2, k - k // 2
-            first[after[n]] = after[n]
-    return slots(rows.withColumnRenamed("node", "shard"))
+        right = {n: len(order) + k for k, n in enumerate(split)}
+        rows = common.checkpoint(placed.withColumn("node", _case(node, {n: F.when(_below(cut), F.lit(n)).otherwise(F.lit(right[n])) for n, cut in cuts.items()}, node)).drop("coordinate"))
+        for n, k in ((n, leaves[n]) for n in split):
+            leaves[n], leaves[right[n]] = k // 2, k - k // 2
+        order = [m for n in order for m in ((n, right[n]) if n in right else (n,))]
+    return slots(rows.withColumn("shard", _case(node, {n: F.lit(k) for k, n in enumerate(order)}, node)).drop("node"))
 
 
 def slots(rows: DataFrame) -> DataFrame:

@@ -47,6 +47,12 @@ def test_other_numbers_of_shards(docs):
     assert max(check(S.kd_shards(docs, target_bytes=target).collect(), [r["text"] for r in docs.collect()], 4)) <= target
 
 
+def test_target_bytes_with_rows_above_it(spark):
+    texts = ["x" * 999, "", "", "y" * 599, *["z" * 99] * 10]
+    sizes = check(S.kd_shards(make_docs(spark, list(enumerate(texts))), target_bytes=400).collect(), texts, 20)
+    assert sorted(x for x in sizes if x > 400) == [600, 1000], "only single rows stay above the target"
+
+
 def test_does_not_depend_on_partitions(docs):
     place = lambda d: {r["doc_id"]: r["shard"] for r in S.kd_shards(d).collect()}
     assert place(docs.repartition(7)) == place(docs.coalesce(1))
