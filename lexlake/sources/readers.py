@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -20,10 +20,17 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    """source_file, line_no and line of files of JSON lines; line numbers count from 1, blank lines too."""
+    """source_file, line_no and line of files of JSON lines, of any size; line numbers count from 1, blank lines too."""
     reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
-    whole = reader.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    return whole.select("source_file", (F.col("n") + 1).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
+    lines = reader.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line"),
+    )
+    # a block is read by one task, in order: its ids have no gaps, and the lines of the blocks before it make up the rest
+    blocks = lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = blocks.select("path", "block", (F.col("first") - before - 1).alias("shift"))
+    return lines.join(shift, ["path", "block"]).select("source_file", (F.col("id") - F.col("shift")).cast("int").alias("line_no"), "line")
 
 
 def concat_lines(lines: DataFrame) -> DataFrame:

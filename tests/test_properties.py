@@ -131,6 +131,21 @@ def test_readers_on_files(spark, tmp_path):
     assert [tuple(r) for r in R.read_documents(spark, f"{tmp_path}/docs").collect()] == [("BA 5", "một\nhai")]
 
 
+def test_line_numbers_of_files_that_are_split(spark, tmp_path):
+    made = {f"{name}.jsonl": [f"{name} line {k}" if k % 7 else "" for k in range(n)] for name, n in (("a", 900), ("b", 5), ("c", 1300))}
+    for name, lines in made.items():
+        (tmp_path / name).write_text("\r\n".join(lines) + "\r\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000b")
+    try:
+        read = R.read_lines(spark, str(tmp_path), "*.jsonl")
+        assert read.select("line").rdd.getNumPartitions() > 1
+        found = sorted(tuple(r) for r in read.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found == sorted((name, k + 1, line) for name, lines in made.items() for k, line in enumerate(lines))
+
+
 def test_sinks(spark, records, tmp_path):
     split = C.split_by_source(records.limit(50))
     K.write_split(split, f"{tmp_path}/split")
