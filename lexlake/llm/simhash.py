@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import alike, common
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -215,12 +215,16 @@ def label_groups(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     return rows.join(named, "fp", "left")
 
 
-def drop_near_copies(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """docs with the row of the least doc_id of each component; rows that repeat that doc_id leave one."""
-    stay = label_groups(docs, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keys = stay.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    return keyed.join(keys.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component of near copies (alike.py): the least doc_id, then text hash; rows that repeat both leave one.
+
+    The query's limits of shingles and bits bind the query only.
+    """
+    key = lambda doc_id, text: F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), text)
+    first = alike.label_alike(docs).select("first").distinct()
+    stay = first.select(key(F.col("first.doc_id"), F.col("first.text_hash")).alias("_key"))
+    keyed = docs.withColumn("_key", key(F.col("doc_id"), alike.text_hash(F.col("text"))))
+    return keyed.join(stay.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
