@@ -4,8 +4,8 @@ Base rules look at one text: words, symbols, repeated lines, words in repeated 8
 The method then looks across documents: every line is normalised (lower case, digits to 0, white space
 collapsed) and hashed; for each host (source) it counts the distinct documents that hold the line. Lines above
 the host's limit are boilerplate and count as removed; a document is rejected when too few words are left.
-Copies must not make a page its own boilerplate, so documents are told apart by a content signature, the least hash
-of their 8-word windows, which copies and nearly all near copies share.
+Copies must not make a page its own boilerplate, so documents are told apart by a content signature, the hash of
+their whole text, case and white space aside: copies count once, and different documents that share a passage count each.
 
 A line of a third of all documents costs no task more than another: lines are counted through partial sums, first
 by (host, line, signature), and the verdict join has the lines on a side that adaptive execution splits.
@@ -65,7 +65,7 @@ def text_features(docs: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("grams")).alias("n_repeat_words"),
-        F.coalesce(F.array_min("grams"), F.xxhash64("text")).alias("signature"),
+        F.xxhash64(F.trim(F.regexp_replace(F.lower("text"), SPACE, " "))).alias("signature"),
         F.transform("lines", lambda x: F.struct(F.xxhash64(_normal(x)).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words"))).alias("lines"),
     )
 

@@ -85,3 +85,12 @@ def test_boilerplate_is_removed_and_depleted_documents_go(spark):
     assert all(found[200 + k]["kept"] and found[200 + k]["removed_words"] == 0 for k in range(30)), "copies don't make boilerplate"
     left = Q.keep_good(make_docs(spark, rows))
     assert {r["doc_id"] for r in left.collect()} == {k for k, r in found.items() if r["kept"]} and "_key" in left.columns
+
+
+def test_pages_that_share_a_passage_are_different_documents(spark):
+    passage = "\n".join(unique_lines(7, 40).split("\n"))
+    rows = [(k, passage + "\n" + unique_lines(1000 + k, 4), "en", "a") for k in range(40)]  # 10 in 11 words are shared
+    rows += [(100 + k, ("  " * k + unique_lines(500, 9)).upper(), "en", "b") for k in range(30)]  # copies, white space aside
+    found = {r["doc_id"]: r for r in Q.judge(make_docs(spark, rows)).collect()}
+    assert all(found[k]["removed_words"] == len(passage.split()) and not found[k]["kept"] for k in range(40))
+    assert all(found[100 + k]["removed_words"] == 0 and found[100 + k]["kept"] for k in range(30))
