@@ -67,3 +67,11 @@ def test_documents(spark, docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     found = A.label_alike(docs).select("first.doc_id").distinct().collect()
     assert sorted(r["doc_id"] for r in found) == brute_least(rows)
+
+
+def test_unlike_texts_with_one_or_no_id_stay(spark):
+    text = lambda k: " ".join(f"t{k}x{i}" for i in range(40))
+    rows = [(None, text(k)) for k in range(20)] + [(7, text(30)), (7, text(31)), (7, text(31)), (8, text(32)), (9, text(32) + " end"), (None, text(32) + " end now")]
+    left = H.drop_near_copies(make_docs(spark, rows))
+    want = [(None, text(k)) for k in range(20)] + [(7, text(30)), (7, text(31)), (8, text(32))]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(str, want))

@@ -94,3 +94,9 @@ def test_pages_that_share_a_passage_are_different_documents(spark):
     found = {r["doc_id"]: r for r in Q.judge(make_docs(spark, rows)).collect()}
     assert all(found[k]["removed_words"] == len(passage.split()) and not found[k]["kept"] for k in range(40))
     assert all(found[100 + k]["removed_words"] == 0 and found[100 + k]["kept"] for k in range(30))
+
+
+def test_rejected_rows_go_though_others_with_their_id_pass(spark):
+    rows = [(None, unique_lines(1, 6)), (None, "too short"), (7, unique_lines(2, 6)), (7, "short too"), (7, unique_lines(2, 6)), (8, "short")]
+    left = Q.keep_good(make_docs(spark, rows))
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(rows[k] for k in (0, 2, 4))
