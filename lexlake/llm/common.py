@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import string
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ASCII_UPPER, ASCII_LOWER = string.ascii_uppercase, string.ascii_lowercase
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,6 +37,52 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until no column of df is called so (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [column(c) for c in df.columns]
+
+
+def text_hash(text: Column) -> Column:
+    """64-bit hash of a whole text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of all columns of a row, whatever their types; rows that differ anywhere differ here."""
+    hashable = lambda t: not any(x in t.simpleString() for x in ("map<", "variant", "interval"))
+    return F.xxhash64(*[column(f.name) if hashable(f.dataType) else F.to_json(F.struct(column(f.name))) for f in df.schema])
+
+
+def named_rows(df: DataFrame) -> Column:
+    """What tells rows of documents apart in two readings of df: doc_id, the text's hash and the hash of all columns."""
+    return F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), row_hash(df).alias("row_hash"))
+
+
+def keep_rows(df: DataFrame, names: DataFrame, once: bool = False) -> DataFrame:
+    """The rows of df that names (column name, as of named_rows) has; once: of rows equal in every column, one.
+
+    Null doc_ids compare as equal. The key column gets a name that df doesn't use.
+    """
+    key = free_name(df, "_key")
+    flat = lambda name: F.concat_ws(":", F.coalesce(name["doc_id"].cast("string"), F.lit("null")), name["text_hash"], name["row_hash"])
+    wanted = names.select(flat(F.col("name")).alias(key)).distinct()
+    keyed = df.withColumn(key, flat(named_rows(df)))
+    # rows that are equal in every column are reduced to one before they travel, so that many of them load no task
+    return (keyed.dropDuplicates([key]) if once else keyed).join(wanted.hint("merge"), key, "left_semi").select(*columns_of(df))
+
+
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """A number for each row, so that repeated doc_ids stay apart. Use only below a checkpoint()."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -1,14 +1,15 @@
 """Exact de-duplication with a cuckoo-filter index of live digests.
 
-A text's identity is the SHA-256 of its UTF-8 bytes after lower-casing A-Z. Digests are dealt to
-index buckets by hash; each bucket is one cuckoo filter whose slots keep a 16-bit fingerprint and,
-beside it, the stored key. A fingerprint hit counts only once the stored 32-byte digest is equal,
-so the answer is exact. When kicking finds no room the filter doubles and is filled again from its
-stored keys. Deletion clears the verified slot.
-
-Defined results: a null text counts as the empty text; a null doc_id sorts below every other;
-of equal texts one row stays, the one with the largest doc_id and, among rows that repeat that
-doc_id, exactly one of them; an empty table gives an empty result; other columns are ignored.
+A text's identity is the SHA-256 of its UTF-8 bytes after lower-casing A-Z. Digests are dealt to index buckets by hash; each
+bucket is one cuckoo filter. A slot of the filter holds a 16-bit fingerprint and, beside it, the content that it stands for
+(the whole 32-byte digest) and that content's value. Whether a digest is live, and what its value is, is read from the
+slots alone: a fingerprint hit counts once the content in its slot is equal, so the answer is exact. When kicking finds no
+room the filter doubles and is filled again from the contents of its slots. Deletion clears the verified slot.
+
+Defined results: a null text counts as the empty text; a null doc_id sorts below every other; of equal texts one row
+stays, the one with the largest doc_id and, among rows that repeat that doc_id, the one with the largest hash of its text, then of
+all its columns; of rows equal in every column exactly one stays; a very long text is one digest like any other; an empty
+table gives an empty result; other columns, whatever their names, are kept by drop_copies() and ignored by the verdict.
 """
 
 from __future__ import annotations
@@ -16,11 +17,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from . import common
 
@@ -32,14 +31,14 @@ _KICKS = 200
 
 
 class CuckooIndex:
-    """Cuckoo filter over 32-byte digests; every slot keeps its key, and each key has a value."""
+    """Cuckoo filter over 32-byte digests; beside each fingerprint its slot keeps the digest and a value."""
 
     def __init__(self, capacity: int = 64):
-        self._values: dict[bytes, object] = {}
+        self._live = 0
         self._allocate(capacity)
 
     def __len__(self) -> int:
-        return len(self._values)
+        return self._live
 
     def _allocate(self, capacity: int) -> None:
         size = 1
@@ -47,7 +46,7 @@ class CuckooIndex:
             size *= 2
         self._mask = size - 1
         self._prints = [0] * (size * _SLOTS)
-        self._keys: list[bytes | None] = [None] * (size * _SLOTS)
+        self._contents: list[tuple[bytes, object] | None] = [None] * (size * _SLOTS)
 
     @staticmethod
     def _fingerprint(digest: bytes) -> int:
@@ -59,83 +58,96 @@ class CuckooIndex:
     def _other(self, bucket: int, fingerprint: int) -> int:
         return bucket ^ (fingerprint * 0x5BD1E995 & self._mask)
 
-    def _slot(self, digest: bytes) -> int:
-        """The slot of a live digest, verified against the stored key; -1 if absent."""
+    def slot(self, digest: bytes) -> int:
+        """The slot of a live digest, verified against the content there; -1 if absent."""
         fingerprint, bucket = self._fingerprint(digest), self._home(digest)
         for b in (bucket, self._other(bucket, fingerprint)):
             for slot in range(b * _SLOTS, b * _SLOTS + _SLOTS):
-                if self._prints[slot] == fingerprint and self._keys[slot] == digest:
+                if self._prints[slot] == fingerprint and self._contents[slot][0] == digest:
                     return slot
         return -1
 
     def get(self, digest: bytes):
-        return self._values[digest] if self._slot(digest) >= 0 else None
+        slot = self.slot(digest)
+        return self._contents[slot][1] if slot >= 0 else None
 
     def insert(self, digest: bytes, value) -> bool:
         """Add a digest or replace its value. True if the digest is new."""
-        if self._slot(digest) >= 0:
-            self._values[digest] = value
+        slot = self.slot(digest)
+        if slot >= 0:
+            self._contents[slot] = (digest, value)
             return False
-        self._values[digest] = value
-        if not self._place(digest):
-            self._grow()
+        self._live += 1
+        left = self._place((digest, value))
+        if left is not None:
+            self._grow(left)
         return True
 
-    def _place(self, digest: bytes) -> bool:
-        fingerprint, bucket = self._fingerprint(digest), self._home(digest)
-        for b in (bucket, self._other(bucket, fingerprint)):
-            for slot in range(b * _SLOTS, b * _SLOTS + _SLOTS):
-                if not self._prints[slot]:
-                    self._prints[slot], self._keys[slot] = fingerprint, digest
-                    return True
+    def _put(self, bucket: int, fingerprint: int, content: tuple[bytes, object]) -> bool:
+        for slot in range(bucket * _SLOTS, bucket * _SLOTS + _SLOTS):
+            if not self._prints[slot]:
+                self._prints[slot], self._contents[slot] = fingerprint, content
+                return True
+        return False
+
+    def _place(self, content: tuple[bytes, object]) -> tuple[bytes, object] | None:
+        """None once the content has a slot; else the content that was kicked out last."""
+        fingerprint, bucket = self._fingerprint(content[0]), self._home(content[0])
+        if self._put(bucket, fingerprint, content) or self._put(self._other(bucket, fingerprint), fingerprint, content):
+            return None
         for kick in range(_KICKS):
             slot = bucket * _SLOTS + kick % _SLOTS
             fingerprint, self._prints[slot] = self._prints[slot], fingerprint
-            digest, self._keys[slot] = self._keys[slot], digest
+            content, self._contents[slot] = self._contents[slot], content
             bucket = self._other(bucket, fingerprint)
-            for slot in range(bucket * _SLOTS, bucket * _SLOTS + _SLOTS):
-                if not self._prints[slot]:
-                    self._prints[slot], self._keys[slot] = fingerprint, digest
-                    return True
-        return False
+            if self._put(bucket, fingerprint, content):
+                return None
+        return content
 
-    def _grow(self) -> None:
-        """Overflow: a filter twice as large, filled from the stored keys; again if those overflow it."""
+    def _grow(self, left: tuple[bytes, object]) -> None:
+        """Overflow: a filter twice as large, filled from the slots' contents and the one left over; again if those overflow it."""
+        contents = [c for c in self._contents if c is not None] + [left]
         capacity = len(self._prints)
         while True:
             capacity *= 2
             self._allocate(capacity)
-            if all(self._place(key) for key in self._values):
+            if all(self._place(c) is None for c in contents):
                 return
 
     def delete(self, digest: bytes) -> bool:
-        slot = self._slot(digest)
+        slot = self.slot(digest)
         if slot < 0:
             return False
-        self._prints[slot], self._keys[slot] = 0, None
-        del self._values[digest]
+        self._prints[slot], self._contents[slot] = 0, None
+        self._live -= 1
         return True
 
-    def items(self):
-        return self._values.items()
+    def items(self) -> Iterator[tuple[bytes, object]]:
+        return (c for c in self._contents if c is not None)
+
+
+_NAME = ["doc_id", "text_hash", "row_hash"]
+_KEEP = ["keep_id", "keep_text", "keep_hash", "keep_row"]
+_ENTRY = "digest binary, keep_id long, keep_text long, keep_hash long, keep_row long, n long"
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id and digest of each row; the text stays behind in the scan."""
+    """row_id, doc_id, text_hash, row_hash and digest of each row; the text stays behind in the scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = hashlib.sha256
         for batch in batches:
-            digests = [sha(x.as_py().encode().lower()).digest() if x.is_valid else sha(b"").digest() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], ["row_id", "doc_id", "digest"])
+            digests = [sha(x.as_py().encode().lower()).digest() if x.is_valid else sha(b"").digest() for x in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(digests, pa.binary())], ["row_id", *_NAME, "digest"])
 
-    slim = common.with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("row_id", "doc_id", "text")
-    return slim.mapInArrow(run, "row_id long, doc_id long, digest binary")
+    name = common.named_rows(docs)
+    slim = docs.select(F.monotonically_increasing_id().alias("row_id"), *[name[c].alias(c) for c in _NAME], F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(run, "row_id long, doc_id long, text_hash long, row_hash long, digest binary")
 
 
-def _rank(doc_id, row_id) -> tuple:
+def _rank(doc_id, text_hash, row_hash, row_id) -> tuple:
     """Order of rows with equal texts: the largest stays."""
-    return (0, 0, row_id) if doc_id is None else (1, doc_id, row_id)
+    return (doc_id is not None, doc_id or 0, text_hash or 0, row_hash or 0, row_id or 0)
 
 
 def _combined(index: CuckooIndex, digest: bytes, rank: tuple, n: int) -> None:
@@ -144,21 +156,20 @@ def _combined(index: CuckooIndex, digest: bytes, rank: tuple, n: int) -> None:
 
 
 def _entries(index: CuckooIndex) -> dict[str, pa.Array]:
-    keys = list(index.items())
+    live = list(index.items())
+    ranks = [v[0] for _, v in live]
     return {
-        "digest": pa.array([k for k, _ in keys], pa.binary()),
-        "keep_id": pa.array([v[0][1] if v[0][0] else None for _, v in keys], pa.int64()),
-        "keep_row": pa.array([v[0][2] for _, v in keys], pa.int64()),
-        "n": pa.array([v[1] for _, v in keys], pa.int64()),
-    }
+        "digest": pa.array([k for k, _ in live], pa.binary()), "keep_id": pa.array([r[1] if r[0] else None for r in ranks], pa.int64()),
+        **{c: pa.array([r[k] for r in ranks], pa.int64()) for k, c in enumerate(_KEEP[1:], 2)}, "n": pa.array([v[1] for _, v in live], pa.int64()),
+    }
 
 
 def _combine_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Map-side combine: at most one entry for each digest and task leaves, so that a hot text doesn't travel."""
     index = CuckooIndex(1024)
     for batch in batches:
-        for row_id, doc_id, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            _combined(index, digest, _rank(doc_id, row_id), 1)
+        for row_id, doc_id, text_hash, row_hash, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            _combined(index, digest, _rank(doc_id, text_hash, row_hash, row_id), 1)
         if len(index) >= 100_000:
             yield pa.RecordBatch.from_pydict(_entries(index))
             index = CuckooIndex(1024)
@@ -166,37 +177,45 @@ def _combine_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_pydict(_entries(index))
 
 
+def _bucket_of(digest: str, buckets: int):
+    return F.pmod(F.xxhash64(digest), F.lit(buckets)).alias("bucket")
+
+
 def _index_bucket(table: pa.Table) -> pa.Table:
     """One bucket of the index from the partial entries of all tasks."""
     index = CuckooIndex(min(table.num_rows, 1024))
     for batch in table.to_batches():
-        for digest, keep_id, keep_row, n in zip(*(batch.column(c).to_pylist() for c in ("digest", "keep_id", "keep_row", "n")), strict=True):
-            _combined(index, digest, _rank(keep_id, keep_row), n)
+        for digest, *keep, n in zip(*(batch.column(c).to_pylist() for c in ("digest", *_KEEP, "n")), strict=True):
+            _combined(index, digest, _rank(*keep), n)
     return pa.table(_entries(index))
 
 
 def build_index(rows: DataFrame) -> DataFrame:
-    """The live entries (digest, keep_id, keep_row, n) of digest_rows(), one for each distinct text."""
+    """The live entries (digest, the row that stays, n) of digest_rows(), one for each distinct text."""
     buckets = max(MIN_BUCKETS, -(-rows.count() // BUCKET_ROWS))
-    kind = "digest binary, keep_id long, keep_row long, n long"
-    partial = rows.mapInArrow(_combine_partition, kind)
-    return partial.groupBy(F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket")).applyInArrow(_index_bucket, kind)
+    partial = rows.select("row_id", *_NAME, "digest").mapInArrow(_combine_partition, _ENTRY)
+    return partial.groupBy(_bucket_of("digest", buckets)).applyInArrow(_index_bucket, _ENTRY)
 
 
-def update_index(index: DataFrame, added: DataFrame, deleted: DataFrame, buckets: int = MIN_BUCKETS) -> DataFrame:
+def update_index(index: DataFrame, added: DataFrame, deleted: DataFrame) -> DataFrame:
     """The index after deleting the digests of `deleted` and then inserting the entries of `added`."""
-    kind = "digest binary, keep_id long, keep_row long, n long"
-    columns = ["digest", "keep_id", "keep_row", "n"]
-    gone = deleted.select("digest", F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("long").alias("keep_row"), F.lit(0).cast("long").alias("n"))
+    columns = ["digest", *_KEEP, "n"]
+    empty = [F.lit(None).cast("long").alias(c) for c in _KEEP]
+    gone = deleted.select("digest").distinct().select("digest", *empty, F.lit(0).cast("long").alias("n"))
     steps = index.select(*columns, F.lit(0).alias("step")).union(gone.select(*columns, F.lit(1).alias("step"))).union(added.select(*columns, F.lit(2).alias("step")))
+    steps = common.checkpoint(steps)
+    buckets = max(MIN_BUCKETS, -(-steps.count() // BUCKET_ROWS))
 
     def run(table: pa.Table) -> pa.Table:
         live = CuckooIndex(min(table.num_rows, 1024))
-        for step, digest, keep_id, keep_row, n in sorted(zip(*(table.column(c).to_pylist() for c in ("step", *columns)), strict=True), key=lambda x: x[0]):
-            live.delete(digest) if step == 1 else _combined(live, digest, _rank(keep_id, keep_row), n)
+        for step, digest, *keep, n in sorted(zip(*(table.column(c).to_pylist() for c in ("step", *columns)), strict=True), key=lambda x: x[0]):
+            if step == 1:
+                live.delete(digest)
+            else:
+                _combined(live, digest, _rank(*keep), n)
         return pa.table(_entries(live))
 
-    return steps.groupBy(F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket")).applyInArrow(run, kind)
+    return steps.groupBy(_bucket_of("digest", buckets)).applyInArrow(run, _ENTRY)
 
 
 def label_copies(docs: DataFrame) -> DataFrame:
@@ -209,31 +228,36 @@ def label_copies(docs: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(BinaryType())
-def _digest(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: hashlib.sha256((x or "").encode().lower()).digest())
-
-
-def _key(digest, doc_id):
-    return F.concat(digest, F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).cast("binary"))
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """docs with one row for each distinct text, all columns kept. The text is hashed once and shuffled once."""
+    index = build_index(common.checkpoint(digest_rows(docs)))
+    stay = index.select(F.struct(F.col("keep_id").alias("doc_id"), F.col("keep_text").alias("text_hash"), F.col("keep_hash").alias("row_hash")).alias("name"))
+    return common.keep_rows(docs, stay, once=True)
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row for each distinct text, all columns kept.
+def live_texts(docs: DataFrame, deleted: DataFrame, added: DataFrame) -> DataFrame:
+    """text_sha256, keep_id and n of the distinct texts of docs once those of `deleted` are gone and those of `added` have come.
 
-    Rows that stay are found by digest and doc_id; the text is shuffled once, for the join, and rows
-    that repeat both meet in the same task and leave one of them.
+    All three are (doc_id, text, ...). A text that is deleted and added is live with the rows of `added` alone.
     """
-    stay = label_copies(docs).where("kept").select(_key(F.unhex("text_sha256"), "doc_id").alias("_key"))
-    keyed = docs.withColumn("_key", _key(_digest(F.col("text")), "doc_id"))
-    return keyed.join(stay.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    index, gone, new = (build_index(common.checkpoint(digest_rows(d))) for d in (docs, deleted, added))
+    return update_index(index, new, gone).select(F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", "n")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_copies(common.read(spark, sf_dir, "documents")).drop("row_id")
 
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup}
+def exact_dedup_live_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of documents after the benchmark's texts and all texts of toxic documents were deleted, and all first turns inserted."""
+    docs = common.read(spark, sf_dir, "documents")
+    toxic = docs.join(common.read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    items = common.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    turns = common.read(spark, sf_dir, "conversations").where("turn = 0").select((F.col("conv_id") + 1_000_000_000_000).alias("doc_id"), "text")
+    return live_texts(docs, toxic.select("doc_id", "text").union(items), turns)
+
+
+QUERIES = {"op7_exact_dedup": op7_exact_dedup, "exact_dedup_live_index": exact_dedup_live_index}
 SQL = {
     "op7_exact_dedup": """
 WITH t AS (
@@ -242,5 +266,15 @@ WITH t AS (
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY text_sha256)
-"""
+""",
+    "exact_dedup_live_index": """
+WITH own AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), low AS (SELECT doc_id, sha256(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM own),
+gone AS (
+  SELECT text_sha256 FROM low WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+  UNION SELECT sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) FROM benchmark),
+live AS (
+  SELECT doc_id, text_sha256 FROM low WHERE text_sha256 NOT IN (SELECT text_sha256 FROM gone)
+  UNION ALL SELECT conv_id + 1000000000000, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) FROM conversations WHERE turn = 0)
+SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS n FROM live GROUP BY text_sha256
+""",
 }

@@ -72,6 +72,27 @@ def test_equal_fingerprints_are_verified(n):
     assert all(index.get(d) == k for k, d in enumerate(digests))
 
 
+def test_the_slots_alone_decide():
+    """Whatever is taken out of a slot is gone from the index."""
+    index = X.CuckooIndex()
+    digests = [hashlib.sha256(str(k).encode()).digest() for k in range(1000)]
+    for k, d in enumerate(digests):
+        index.insert(d, k)
+    for d in digests[:500]:
+        index._contents[index.slot(d)] = (b"?" * 32, None)
+    assert all(index.get(d) is None for d in digests[:500]) and all(index.get(d) == k for k, d in enumerate(digests[500:], 500))
+
+
+def test_live_index_against_sql(spark, sf_dir):
+    import duckdb
+
+    connection = duckdb.connect()
+    for t in ("documents", "labels", "benchmark", "conversations"):
+        connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    found = {tuple(r) for r in X.exact_dedup_live_index(spark, sf_dir).select("text_sha256", "keep_id", "n").collect()}
+    assert found == set(connection.sql(X.SQL["exact_dedup_live_index"]).fetchall())
+
+
 def test_update_index(spark, docs):
     rows = X.digest_rows(docs).cache()
     index = X.build_index(rows).cache()
