@@ -11,7 +11,9 @@ A line of a third of all documents costs no task more than another: lines are co
 by (host, line, signature), and the verdict join has the lines on a side that adaptive execution splits.
 
 Defined results: a null text has no words and fails; a null source is a host of its own; repeated rows are judged
-each; an empty table gives an empty result; other columns are ignored by the verdict and kept by keep_good().
+each; a very long text is judged as a whole, within its row; a line that reaches a limit exactly is no boilerplate, and a document that
+keeps exactly the least share of its words stays; an empty table gives an empty result; other columns, whatever their names, are
+ignored by the verdict and kept by keep_good().
 """
 
 from __future__ import annotations
@@ -56,8 +58,8 @@ def _normal(line: Column) -> Column:
 
 
 def text_features(docs: DataFrame) -> DataFrame:
-    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, signature, text_hash and lines (hash, words) of each row."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, signature, name (of the row) and lines (hash, words) of each row."""
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), common.named_rows(docs).alias("name"))
     words = text.select("*", F.filter(F.split("text", SPACE), lambda w: w != "").alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)).alias("lines"))
     grams = words.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")).select("*", _window_hashes(F.col("hashes")).alias("grams"))
     return grams.select(
@@ -66,7 +68,7 @@ def text_features(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("grams")).alias("n_repeat_words"),
         F.xxhash64(F.trim(F.regexp_replace(F.lower("text"), SPACE, " "))).alias("signature"),
-        F.xxhash64("text").alias("text_hash"),
+        "name",
         F.transform("lines", lambda x: F.struct(F.xxhash64(_normal(x)).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words"))).alias("lines"),
     )
 
@@ -87,16 +89,9 @@ def judge(docs: DataFrame) -> DataFrame:
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
-def _key(doc_id: Column, host: Column, text_hash: Column) -> Column:
-    return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), F.xxhash64(F.coalesce(host.cast("string"), F.lit(""))), text_hash)
-
-
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass. Rows with the same doc_id, host and text have the same verdict."""
-    passed = judge(docs).where("kept").select(_key(F.col("doc_id"), F.col("host"), F.col("text_hash")).alias("_key")).distinct()
-    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = docs.withColumn("_key", _key(F.col("doc_id"), F.col("source"), text))
-    return keyed.join(passed, "_key", "left_semi").select(*docs.columns)
+    """The rows of docs that pass. Rows that are equal in every column have the same verdict and stay or go together."""
+    return common.keep_rows(docs, judge(docs).where("kept").select("name"))
 
 
 def op3_quality_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ def normal(line):
 
 
 def brute(rows):
-    """rows: (doc_id, text, host), distinct documents told apart by their 8-word windows as a whole (exact copies count once)."""
+    """rows: (doc_id, text, host), distinct documents told apart by their whole texts (exact copies count once)."""
     lines, hosts = defaultdict(set), defaultdict(set)
     for _, text, host in rows:
         host = host or ""
@@ -96,6 +96,19 @@ def test_pages_that_share_a_passage_are_different_documents(spark):
     assert all(found[100 + k]["removed_words"] == 0 and found[100 + k]["kept"] for k in range(30))
 
 
+def test_hosts_of_any_size_and_lines_of_any_length_are_judged_alike(spark):
+    """Pages of one long shared line and a few own words go, however many they are."""
+    def pages(n, shared, own, first):
+        line = " ".join(f"s{i}" for i in "abcdefghijklmnopqrstuvwxyz" for _ in range(1 + shared // 26))
+        return [(first + k, line + "\n" + unique_lines(first + k, 1 + own // 7), "en", f"h{first}") for k in range(n)]
+
+    cases = [(60, 60, 2), (60, 300, 5), (300, 600, 5), (300, 60, 5)]
+    rows = [r for c, (n, shared, own) in enumerate(cases) for r in pages(n, shared, own, 1000 * c)]
+    found = Q.judge(make_docs(spark, rows)).collect()
+    assert not any(r["kept"] for r in found) and all(r["removed_words"] > 0 for r in found)
+    assert got(Q.judge(make_docs(spark, rows))) == brute([(r[0], r[1], r[3]) for r in rows])
+
+
 def test_rejected_rows_go_though_others_with_their_id_pass(spark):
     rows = [(None, unique_lines(1, 6)), (None, "too short"), (7, unique_lines(2, 6)), (7, "short too"), (7, unique_lines(2, 6)), (8, "short")]
     left = Q.keep_good(make_docs(spark, rows))
