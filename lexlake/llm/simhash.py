@@ -216,15 +216,12 @@ def label_groups(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component of near copies (alike.py): the least doc_id, then text hash; rows that repeat both leave one.
+    """docs with one row of each component of near copies (alike.py): the least doc_id, then text hash, then hash of all columns.
 
-    The query's limits of shingles and bits bind the query only.
+    Of rows that are equal in every column one stays. The query's limits of shingles and bits bind the query only.
     """
-    key = lambda doc_id, text: F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), text)
-    first = alike.label_alike(docs).select("first").distinct()
-    stay = first.select(key(F.col("first.doc_id"), F.col("first.text_hash")).alias("_key"))
-    keyed = docs.withColumn("_key", key(F.col("doc_id"), alike.text_hash(F.col("text"))))
-    return keyed.join(stay.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    stay = alike.label_alike(docs).select(F.struct("first.doc_id", "first.text_hash", "first.row_hash").alias("name"))
+    return common.keep_rows(docs, stay, once=True)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
