@@ -272,14 +272,15 @@ def calibrate(models: Models, kept_back: DataFrame) -> Models:
 
 
 def monotone(hits: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points (margin, share right) that never fall: neighbours that would are pooled, after smoothing by one hit and one miss."""
+    """Points (margin, share right) that never fall: neighbours that would are pooled. A share is (hits + 1) / (n + 2) of its pool."""
+    share = lambda pool: (pool[1] + 1) / (pool[2] + 2)
     pools: list[list[float]] = []
     for k in np.flatnonzero(n):
         pools.append([(k + 0.5) / 100 * n[k], hits[k], n[k]])
-        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+        while len(pools) > 1 and share(pools[-2]) >= share(pools[-1]):
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-    return np.array([x / c for x, _, c in pools]), np.array([(h + 1) / (c + 2) for _, h, c in pools]).clip(0, 1)
+    return np.array([x / c for x, _, c in pools]), np.array([share(p) for p in pools])
 
 
 def identify(docs: DataFrame, models: Models) -> DataFrame:

@@ -3,6 +3,8 @@ import random
 from collections import Counter
 
 import numpy as np
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexlake.llm import langid as G
@@ -93,3 +95,10 @@ def test_long_texts_score_as_in_one_piece(docs, monkeypatch):
     whole = models.entropies(text)
     monkeypatch.setattr(G, "_PIECE", 97)
     assert np.allclose(models.entropies(text), whole)
+
+
+@given(st.lists(st.tuples(st.integers(0, 100), st.integers(0, 100)), min_size=1, max_size=60))
+def test_scores_never_fall_with_the_margin(pairs):
+    n = np.array([a + b for a, b in pairs])
+    margins, right = G.monotone(np.array([a for a, _ in pairs]), n)
+    assert (np.diff(margins) > 0).all() and (np.diff(right) >= 0).all() and ((right >= 0) & (right <= 1)).all()
