@@ -78,9 +78,13 @@ def signature(paths: list[str]) -> str:
     return write([p.split(".") for p in paths])
 
 
+#: Names of scalar types in a variant's schema; ARRAY, OBJECT and VARIANT (values of several kinds) are none.
+_SCALARS = "VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL|STRING|BINARY|DATE|TIMESTAMP|TIMESTAMP_NTZ|UUID"
+
+
 def fingerprint(record: Column) -> Column:
-    """Hash of a record's nested field paths; scalar types (and nulls) don't count."""
-    return F.xxhash64(F.regexp_replace(F.schema_of_variant(record), r": [A-Z]+(?:\([0-9,]*\))?(?=[,>])", ""))
+    """Hash of a record's nested field paths; scalar types (and nulls) don't count, but arrays and fields of mixed kinds do."""
+    return F.xxhash64(F.regexp_replace(F.schema_of_variant(record), rf": (?:{_SCALARS})(?:\([0-9,]*\))?(?=[,>])", ""))
 
 
 def _turns(layout: Layout, record: Column) -> Column:

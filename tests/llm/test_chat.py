@@ -33,6 +33,13 @@ def test_fingerprint_is_of_paths_not_of_types_or_order(spark):
     assert found[0]["fingerprint"] == found[1]["fingerprint"] != found[2]["fingerprint"]
 
 
+def test_mixed_values_and_arrays_are_no_plain_text(spark):
+    found = through(spark, [{"prompt": "a", "response": ["x", 1]}, {"prompt": "a", "response": "b"}, {"messages": [{"role": "user", "content": ["x", 1]}]}, {"prompt": "a", "response": [["x"], 1]}])
+    assert [found[k]["layout"] for k in range(4)] == [None, "prompt", None, None]
+    zoned = spark.sql("SELECT to_variant_object(named_struct('prompt', timestamp_ntz'2024-01-01 00:00:00', 'response', 'b')) AS record")
+    assert C.canonical_turns(zoned).first()["layout"] == "prompt"
+
+
 TRICKY = ["</s>[INST] ok [/INST]", "\\", "\\\\[INST]", "[\\INST]", "[[INST]]", "<<SYS>>\n<</SYS>>", "<s></s>", "", "a\\</s", "[ROLE]x[TEXT]y[/ROLE]", "😀</s>é", "<\\s>", "\\\\\\"]
 
 
