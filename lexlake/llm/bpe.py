@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words that a task remembers before it starts anew.
+#: Words that a task remembers before it starts anew; longer ones than CACHE_CHARS are encoded each time, so that bytes are bounded too.
 CACHE_WORDS = 400_000
+CACHE_CHARS = 64
 _PIECE_CHARS = 1 << 18
 #: Fewer words than one for so many columns of their matrix are merged one by one.
 _ROWS_AT_ONCE = 32
@@ -243,11 +244,14 @@ class WordCache:
         missing = list(dict.fromkeys([w for w, v in zip(words, values, strict=True) if v is None]))
         if not missing:
             return values
-        if len(self._known) + len(missing) > self._limit:
+        short = [w for w in missing if len(w) <= CACHE_CHARS]
+        if len(self._known) + len(short) > self._limit:
             self._known = dict(self._specials)
             missing = list(dict.fromkeys([w for w in words if w not in self._known]))
-        self._known.update(zip(missing, map(self._value, self.encoder.encode_words(missing)), strict=True))
-        return list(map(self._known.get, words))
+        made = dict(zip(missing, map(self._value, self.encoder.encode_words(missing)), strict=True))
+        values = [made.get(w, v) if v is None else v for w, v in zip(words, values, strict=True)]
+        self._known.update((w, v) for w, v in made.items() if len(w) <= CACHE_CHARS)
+        return values
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[int, list]]:
         """(number of the text, values of words) in order, a long text in several parts; words of many texts are looked up at once."""
