@@ -1,5 +1,7 @@
 import zlib
 
+import pytest
+
 from lexlake.llm import shards as S
 
 from .conftest import EDGES, make_docs
@@ -16,6 +18,36 @@ def check(rows, texts, shards=8):
     return [sum(r["size"] for r in by.get(k, [])) for k in range(shards)]
 
 
+def brute(rows, shards=8, target=None):
+    """Leaves in order, as lists of doc_ids, by sorting every node as a whole."""
+
+    def split(own, k):
+        size = sum(r["size"] for r in own)
+        if (target and (size <= target or len(own) < 2)) or (not target and k < 2) or not own:
+            return [[r["doc_id"] for r in own]] if own else []
+        d = max(("d0", "d1", "d2"), key=lambda c: max(r[c] for r in own) - min(r[c] for r in own))
+        part, whole = (1, 2) if target else (k // 2, k)
+        before, left, right = 0, [], []
+        for r in sorted(own, key=lambda r: (r[d], r["text_hash"], r["doc_key"], r["row_id"])):
+            (left if before + r["size"] / 2 < size * (part / whole) else right).append(r)
+            before += r["size"]
+        return split(left, k // 2) + split(right, k - k // 2)
+
+    return split(rows, shards)
+
+
+@pytest.mark.parametrize(("how", "window_rows"), [({"shards": 8}, 40), ({"shards": 5}, 0), ({"shards": 1}, 0), ({"target_bytes": 20_000}, 40), ({"target_bytes": 1}, 1 << 20)])
+def test_tree_against_brute_force(docs, monkeypatch, how, window_rows):
+    monkeypatch.setattr(S, "WINDOW_ROWS", window_rows)
+    monkeypatch.setattr(S, "SLACK", 0)
+    monkeypatch.setattr(S, "BINS", 1 << 20)
+    leaves = {}
+    for r in S.kd_shards(docs, **how).collect():
+        leaves.setdefault(r["shard"], set()).add(r["doc_id"])
+    want = brute(S.metadata(docs).collect(), how.get("shards", 8), how.get("target_bytes"))
+    assert [leaves[k] for k in range(len(leaves))] == [set(x) for x in want]
+
+
 def test_edges(edge_docs, no_docs):
     check(S.kd_shards(edge_docs).collect(), [r[1] for r in EDGES])
     assert S.kd_shards(no_docs).collect() == []
