@@ -4,20 +4,21 @@ A text's words (A-Z lower-cased, split at ASCII white space) form 3-word shingle
 bit is 1 if set in over half of the shingles' XXH64 hashes. Two fingerprints link when they differ in at
 most `bits` bits.
 
-Search. Distinct fingerprints are dealt to blocks: the 64 bits are cut into bits + 2 bands, and any
-two fingerprints within `bits` agree on at least two whole bands, so each pair of bands is a block key.
-No candidate is lost, and a block holds few fingerprints unless they are truly alike; a block above
-HOT_BLOCK members is dealt again over the bands of its free bits, which bounds every block.
-Inside a block the fingerprints are sorted by Gray rank and packed into a tree: a node keeps the bits on
-which all below it agree, and a search adds up, from the root down, the differences on the bits that
-each level newly fixes; a sum above `bits` prunes the whole group.
+Search. The 64 bits are cut into bits + 1 bands; two fingerprints within `bits` agree on one whole band at least. For each band, the
+distinct fingerprints are dealt by its first bits, just so many that a block has about BLOCK members, and in each block an index
+does the search: fingerprints sorted by Gray rank, packed into a tree whose nodes keep the bits on which all below them agree
+and their shared pattern. A search adds up, from the root down, the differences on the bits that each level newly
+fixes; a sum above `bits` prunes the whole group. No link is lost, and a fingerprint travels bits + 1 times whatever
+their number. A block above HOT_BLOCK members, whose fingerprints are much alike, is dealt again over pairs of bands of its
+free bits, on one of which any two within `bits` agree.
 
 Links leave a block as a star to one member of each connected group, never as all pairs; components
 then come from large-star / small-star rounds on those links, as Spark joins, with a checkpoint a round.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; a text of
-fewer than three words is one shingle; a null doc_id is ignored for component_id unless a component has
-no other; repeated rows are all returned; an empty table gives an empty result; other columns are ignored.
+fewer than three words is one shingle; a very long text is hashed in pieces of 65,536 shingles; a bit set in exactly half of the
+hashes is 0; a null doc_id is ignored for component_id unless a component has no other; repeated rows are all returned; an
+empty table gives an empty result; other columns, whatever their names, are ignored by the labels and kept by drop_near_copies().
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ from . import alike, common
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 SEED = 42
+#: Members of a block, on average at most, as long as a band has bits enough to tell blocks apart.
+BLOCK = 1024
 #: A block with more members is dealt again over the bits that its key leaves free.
-HOT_BLOCK = 4096
+HOT_BLOCK = 16 * BLOCK
 _TASK_ROWS = 50_000
 _MIN_TASKS = 64
 _FAN_OUT = 16
@@ -119,9 +122,6 @@ class GrayIndex:
 
 def _stars(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, least member) of each connected group within one block."""
-    if len(codes) == 2:
-        near = np.bitwise_count(codes[:1] ^ codes[1:]) <= most
-        return codes.max(keepdims=True)[near], codes.min(keepdims=True)[near]
     index = GrayIndex(codes)
     root = np.arange(len(codes))
     step = max(1, 1_000_000 // len(codes))
@@ -154,14 +154,20 @@ def block_masks(free: int, bits: int) -> list[int]:
     return [a | b for a, b in combinations(_bands(free, bits + 2), 2)]
 
 
+def first_bits(band: int, count: int) -> int:
+    """The highest `count` bits of a band."""
+    places = [k for k in range(63, -1, -1) if band >> k & 1]
+    return sum(1 << k for k in places[:count])
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, bits: int = MAX_BITS, hot_block: int = HOT_BLOCK) -> DataFrame:
+def links(nodes: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, hot_block: int = HOT_BLOCK) -> DataFrame:
     """Links (a, b), a != b, that connect exactly the fingerprints (column fp, distinct) within `bits` of one another."""
-    full = (1 << 64) - 1
-    masks = block_masks(full, bits)
+    full, n = (1 << 64) - 1, nodes.count()
+    masks = [first_bits(band, max(0, n // block).bit_length()) for band in _bands(full, bits + 1)]
     keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key"))
     sizes = keyed.groupBy("t", "key").count().where("count > 1")
     keyed = keyed.join(sizes, ["t", "key"])  # members of blocks of one have no partner here
@@ -180,7 +186,7 @@ def links(nodes: DataFrame, bits: int = MAX_BITS, hot_block: int = HOT_BLOCK) ->
         a, b = (np.concatenate([x[k] for x in found] or [np.array([], np.uint64)]) for k in (0, 1))
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    tasks = max(_MIN_TASKS, -(-len(masks) * nodes.count() // _TASK_ROWS))
+    tasks = max(_MIN_TASKS, -(-len(masks) * n // _TASK_ROWS))
     return blocks.groupBy(F.pmod(F.xxhash64("t", "key", "u", "key2"), F.lit(tasks)).alias("task")).applyInPandas(run, "a long, b long").distinct()
 
 

@@ -71,11 +71,11 @@ def chain(rng, n):
     return out
 
 
-@pytest.mark.parametrize("hot_block", [4096, 8])
-def test_links_against_brute_force(spark, hot_block):
+@pytest.mark.parametrize(("block", "hot_block"), [(1 << 20, 1 << 20), (1024, 16_384), (64, 16_384), (64, 8), (1, 2)])
+def test_links_against_brute_force(spark, block, hot_block):
     prints = sorted(set(chain(random.Random(5), 1500)))
     nodes = spark.createDataFrame([(H._signed(p),) for p in prints], "fp long")
-    found = H.components(H.links(nodes, hot_block=hot_block)).collect()
+    found = H.components(H.links(nodes, block=block, hot_block=hot_block)).collect()
     roots = brute_groups(prints)
     label = {H._signed(p): H._signed(p) for p in prints} | {r["node"]: r["root"] for r in found}
     groups = {}
