@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from lexlake.llm import alike as A
 from lexlake.llm import simhash as H
 
@@ -41,7 +43,10 @@ def changed(rng, words, n):
     return out
 
 
-def test_near_copies_against_brute_force(spark):
+@pytest.mark.parametrize(("pivots", "crowd"), [(2, 64), (0, 1), (1, 3)])
+def test_near_copies_against_brute_force(spark, monkeypatch, pivots, crowd):
+    monkeypatch.setattr(A, "PIVOTS", pivots)
+    monkeypatch.setattr(A, "CROWD", crowd)
     rng = random.Random(3)
     texts = []
     for k in range(40):
@@ -58,6 +63,22 @@ def test_near_copies_against_brute_force(spark):
     assert left == brute_least(rows) and len(left) < len(rows) / 2
 
 
+def test_many_edited_copies_of_one_text(spark, monkeypatch):
+    """Copies with one to twelve words changed, out of few words: not all are alike to another."""
+    monkeypatch.setattr(A, "CROWD", 8)
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(300)}" for _ in range(150)]
+    texts = []
+    for k in range(150):
+        own = list(words)
+        for at in rng.sample(range(len(own)), 1 + k % 12):
+            own[at] = f"w{rng.randrange(40)}"
+        texts.append(" ".join(own[: 150 - k % 3]))
+    rows = list(enumerate(dict.fromkeys(texts)))
+    left = sorted(r["doc_id"] for r in H.drop_near_copies(make_docs(spark, rows)).collect())
+    assert left == brute_least(rows) and 1 < len(left) < len(rows)
+
+
 def test_wordless_texts_are_alike(spark):
     rows = [(4, None), (2, ""), (3, " \n"), (5, "one two"), (1, "two one"), (6, "ONE  two")]
     assert sorted(r["doc_id"] for r in H.drop_near_copies(make_docs(spark, rows)).collect()) == [1, 2, 5]
