@@ -1,10 +1,12 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-For each language seen in training, an order-N character model: counts of N-grams come from Spark, lower
-orders from distinct continuations, one absolute discount for each order. All models share sorted arrays of 64-bit N-gram
-hashes, one for each order; beside each hash lie the log-probability and the back-off weight in every language. A text is
-scored by binary search in those arrays, backing off order by order, and the language of the least cross-entropy per
-character wins.
+For each language seen in training, an order-N character model: counts of N-grams come from Spark, lower orders from distinct
+continuations, an absolute discount for each order. A language's model is fitted in one task, from the bounded sample's counts, and
+kept as sorted arrays of 64-bit N-gram hashes, one for each order, with the log-probability and the back-off weight beside each
+hash: 16 bytes a gram that the language has, whatever the number of languages. (Texts of 2,000 documents have some 80,000 grams of
+all orders in an alphabetic script, so that 200 languages take some 260 MB on the driver and in each worker.) A text is scored
+by binary search in those arrays, backing off order by order, and the language of the least cross-entropy per character wins.
+Many texts are scored together: each distinct N-gram of a batch is looked up once.
 
 Texts are lower-cased; every run of characters that aren't letters or marks becomes one boundary, so that digits, junk and
 white space say nothing about the language.
@@ -17,8 +19,8 @@ Training uses a bounded sample of labelled rows: at most SAMPLE_DOCS for each la
 doc_id, with their whole texts. Prediction covers every row and whole texts.
 
 Defined results: a text that is null or has no letter is `und` with score 0; ties go to the language first in order; with no
-training rows every text is `und`; repeated rows are scored each; an empty table gives an empty result; other
-columns are ignored.
+training rows every text is `und`; repeated rows are scored each; a very long text is scored piece by piece, with the characters before
+each piece in view; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ SAMPLE_DOCS = 2_000
 HELD_BACK = 5  # one of so many sample documents calibrates
 REJECT_SHARE = 0.005
 _PIECE = 1 << 16
+_BATCH_CHARS = 1 << 18
 _BINS = 200
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
@@ -51,76 +54,112 @@ def letters(text: str) -> str:
 
 
 def _codes(text: str) -> np.ndarray:
+    """Code points + 1; 0 stands before the beginning of a text."""
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
 
 
-def gram_hashes(codes: np.ndarray, order: int) -> np.ndarray:
-    """Hash of the `order` characters up to each place from order - 1 on."""
-    n = len(codes) - order + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = codes[:n] * _MIX
-    for k in range(1, order):
-        out = (out ^ (out >> np.uint64(29)) ^ codes[k : k + n]) * _MIX
+def hash_rows(grams: np.ndarray) -> np.ndarray:
+    """Hash of each row of codes."""
+    if grams.shape[1] == 0:
+        return np.zeros(len(grams), np.uint64)
+    out = grams[:, 0].astype(np.uint64) * _MIX
+    for k in range(1, grams.shape[1]):
+        out = (out ^ (out >> np.uint64(29)) ^ grams[:, k].astype(np.uint64)) * _MIX
     return out
 
 
+def _find(table: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+    return at, table[at] == hashes
+
+
 @dataclass
-class Models:
-    """For each order n from 1: sorted hashes, log-probabilities (grams x languages) and log back-off weights of grams as contexts."""
+class Model:
+    """One language. For each order n from 1: sorted hashes, log-probabilities, and log back-off weights of grams as contexts."""
 
-    languages: list[str]
-    order: int
     hashes: list[np.ndarray]
     logp: list[np.ndarray]
     backoff: list[np.ndarray]
-    unseen: np.ndarray
+    unseen: float
+
+    def score(self, grams: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
+        """Log-probabilities. grams[n - 1], contexts[n - 1]: hashes of the last n characters, and of those without the last one."""
+        order = len(self.hashes)
+        out, left = np.zeros(len(grams[0])), np.arange(len(grams[0]))
+        for n in range(order, 0, -1):
+            at, hit = _find(self.hashes[n - 1], grams[n - 1][left])
+            out[left[hit]] += self.logp[n - 1][at[hit]]
+            left = left[~hit]
+            if n == 1:
+                out[left] += self.unseen
+            elif len(left):  # the context's weight, if the context was seen, then the next order
+                at, hit = _find(self.hashes[n - 2], contexts[n - 1][left])
+                out[left[hit]] += self.backoff[n - 2][at[hit]]
+        return out
+
+
+@dataclass
+class Models:
+    languages: list[str]
+    order: int
+    of: list[Model]
     worst: float = float("inf")
     margins: np.ndarray | None = None
     right: np.ndarray | None = None
 
-    def _find(self, n: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        table = self.hashes[n - 1]
-        at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-        return at, table[at] == hashes
-
-    def entropies(self, text: str) -> np.ndarray:
-        """Cross-entropy in nats per character, in each language."""
-        total, count = np.zeros(len(self.languages)), 0
-        for at in range(0, len(text), _PIECE):
-            codes = _codes(text[max(0, at - self.order + 1) : at + _PIECE])
-            new = np.arange(1 if at == 0 else self.order - 1, len(codes))  # the places to score; the first character is a given boundary
-            if len(new):
-                total += self._score(codes, new)
-                count += len(new)
-        return -total / max(count, 1)
-
-    def _score(self, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(self.languages))
-        by_order = [gram_hashes(codes, n) for n in range(1, self.order + 1)]
-        for n in range(self.order, 0, -1):
-            if not len(places):
-                break
-            able = places >= n - 1
-            there, early = places[able], places[~able]
-            at, hit = self._find(n, by_order[n - 1][there - n + 1])
-            total += self.logp[n - 1][at[hit]].sum(axis=0)
-            missed = there[~hit]
-            if n == 1:
-                total += len(missed) * self.unseen
-                break
-            if len(missed):  # the context's weight, if the context was seen, then the next order
-                at, hit = self._find(n - 1, by_order[n - 2][missed - n + 1])
-                total += self.backoff[n - 2][at[hit]].sum(axis=0)
-            places = np.concatenate([missed, early])
-        return total
-
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.languages or not _LETTER.search(text):
-            return "und", 0.0, True
-        entropy = self.entropies(letters(text))
-        best = int(entropy.argmin())
-        return self.languages[best], self.confidence(margin(entropy)), bool(entropy[best] > self.worst)
+    def entropies(self, texts: list[str]) -> np.ndarray:
+        """Cross-entropy in nats per character: a row for each text, a column for each language. Texts as letters() gives them."""
+        total, count = np.zeros((len(self.languages), len(texts))), np.zeros(len(texts))
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            for at in range(0, len(text), _PIECE):
+                codes = _codes(text[max(0, at - self.order + 1) : at + _PIECE])
+                lack = self.order - 1 - min(at, self.order - 1)
+                if at == 0:  # the first character is a given boundary
+                    lack -= 1
+                padded = np.concatenate([np.zeros(max(lack, 0), np.uint64), codes])
+                places = len(padded) - self.order + 1
+                if places > 0:
+                    held.append((k, padded))
+                    count[k] += places
+                    size += places
+                if size >= _BATCH_CHARS:
+                    self._add(held, total)
+                    held, size = [], 0
+        self._add(held, total)
+        return (-total / np.maximum(count, 1)).T
+
+    def _add(self, held: list[tuple[int, np.ndarray]], total: np.ndarray) -> None:
+        """Add the log-probabilities of all places of some pieces, by text."""
+        if not held:
+            return
+        order, codes = self.order, np.concatenate([c for _, c in held])
+        sizes = np.array([len(c) for _, c in held])
+        begins = np.cumsum(sizes) - sizes
+        places = sizes - order + 1
+        starts = np.arange(places.sum()) + np.repeat(begins - (np.cumsum(places) - places), places)
+        out = codes * _MIX
+        for k in range(1, order):  # hash of `order` codes from each place on
+            out[: len(codes) - k] = (out[: len(codes) - k] ^ (out[: len(codes) - k] >> np.uint64(29)) ^ codes[k:]) * _MIX
+        _, first, which = np.unique(out[starts], return_index=True, return_inverse=True)
+        windows = codes[starts[first][:, None] + np.arange(order)]
+        grams = [hash_rows(windows[:, order - n :]) for n in range(1, order + 1)]
+        contexts = [hash_rows(windows[:, order - n : -1]) for n in range(1, order + 1)]
+        of_text, piece = np.array([k for k, _ in held]), np.cumsum(places) - places
+        for n, model in enumerate(self.of):
+            np.add.at(total[n], of_text, np.add.reduceat(model.score(grams, contexts)[which], piece))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """Language, score and whether it is rejected, for each text."""
+        out: list[tuple[str, float, bool]] = [("und", 0.0, True)] * len(texts)
+        able = [k for k, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
+        for k, entropy in zip(able, self.entropies([letters(texts[k]) for k in able]), strict=True):
+            best = int(entropy.argmin())
+            out[k] = (self.languages[best], self.confidence(margin(entropy)), bool(entropy[best] > self.worst))
+        return out
 
     def confidence(self, gap: float) -> float:
         if self.margins is None or not len(self.margins):
@@ -132,68 +171,35 @@ def margin(entropy: np.ndarray) -> float:
     return float(np.diff(np.partition(entropy, 1)[:2])[0]) if len(entropy) > 1 else 1.0
 
 
-def kneser_ney(languages: list[str], order: int, grams: np.ndarray, language: np.ndarray, counts: np.ndarray) -> Models:
-    """Models from counts of N-grams. grams: (rows, order) code points + 1; language: its number on each row."""
-    n_lang = len(languages)
-    levels = []
+def kneser_ney(grams: np.ndarray, counts: np.ndarray, alphabet: int) -> Model:
+    """The model of one language from counts of distinct N-grams; grams: (rows, N) code points + 1."""
+    order, levels, weight = grams.shape[1], [], counts
     for n in range(order, 0, -1):
         # the grams of this order with their counts: raw at the top, distinct left extensions below
-        keyed = np.column_stack([language, grams]).astype(np.int64)
-        unique, inverse = np.unique(keyed, axis=0, return_inverse=True)
-        weight = np.bincount(inverse.ravel(), counts if n == order else np.ones(len(keyed)))
-        levels.append((n, unique[:, 0], unique[:, 1:], weight))
-        language, grams = unique[:, 0], unique[:, 2:]
+        hashes, first, which = np.unique(hash_rows(grams), return_index=True, return_inverse=True)
+        levels.append((hashes, grams[first], np.bincount(which, weight if n == order else np.ones(len(grams)))))
+        grams = grams[first][:, 1:]
     levels.reverse()
-    alphabet = len(np.unique(levels[0][2]))
-    hashes, logp, backoff = [], [], []
-    p_lower = np.full((0, n_lang), 0.0)
-    uniform = 1.0 / (alphabet + 1)
-    unseen = np.zeros(n_lang)
-    for n, lang, gram, weight in levels:
+    made = Model([], [], [], 0.0)
+    below = np.array([1.0 / (alphabet + 1)])
+    for n, (hashes, gram, weight) in enumerate(levels, 1):
         ones, twos = (weight == 1).sum(), (weight == 2).sum()
         discount = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.1), 0.95)
-        table, place = np.unique(hash_rows(gram), return_inverse=True)
-        row = np.zeros(len(table), np.int64)
-        row[place] = np.arange(len(gram))
-        context = gram[row][:, :-1]  # of each distinct gram
-        contexts, at = np.unique(np.column_stack([lang, gram[:, :-1]]), axis=0, return_inverse=True)
-        at = at.ravel()
+        contexts, at = np.unique(hash_rows(gram[:, :-1]), return_inverse=True)
         total, kinds = np.bincount(at, weight), np.bincount(at)
-        spared = discount * kinds / total  # mass for the order below, by (language, context)
-        # a context unseen in a language leaves everything to the order below
-        names = hash_rows(context) if n > 1 else np.zeros(len(table), np.uint64)
-        of_context, slot = np.unique(names, return_inverse=True)
-        spare = np.ones((len(of_context), n_lang))
-        own = hash_rows(contexts[:, 1:]) if n > 1 else np.zeros(len(contexts), np.uint64)
-        spare[np.searchsorted(of_context, own), contexts[:, 0]] = spared
-        if n > 1:
-            lower = p_lower[np.searchsorted(hashes[-1], hash_rows(gram[row][:, 1:]))]
+        spared = discount * kinds / total  # mass for the order below, by context
+        if n == 1:
+            lower, made.unseen = below[0], float(np.log(spared[0] * below[0]))
         else:
-            lower = np.full((len(table), n_lang), uniform)
-            unseen = np.log(spare[0] * uniform)
-        p = spare[slot] * lower
-        np.add.at(p, (place, lang), np.maximum(weight - discount, 0) / total[at])
-        if n > 1:  # weights of contexts lie beside the order below
-            weights = np.zeros((len(hashes[-1]), n_lang))
-            where = np.searchsorted(hashes[-1], of_context)
-            known = (where < len(hashes[-1])) & (hashes[-1][np.minimum(where, len(hashes[-1]) - 1)] == of_context)
-            weights[where[known]] = np.log(spare[known])
-            backoff.append(weights)
-        hashes.append(table)
-        logp.append(np.log(p))
-        p_lower = p
-    backoff.append(np.zeros((len(hashes[-1]), n_lang)))
-    return Models(languages, order, hashes, logp, backoff, unseen)
-
-
-def hash_rows(grams: np.ndarray) -> np.ndarray:
-    if grams.shape[1] == 0:
-        return np.zeros(len(grams), np.uint64)
-    codes = grams.astype(np.uint64)
-    out = codes[:, 0] * _MIX
-    for k in range(1, codes.shape[1]):
-        out = (out ^ (out >> np.uint64(29)) ^ codes[:, k]) * _MIX
-    return out
+            lower = below[_find(made.hashes[-1], hash_rows(gram[:, 1:]))[0]]
+            place, known = _find(made.hashes[-1], contexts)
+            made.backoff[-1][place[known]] = np.log(spared[known])
+        p = np.maximum(weight - discount, 0) / total[at] + spared[at] * lower
+        made.hashes.append(hashes)
+        made.logp.append(np.log(p).astype(np.float32))
+        made.backoff.append(np.zeros(len(hashes), np.float32))
+        below = p
+    return made
 
 
 def held_out(doc_id) -> F.Column:
@@ -234,18 +240,37 @@ def count_grams(sample: DataFrame, order: int) -> DataFrame:
     return sample.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def fit_languages(counts: DataFrame, alphabet: int, order: int) -> DataFrame:
+    """lang, n, hashes, logp, backoff (arrays as bytes) and unseen for each language of counts (lang, gram, n) and each order n."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("gram")
+        grams = np.frombuffer("".join(table["gram"].to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, order).astype(np.uint64) + np.uint64(1)
+        made = kneser_ney(grams, table["n"].to_numpy().astype(np.float64), alphabet)
+        arrays = [[x.tobytes() for x in part] for part in (made.hashes, made.logp, made.backoff)]
+        return pa.table({"lang": [table["lang"][0].as_py()] * order, "n": pa.array(range(1, order + 1), pa.int32()), **dict(zip(("hashes", "logp", "backoff"), arrays)), "unseen": [made.unseen] * order})
+
+    return counts.groupBy("lang").applyInArrow(run, "lang string, n int, hashes binary, logp binary, backoff binary, unseen double")
+
+
 def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> Models:
     sample, languages = training_sample(docs, sample_docs)
     if not languages:
-        return Models([], order, [], [], [], np.zeros(0))
+        return Models([], order, [])
     sample = common.checkpoint(sample)
-    counts = count_grams(sample.where("not calibrates"), order).toArrow()
-    if not counts.num_rows:
-        counts = count_grams(sample, order).toArrow()
-    number = {name: k for k, name in enumerate(languages)}
-    grams = np.frombuffer("".join(counts["gram"].to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, order).astype(np.int64) + 1
-    models = kneser_ney(languages, order, grams, np.array([number[x] for x in counts["lang"].to_pylist()]), counts["n"].to_numpy().astype(np.float64))
-    return calibrate(models, sample.where("calibrates"))
+    counts = common.checkpoint(count_grams(sample.where("not calibrates"), order))
+    alphabet = counts.select(F.right("gram", F.lit(1)).alias("last")).distinct().count()
+    if not alphabet:
+        counts = common.checkpoint(count_grams(sample, order))
+        alphabet = counts.select(F.right("gram", F.lit(1)).alias("last")).distinct().count()
+    known: dict[str, Model] = {}
+    for r in fit_languages(counts, alphabet, order).orderBy("lang", "n").collect():  # a row for each language and order
+        model = known.setdefault(r["lang"], Model([], [], [], r["unseen"]))
+        model.hashes.append(np.frombuffer(r["hashes"], np.uint64))
+        model.logp.append(np.frombuffer(r["logp"], np.float32))
+        model.backoff.append(np.frombuffer(r["backoff"], np.float32))
+    languages = [x for x in languages if x in known]
+    return calibrate(Models(languages, order, [known[x] for x in languages]), sample.where("calibrates"))
 
 
 def calibrate(models: Models, kept_back: DataFrame) -> Models:
@@ -255,15 +280,12 @@ def calibrate(models: Models, kept_back: DataFrame) -> Models:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            out = []
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if text and _LETTER.search(text):
-                    entropy = own.entropies(letters(text))
-                    out.append((min(int(entropy.min() * 50), 2 * _BINS), min(int(margin(entropy) * 100), _BINS), own.languages[int(entropy.argmin())] == lang))
+            rows = [(x, t) for x, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if t and _LETTER.search(t)]
+            out = [(min(int(e.min() * 50), 2 * _BINS), min(int(margin(e) * 100), _BINS), own.languages[int(e.argmin())] == x) for (x, _), e in zip(rows, own.entropies([letters(t) for _, t in rows]), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.bool_()))], ["entropy", "margin", "hit"])
 
     seen = kept_back.select("lang", "text").mapInArrow(run, "entropy int, margin int, hit boolean").groupBy("entropy", "margin").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits")).collect()
-    if seen:
+    if seen and models.languages:
         entropy, gap, n, hits = (np.array([r[c] for r in seen]) for c in ("entropy", "margin", "n", "hits"))
         by = np.bincount(entropy, n)
         models.worst = float((np.flatnonzero(np.cumsum(by) >= by.sum() * (1 - REJECT_SHARE))[0] + 1) / 50)
@@ -290,7 +312,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.predict(x.as_py()) for x in batch.column(2)]
+            found = own.predict(batch.column(2).to_pylist())
             columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 

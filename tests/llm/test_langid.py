@@ -72,29 +72,31 @@ def test_models_against_dictionaries():
     rng = random.Random(4)
     order = 3
     texts = {name: [" " * (order - 1) + G.letters("".join(rng.choice(chars) for _ in range(60))) for _ in range(20)] for name, chars in (("a", "abcd  "), ("b", "cdefgh "))}
-    rows = Counter((k, t[i : i + order]) for k, own in enumerate(texts.values()) for t in own for i in range(len(t) - order + 1))
-    grams = np.array([[ord(c) + 1 for c in g] for _, g in rows], np.int64)
-    models = G.kneser_ney(list(texts), order, grams, np.array([k for k, _ in rows]), np.array(list(rows.values()), float))
-    # discounts are shared by all languages
-    discounts, level = {}, Counter(rows)
-    for n in range(order, 0, -1):
-        ones, twos = (sum(c == k for c in level.values()) for k in (1, 2))
-        discounts[n] = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.1), 0.95)
-        level = Counter((k, g[1:]) for k, g in level)
-    alphabet = len({g[-1] for _, g in rows})
-    plain = [Plain(own, order, alphabet, discounts) for own in texts.values()]
-    for text in ["abc dab", "ghz ef", "zzz", "a", "dcba " * 5]:
-        shown = G.letters(text)
-        want = [-sum(math.log(m.p(shown[max(0, k - order + 1) : k + 1])) for k in range(1, len(shown))) / (len(shown) - 1) for m in plain]
-        assert np.allclose(models.entropies(shown), want), text
-
-
-def test_long_texts_score_as_in_one_piece(docs, monkeypatch):
+    counts = [Counter(t[i : i + order] for t in own for i in range(len(t) - order + 1)) for own in texts.values()]
+    alphabet = len({g[-1] for own in counts for g in own})
+    models, plain = G.Models(list(texts), order, []), []
+    for own, rows in zip(texts.values(), counts):
+        models.of.append(G.kneser_ney(np.array([[ord(c) + 1 for c in g] for g in rows], np.uint64), np.array(list(rows.values()), float), alphabet))
+        discounts, level = {}, Counter(rows)
+        for n in range(order, 0, -1):
+            ones, twos = (sum(c == k for c in level.values()) for k in (1, 2))
+            discounts[n] = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.1), 0.95)
+            level = Counter(g[1:] for g in level)
+        plain.append(Plain(own, order, alphabet, discounts))
+    shown = [G.letters(t) for t in ["abc dab", "ghz ef", "zzz", "a", "dcba " * 5]]
+    want = [[-sum(math.log(m.p(t[max(0, k - order + 1) : k + 1])) for k in range(1, len(t))) / (len(t) - 1) for m in plain] for t in shown]
+    assert np.allclose(models.entropies(shown), want)
+
+
+def test_texts_score_alike_alone_together_and_in_pieces(docs, monkeypatch):
     models = G.train(docs)
-    text = G.letters(" ".join(r["text"] for r in docs.limit(10).collect()))
-    whole = models.entropies(text)
+    texts = [G.letters(r["text"]) for r in docs.limit(10).collect()] + ["", " a ", " "]
+    texts.append(G.letters(" ".join(texts)))
+    whole = models.entropies(texts)
+    assert np.allclose([models.entropies([t])[0] for t in texts], whole)
     monkeypatch.setattr(G, "_PIECE", 97)
-    assert np.allclose(models.entropies(text), whole)
+    monkeypatch.setattr(G, "_BATCH_CHARS", 1000)
+    assert np.allclose(models.entropies(texts), whole)
 
 
 @given(st.lists(st.tuples(st.integers(0, 100), st.integers(0, 100)), min_size=1, max_size=60))
