@@ -62,7 +62,20 @@ def test_documents(docs):
     check(L.scan_licenses(docs).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this {} and associated documentation files (the \"{}\"), to deal in the {} without restriction"
+MIT = """Copyright (c) 2020 A. Body. Permission is hereby granted, free of charge, to any person obtaining a copy of this {0} and associated documentation files (the "{1}"), to deal in the {1} without restriction,
+including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the {1}, and to permit persons to whom the {1} is furnished to do so, {2}subject to the
+following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the {1}. THE {1} IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE {1} OR THE USE OR OTHER DEALINGS IN THE {1}."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{0}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+GRANT = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
 
 
 @pytest.mark.parametrize(
@@ -70,11 +83,27 @@ MIT = "Permission is hereby granted, free of charge, to any person obtaining a c
     [
         ("x Licensed under CC BY-NC 4.0. y", {"cc-by", "cc-by-nc-4.0"}), ("cc by cc by", {"cc-by"}), ("Licensed under the Apache License, Version 2.0.", {"apache-2.0"}),
         ("Licensed under the Apache License, Version 2.1", set()), ("This work is licensed under the GNU General Public License, version 3.", {"gpl", "gpl-3.0"}),
-        ("licensed under the gnu general public license as published by the free software foundation version 3", {"gpl", "gpl-3.0"}), (MIT.format("software", "Software", "Software"), {"mit"}),
-        (MIT.format("fine tool", "Tool", "Tool"), {"mit"}), (MIT.format("one two three", "a", "b"), set()), ("Copyright (c) 2020 Some Body Ltd. All rights reserved.", {"reserved"}), ("all rights not reserved", set()),
-        ("licensed under " * 3000 + "the mit license", {"mit"}),
+        ("licensed under the gnu general public license as published by the free software foundation version 3", {"gpl", "gpl-3.0"}), (MIT.format("software", "Software", ""), {"mit"}),
+        (MIT.format("fine tool", "Tool", "").upper(), {"mit"}), (MIT.format("one two three", "a", ""), set()), (MIT.format("software", "Software", "at a price "), set()), (MIT.format("software", "Software", "")[:300], set()),
+        (BSD.format(""), {"bsd-2-clause"}), (BSD.format(NAMES), {"bsd-3-clause"}), (BSD.format("3. No use on Sundays.\n"), set()), (BSD.format("").replace("must reproduce", "need not reproduce"), set()),
+        (GRANT.format("General Public License", "2"), {"gpl", "gpl-2.0-or-later"}), (GRANT.format("General Public License", "3"), {"gpl", "gpl-3.0-or-later"}),
+        (GRANT.format("Lesser General Public License", "2.1"), {"gpl", "lgpl-2.1-or-later"}), (GRANT.format("Affero General Public License", "3"), {"gpl", "agpl-3.0-or-later"}),
+        ("Copyright (c) 2020 Some Body Ltd. All rights reserved.", {"reserved"}), ("all rights not reserved", set()), ("licensed under " * 3000 + "the mit license", {"mit"}),
     ],
 )
 def test_templates(text, labels):
     own = tuple((label, phrase) for phrase, label in L.PHRASES.items())
     assert set(L.scan(text, own, L.TEMPLATES)[5]) == labels == accepted(text) | {x for x in base(text)[4].split(",") if x}
+
+
+def test_score_of_altered_terms():
+    score = lambda text: L.scan(text, (), L.TEMPLATES)[6]
+    whole = MIT.format("software", "Software", "")
+    assert score(whole) == 1 and score("nothing of the kind") == 0
+    assert 0.35 < score(MIT.format("software", "Software", "at a price ")) < 0.6 and 0.9 < score(whole.replace("OTHER DEALINGS", "ANY DEALINGS")) < 1
+
+
+def test_every_template_accepts_its_own_wording():
+    for label, markup in L.TEMPLATES:
+        bare = re.sub("<<.*?>>", " ", markup)
+        assert L.Automaton.compile(label, markup).match(L.words(bare), 0)[0], label
