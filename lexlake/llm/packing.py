@@ -10,13 +10,17 @@ of a task stays bounded whatever the input. A group leaves only its last bins pa
 below REPACK_BELOW are emptied and their pieces packed again in fewer groups, so that what is lost in the end is
 a fraction of a bin for each REPACK_ROWS such pieces.
 
-Defined results: a null text is empty, and an empty text is the closing id alone; a document over the capacity is
-cut into full pieces and a last shorter one; ties go to the bin opened first; repeated rows are packed each; an empty
-table gives an empty result; other columns are ignored.
+Where attention is bounded below the square of the tokens, no piece is longer than the root of that bound, so that every piece fits a
+sequence under all three capacities.
+
+Defined results: a null text is empty, and an empty text is the closing id alone; a document over the longest piece is
+cut into full pieces and a last shorter one; of equal lengths the piece of the lower row number comes first; ties between bins go to the
+one opened first; repeated rows are packed each; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,12 +48,21 @@ class Capacity:
     documents: int | None = None
     attention: int | None = None
 
+    @property
+    def longest(self) -> int:
+        """Tokens of the longest piece that fits a sequence."""
+        return min(self.tokens, math.isqrt(self.attention)) if self.attention else self.tokens
+
     def vector(self) -> np.ndarray:
         return np.array([self.tokens, self.documents or self.tokens, self.attention or self.tokens**2], np.float64)
 
 
-def best_fit(lengths: np.ndarray, capacity: Capacity, score: str = "norm", weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3)) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each piece."""
+#: Weights of tokens, documents and attention cost in the scores. By default tokens lead, as they alone bind in the default capacities.
+WEIGHTS = (1.0, 1e-3, 1e-3)
+
+
+def best_fit(lengths: np.ndarray, capacity: Capacity, score: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each piece; no piece may be longer than capacity.longest."""
     limit, weight = capacity.vector(), np.array(weights)
     order = np.argsort(-lengths, kind="stable")
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -66,10 +79,10 @@ def best_fit(lengths: np.ndarray, capacity: Capacity, score: str = "norm", weigh
         if len(able):
             if score == "norm":
                 value = sum(w * ((left[k, able] - need[k]) / limit[k]) ** 2 for k, w in enumerate(weight))
-                at = able[int(value.argmin())]
             else:
-                value = sum(w * (left[k, able] / limit[k]) * (need[k] / limit[k]) for k, w in enumerate(weight))
-                at = able[int(value.argmax())]
+                value = -sum(w * (left[k, able] / limit[k]) * (need[k] / limit[k]) for k, w in enumerate(weight))
+            best = able[value == value.min()]
+            at = best[int(number[best].argmin())]
         else:
             if n == left.shape[1]:
                 left, number = np.concatenate([left, np.empty_like(left)], axis=1), np.concatenate([number, np.empty_like(number)])
@@ -121,33 +134,34 @@ def token_pieces(docs: DataFrame, path: str, tokens: int = TOKENS, with_ids: boo
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
 
 
-def _pack_groups(pieces: DataFrame, per_group: int, base: int, capacity: Capacity, score: str) -> DataFrame:
+def _pack_groups(pieces: DataFrame, per_group: int, base: int, capacity: Capacity, score: str, weights: tuple[float, float, float]) -> DataFrame:
     """row_id, length, sequence_id, offset, filled; groups are numbered from base, a sequence by its group and bin."""
     groups = max(1, round(pieces.count() / per_group))
 
     def run(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("row_id", ignore_index=True)
-        bins, offsets = best_fit(batch["length"].to_numpy(), capacity, score)
+        bins, offsets = best_fit(batch["length"].to_numpy(), capacity, score, weights)
         filled = np.bincount(bins, batch["length"].to_numpy()).astype(np.int64)[bins] if len(bins) else bins
         return pd.DataFrame({"row_id": batch["row_id"], "length": batch["length"], "sequence_id": ((base + int(key[0])) << 32) + bins, "offset": offsets, "filled": filled})
 
     dealt = pieces.select("row_id", "length", F.pmod(F.xxhash64("row_id", F.lit(base)), F.lit(groups)).alias("group"))
-    return dealt.groupBy("group").applyInPandas(run, "row_id long, length long, sequence_id long, offset long, filled long")
+    # groups are small in bytes and dear to pack: each may have a task of its own
+    return dealt.repartition(groups, "group").groupBy("group").applyInPandas(run, "row_id long, length long, sequence_id long, offset long, filled long")
 
 
-def place(pieces: DataFrame, capacity: Capacity = Capacity(), score: str = "norm") -> DataFrame:
+def place(pieces: DataFrame, capacity: Capacity = Capacity(), score: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """pieces (row_id, length, ...) with sequence_id and offset."""
-    first = common.checkpoint(_pack_groups(pieces, GROUP_ROWS, 0, capacity, score))
+    first = common.checkpoint(_pack_groups(pieces, GROUP_ROWS, 0, capacity, score, weights))
     loose = F.col("filled") < REPACK_BELOW * capacity.tokens
-    again = _pack_groups(first.where(loose), REPACK_ROWS, 1 << 30, capacity, score)
+    again = _pack_groups(first.where(loose), REPACK_ROWS, 1 << 30, capacity, score, weights)
     columns = ["row_id", "sequence_id", "offset"]
     return pieces.join(first.where(~loose).select(columns).union(again.select(columns)), "row_id")
 
 
-def pack(docs: DataFrame, path: str, capacity: Capacity = Capacity(), score: str = "norm", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: Capacity = Capacity(), score: str = "norm", weights: tuple[float, float, float] = WEIGHTS, with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
-    pieces = common.checkpoint(common.with_row_id(token_pieces(docs, path, capacity.tokens, with_ids)))
-    return place(pieces, capacity, score).drop("row_id")
+    pieces = common.checkpoint(common.with_row_id(token_pieces(docs, path, capacity.longest, with_ids)))
+    return place(pieces, capacity, score, weights).drop("row_id")
 
 
 def sequences(docs: DataFrame, path: str, capacity: Capacity = Capacity()) -> DataFrame:
@@ -162,6 +176,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op6_best_fit_packing": op6_best_fit_packing}
+#: Capacities of which each binds: many short documents fill the second, a few long ones the third.
+TIGHT = Capacity(tokens=TOKENS, documents=8, attention=TOKENS**2 // 4)
+
+
+def packing_vector_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences under three capacities of which each binds, by the weighted dot product: tokens, documents and attention cost of each."""
+    packed = pack(common.read(spark, sf_dir, "documents"), bpe.vocabulary(), TIGHT, "dot", (1.0, 1.0, 1.0))
+    return packed.groupBy("sequence_id").agg(F.sum("length").alias("tokens"), F.count("*").alias("documents"), F.sum(F.col("length") * F.col("length")).alias("attention"))
+
+
+QUERIES = {"op6_best_fit_packing": op6_best_fit_packing, "packing_vector_capacities": packing_vector_capacities}
 #: Tokens and bins have no SQL counterpart; tests/llm checks the pieces and the capacities.
 SQL: dict[str, str] = {}

@@ -111,6 +111,50 @@ def test_every_capacity_holds(score):
         assert sorted(offsets[bins == b]) == sorted(np.cumsum([0, *own[np.argsort(offsets[bins == b])][:-1]]))
 
 
+def brute_fit(lengths, limit, score, weights):
+    """Best-fit in plain numbers: a list of bins in order of opening, each a list of pieces."""
+    most = limit.vector().tolist()
+    bins, left = [], []
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        need = (float(lengths[i]), 1.0, float(lengths[i]) ** 2)
+        best = None
+        for b, rest in enumerate(left):
+            if all(r >= n for r, n in zip(rest, need)):
+                if score == "norm":
+                    value = sum(w * ((r - n) / m) ** 2 for w, r, n, m in zip(weights, rest, need, most))
+                else:
+                    value = -sum(w * (r / m) * (n / m) for w, r, n, m in zip(weights, rest, need, most))
+                if best is None or value < best[0]:
+                    best = (value, b)
+        if best is None:
+            bins.append([])
+            left.append(list(most))
+            best = (0, len(bins) - 1)
+        bins[best[1]].append(i)
+        left[best[1]] = [r - n for r, n in zip(left[best[1]], need)]
+    return bins
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+@pytest.mark.parametrize("weights", [(1.0, 1.0, 1.0), (1.0, 1e-3, 1e-3), (0.0, 1.0, 2.0)])
+@pytest.mark.parametrize("limit", [packing.Capacity(1200, 3, 700_000), packing.Capacity(1200), packing.Capacity(1200, 1000, 300_000), packing.Capacity(1200, 4)])
+def test_scores_against_brute_force(score, weights, limit):
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(rng.choice([rng.integers(1, 60, 400), rng.integers(1, 1300, 400)], axis=0).ravel()[:400], limit.longest)
+    bins, _ = packing.best_fit(lengths, limit, score, weights)
+    found = {}
+    for i in np.lexsort((np.arange(len(lengths)), -lengths)).tolist():
+        found.setdefault(int(bins[i]), []).append(i)
+    assert [found[b] for b in sorted(found)] == brute_fit(lengths.tolist(), limit, score, weights)
+
+
+def test_tight_capacities_bind(spark, sf_dir):
+    limit = packing.TIGHT
+    rows = packing.packing_vector_capacities(spark, sf_dir).collect()
+    assert all(r["tokens"] <= limit.tokens and r["documents"] <= limit.documents and r["attention"] <= limit.attention for r in rows)
+    assert any(r["documents"] == limit.documents for r in rows) and any(r["attention"] > 0.98 * limit.attention for r in rows) and any(r["tokens"] > 0.95 * limit.tokens for r in rows)
+
+
 def test_sequences_hold_the_ids(docs, library):
     made = packing.sequences(docs.limit(20), PATH).collect()
     texts = {r["doc_id"]: r["text"] for r in docs.limit(20).collect()}
