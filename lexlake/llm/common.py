@@ -31,6 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
     return known.get()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it lies."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of df through the shared folder."""
     shared_folder(df.sparkSession)
