@@ -1,6 +1,7 @@
 """Word lists, patterns and labels of the domain, as text. Values only; the rules that use them are elsewhere.
 
-In phrases a space stands for any white space, and ~ for optional white space; other characters are regular expressions.
+In lists of words and phrases a space stands for any white space, and ~ for optional white space. Values with anchors, numbers or other
+syntax are plain regular expressions.
 """
 
 from __future__ import annotations
@@ -51,37 +52,37 @@ TRIM = " \t\n\r.,;:()[]{}\"“”‘’"
 # Headings, on folded text.
 CONTENT_HEADS = ["NOI DUNG VU AN", "TOM TAT NOI DUNG VU AN"]
 REASONING_HEADS = ["NHAN DINH CUA TOA AN", "NHAN DINH CUA HOI DONG XET XU", "HOI DONG XET XU NHAN DINH", "TOA AN NHAN DINH", "XET THAY~:"]
-DECISION_HEADS = [r"^~QUYET DINH~:?~$", r"^~QUYET DINH~:"]
+DECISION_HEADS = [r"^\s*QUYET\s+DINH\s*:?\s*$", r"^\s*QUYET\s+DINH\s*:"]
 DECISION_OFFSET = 200
 DECISION_STOPS = [
-    r"(?<![\w\d])~[3-9]~[.)]~(?:VE )?XU LY VAT CHUNG", r"(?<![\w\d])~[3-9]~[.)]~(?:VE )?VAT CHUNG", r"(?<![\w\d])~[3-9]~[.)]~(?:VE )?BIEN PHAP TU PHAP",
-    r"(?<![\w\d])~[3-9]~[.)]~(?:VE )?AN PHI", r"(?<![\w\d])~[3-9]~[.)]~(?:VE )?QUYEN KHANG CAO", r"(?<![\w\d])~[3-9]~[.)]~THONG BAO QUYEN KHANG CAO",
-    "^~NOI NHAN~:", r"^~TM\.~HOI DONG XET XU", r"^~T/M\.~HOI DONG XET XU", "^~THAM PHAN", r"^~\(DA KY\)", "^-{1,}~TAND", "^-{1,}~VKS", "^-{1,}~BI CAO", "^-{1,}~LUU",
+    r"(?<![\w\d])\s*[3-9]\s*[.)]\s*(?:VE\s+)?XU\s+LY\s+VAT\s+CHUNG", r"(?<![\w\d])\s*[3-9]\s*[.)]\s*(?:VE\s+)?VAT\s+CHUNG", r"(?<![\w\d])\s*[3-9]\s*[.)]\s*(?:VE\s+)?BIEN\s+PHAP\s+TU\s+PHAP",
+    r"(?<![\w\d])\s*[3-9]\s*[.)]\s*(?:VE\s+)?AN\s+PHI", r"(?<![\w\d])\s*[3-9]\s*[.)]\s*(?:VE\s+)?QUYEN\s+KHANG\s+CAO", r"(?<![\w\d])\s*[3-9]\s*[.)]\s*THONG\s+BAO\s+QUYEN\s+KHANG\s+CAO",
+    r"^\s*NOI\s+NHAN\s*:", r"^\s*TM\.\s*HOI\s+DONG\s+XET\s+XU", r"^\s*T/M\.\s*HOI\s+DONG\s+XET\s+XU", r"^\s*THAM\s+PHAN", r"^\s*\(DA\s+KY\)", r"^-{1,}\s*TAND", r"^-{1,}\s*VKS", r"^-{1,}\s*BI\s+CAO", r"^-{1,}\s*LUU",
 ]
 DECISION_STOPS_TRAIN = [
-    r"(?<![,\w\d])~2\. (?:VE )?VIEC XU LY VAT CHUNG", r"(?<![,\w\d])~2\. XU LY VAT CHUNG", r"(?<![,\w\d])~2\. BIEN PHAP TU PHAP", r"(?<![,\w\d])~[23]\. (?:VE )?AN PHI",
-    r"(?<![,\w\d])~[34]\. (?:VE )?QUYEN KHANG CAO", r"\bVE VAT CHUNG VU AN\b", r"\bTICH THU TIEU HUY\b", r"\bTICH THU SUNG (?:VAO )?NGAN SACH\b", r"TM\.~HOI DONG XET XU", "NOI NHAN~:",
-    "THAM PHAN.{0,30}CHU TOA", r"\(DA KY\)", "TRUONG HOP BAN AN DUOC THI HANH", "LUAT THI HANH AN DAN SU",
+    r"(?<![,\w\d])\s*2\.\s+(?:VE\s+)?VIEC\s+XU\s+LY\s+VAT\s+CHUNG", r"(?<![,\w\d])\s*2\.\s+XU\s+LY\s+VAT\s+CHUNG", r"(?<![,\w\d])\s*2\.\s+BIEN\s+PHAP\s+TU\s+PHAP", r"(?<![,\w\d])\s*[23]\.\s+(?:VE\s+)?AN\s+PHI",
+    r"(?<![,\w\d])\s*[34]\.\s+(?:VE\s+)?QUYEN\s+KHANG\s+CAO", r"\bVE\s+VAT\s+CHUNG\s+VU\s+AN\b", r"\bTICH\s+THU\s+TIEU\s+HUY\b", r"\bTICH\s+THU\s+SUNG\s+(?:VAO\s+)?NGAN\s+SACH\b", r"TM\.\s*HOI\s+DONG\s+XET\s+XU", r"NOI\s+NHAN\s*:",
+    r"THAM\s+PHAN.{0,30}CHU\s+TOA", r"\(DA\s+KY\)", r"TRUONG\s+HOP\s+BAN\s+AN\s+DUOC\s+THI\s+HANH", r"LUAT\s+THI\s+HANH\s+AN\s+DAN\s+SU",
 ]
 TITLE_LINES = ["NỘI DUNG VỤ ÁN", "NHẬN ĐỊNH CỦA TÒA ÁN", "NHẬN ĐỊNH CỦA HỘI ĐỒNG XÉT XỬ", "XÉT THẤY", "QUYẾT ĐỊNH"]
 # Headings of annotated documents: section, polarity, heading, what may follow it on its line.
 ANNOTATED_HEADS = [
-    ("noi_dung", "positive", "NỘI DUNG VỤ ÁN", "POSITIVE|ĐOẠN GÁN NHÃN"),
-    ("nhan_dinh", "positive", "NHẬN ĐỊNH(?: CỦA TÒA ÁN| CỦA HỘI ĐỒNG XÉT XỬ)?", "POSITIVE|ĐOẠN GÁN NHÃN"),
-    ("negative", "negative", "NGỮ CẢNH KHÔNG GÁN NHÃN", "NEGATIVE"),
-    ("quyet_dinh", "positive", "QUYẾT ĐỊNH", "POSITIVE"),
+    ("noi_dung", "positive", r"NỘI\s+DUNG\s+VỤ\s+ÁN", r"POSITIVE|ĐOẠN\s+GÁN\s+NHÃN"),
+    ("nhan_dinh", "positive", r"NHẬN\s+ĐỊNH(?:\s+CỦA\s+TÒA\s+ÁN|\s+CỦA\s+HỘI\s+ĐỒNG\s+XÉT\s+XỬ)?", r"POSITIVE|ĐOẠN\s+GÁN\s+NHÃN"),
+    ("negative", "negative", r"NGỮ\s+CẢNH\s+KHÔNG\s+GÁN\s+NHÃN", "NEGATIVE"),
+    ("quyet_dinh", "positive", r"QUYẾT\s+ĐỊNH", "POSITIVE"),
 ]
-HEADING_STYLES = r"^(?:Heading~\d|Title|Subtitle)"
-SUMMARY_OPENING = "^NỘI DUNG VỤ ÁN Theo các tài liệu"
+HEADING_STYLES = r"^(?:Heading\s*\d|Title|Subtitle)"
+SUMMARY_OPENING = r"^NỘI\s+DUNG\s+VỤ\s+ÁN\s+Theo\s+các\s+tài\s+liệu"
 BOILERPLATE = [
-    "^(?:NỘI DUNG VỤ ÁN )?Theo các tài liệu có trong hồ sơ vụ án.*nội dung vụ án được tóm tắt như sau[:.]?$",
-    "^Trên cơ sở nội dung vụ án,~căn cứ vào các tài liệu.*$",
-    "^Hội đồng xét xử nhận định như sau[:.]?$",
-    "^Có đủ cơ sở kết luận[:.]?$",
-    "^Có đủ căn cứ kết luận[:.]?$",
-    "^Hội đồng xét xử có đủ cơ sở kết luận[:.]?$",
+    r"^(?:NỘI\s+DUNG\s+VỤ\s+ÁN\s+)?Theo\s+các\s+tài\s+liệu\s+có\s+trong\s+hồ\s+sơ\s+vụ\s+án.*nội\s+dung\s+vụ\s+án\s+được\s+tóm\s+tắt\s+như\s+sau[:.]?$",
+    r"^Trên\s+cơ\s+sở\s+nội\s+dung\s+vụ\s+án,\s*căn\s+cứ\s+vào\s+các\s+tài\s+liệu.*$",
+    r"^Hội\s+đồng\s+xét\s+xử\s+nhận\s+định\s+như\s+sau[:.]?$",
+    r"^Có\s+đủ\s+cơ\s+sở\s+kết\s+luận[:.]?$",
+    r"^Có\s+đủ\s+căn\s+cứ\s+kết\s+luận[:.]?$",
+    r"^Hội\s+đồng\s+xét\s+xử\s+có\s+đủ\s+cơ\s+sở\s+kết\s+luận[:.]?$",
 ]
-TAIL_NOISE = [r"\*~Vật chứng thu giữ~:", "Vật chứng thu giữ~:", "Biện pháp tư pháp~:", "Về vật chứng~:"]
+TAIL_NOISE = [r"\*\s*Vật\s+chứng\s+thu\s+giữ\s*:", r"Vật\s+chứng\s+thu\s+giữ\s*:", r"Biện\s+pháp\s+tư\s+pháp\s*:", r"Về\s+vật\s+chứng\s*:"]
 CONNECTORS_TRAIN = ["Khoảng", "Vào khoảng", "Vào lúc", "Hồi", "Đến khoảng", "Ngày", "Tại", "Đối với", "Trong đó"]
 CONNECTORS_PREDICT = ["Khoảng", "Vào khoảng", "Vào lúc", "Hồi", "Đến khoảng", "Ngày", "Tại", "Sau đó", "Đến ngày", "Tại bản", "Tại Kết luận"]
 SENTENCE_CAPITALS = "A-ZĐÁÀẢÃẠĂẮẰẶÂẤẦẬÉÈỆÊẾỀÍÌỊÓÒỌÔỐỒỘƠỚỜỢÚÙỤƯỨỪỰÝỲỴ"
@@ -95,8 +96,8 @@ DRUG_NAMES = [
     "nước vui", "happy water", "nước xoài", "nước nho", "tem giấy", "bùa lưỡi", "ma~túy khay", "hàng khay", "nấm thức thần", "thảo mộc khô",
     "ma~tuy da", "hang da", "thuoc phien", "a phien", "can sa", "co my", "thuoc lac", "keo lac", "hong phien", "nuoc vui", "nuoc xoai", "tem giay", "bua luoi", "thao moc kho",
 ]
-WEIGHT = r"\b\d+(?:[.,]\d+)?~(?:gam|gram|g|kg|kilogam|miligam|milligram|mg)\b"
-RANGE_AFTER = r"^~(?:đến|đến dưới|trở lên|trở xuống)\b"
+WEIGHT = r"\b\d+(?:[.,]\d+)?\s*(?:gam|gram|g|kg|kilogam|miligam|milligram|mg)\b"
+RANGE_AFTER = r"^\s*(?:đến|đến\s+dưới|trở\s+lên|trở\s+xuống)\b"
 RANGE_CHARS = 40
 CRIME_ACTIONS = [
     "phạm tội", "tàng trữ", "cất giấu", "cất giữ", "cất trên người", "mua bán", "bán trái phép", "mua .*ma túy", "mua .*ma tuý", "bán .*ma túy", "bán .*ma tuý", "vận chuyển",
@@ -104,7 +105,7 @@ CRIME_ACTIONS = [
     "bị bắt quả tang", "kiểm tra", "phát hiện", "thu giữ", "khám xét",
 ]
 TIME_WORDS = ["Khoảng", "Vào khoảng", "Vào lúc", "Hồi", "Đến khoảng", "Vào hồi", "Ngày", "Chiều ngày", "Tối ngày", "Sáng ngày", "Trưa ngày", "Rạng sáng", "Từ ngày"]
-TIME_FORMS = [r"\b\d{1,2}~(?:giờ|h)~(?:\d{1,2}~phút)?\b", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"]
+TIME_FORMS = [r"\b\d{1,2}\s*(?:giờ|h)\s*(?:\d{1,2}\s*phút)?\b", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"]
 PLACE_WORDS = [
     "tại", "ở", "khu vực", "trước số nhà", "phòng trọ", "nhà trọ", "khách sạn", "nhà nghỉ", "quán", "đường", "phố", "thôn", "xóm", "ấp", "tổ", "khu phố", "xã", "phường",
     "thị trấn", "huyện", "quận", "thành phố", "tỉnh",
@@ -159,7 +160,7 @@ DRUG_HINTS = [
     "ma~túy đá", "hàng khay",
 ]
 TIME_HINTS = ["Khoảng", "Vào khoảng", "Vào lúc", "Hồi", "Đến khoảng", "Ngày", "Sáng ngày", "Trưa ngày", "Chiều ngày", "Tối ngày"]
-TIME_HINT_FORMS = [r"\b\d{1,2}~(?:giờ|h)\b", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"]
+TIME_HINT_FORMS = [r"\b\d{1,2}\s*(?:giờ|h)\b", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"]
 PLACE_HINTS = [
     "tại", "ở", "khu vực", "địa chỉ", "phòng", "nhà trọ", "nhà nghỉ", "khách sạn", "quán", "đường", "phố", "thôn", "xóm", "bản", "ấp", "tổ", "khu phố", "xã", "phường", "huyện",
     "quận", "thành phố", "tỉnh", "ngã ba", "ngã tư",
@@ -184,46 +185,46 @@ CRYSTAL = ("đá", ["ma", "túy", "tuý"], "ma túy đá")
 NOT_DRUGS = ["Đ", "Đ2", "D", "D1", "T", "T1", "N", "N1", "K", "H", "H2", "H3"]
 NOT_DRUG_CONTEXT = ["mẫu nước tiểu", "nước tiểu", "test nhanh", "xét nghiệm", "danh mục", "nghị định", "stt"]
 NOT_WEIGHT_CONTEXT = ["hoàn lại", "còn lại sau giám định", "mẫu hoàn", "mẫu vật còn lại"]
-ENTITY_WEIGHT = r"\b\d+(?:[.,]\d+)?~(?:gam|g|mg|kg|gram|miligam|milligram)\b"
+ENTITY_WEIGHT = r"\b\d+(?:[.,]\d+)?\s*(?:gam|g|mg|kg|gram|miligam|milligram)\b"
 NOT_ARTICLES = [
     "Điều 32", "Điều 47", "Điều 106", "Điều 135", "Điều 136", "Điều 298", "Điều 331", "Điều 333", "Nghị quyết 326", "Bộ luật Tố tụng", "án phí", "vật chứng",
 ]
 PERSON_ENDS = ["phạm", "về", "bị", "xử", "phải", "chịu", "chấp", "từ", "đến"]
 NOT_FIRST_NAMES = ["Tòa", "Viện", "Hội", "Điều", "Bộ", "Căn", "Xử", "Tuyên", "Buộc", "Không", "Miễn", "Tịch", "Trả", "Thời", "Kể"]
 ENTITY_TIMES = [
-    r"\d{1,2}~(?:giờ|h)", r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", r"ngày \d{1,2} tháng \d{1,2} năm \d{4}", "Khoảng", "Vào khoảng", "Hồi", "Đến khoảng", "Sáng ngày", "Trưa ngày",
-    "Chiều ngày", "Tối ngày",
+    r"\d{1,2}\s*(?:giờ|h)", r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", r"ngày\s+\d{1,2}\s+tháng\s+\d{1,2}\s+năm\s+\d{4}", "Khoảng", r"Vào\s+khoảng", "Hồi", r"Đến\s+khoảng", r"Sáng\s+ngày", r"Trưa\s+ngày",
+    r"Chiều\s+ngày", r"Tối\s+ngày",
 ]
 NOT_TIME_CONTEXT = ["kết luận giám định", "cáo trạng", "quyết định đưa vụ án", "ngày xét xử", "thụ lý", "mẫu nước tiểu", "xét nghiệm"]
 ACT_CONTEXT = ["mua", "bán", "giao", "nhận", "sử dụng", "cất giấu", "tàng trữ", "vận chuyển", "bắt quả tang", "kiểm tra", "thu giữ"]
 VAGUE_PLACES = [
     "tại đây", "ở đây", "khu vực này", "khu vực trên", "khu vực nêu trên", "địa điểm trên", "nơi trên", "chỗ đó", "chỗ này", "trên đường",
 ]
-BARE_PLACE = "^(?:xã|phường|huyện|quận|tỉnh|thành phố) [A-ZĐa-zÀ-ỹ0-9]+$"
+BARE_PLACE = r"^(?:xã|phường|huyện|quận|tỉnh|thành\s+phố)\s+[A-ZĐa-zÀ-ỹ0-9]+$"
 CLEAR_PLACES = [
     r"số [A-Z0-9/.-]+", r"phòng \w+", r"nhà trọ\b", r"nhà nghỉ\b", r"khách sạn\b", r"quán\b", r"chợ\b", r"đường\b", r"phố\b", r"ngõ\b", r"ngách\b", r"hẻm\b", r"thôn\b", r"xóm\b",
     r"bản\b", r"ấp\b", r"tổ dân phố\b", r"khu phố\b", r"khóm\b", r"ngã ba\b", r"ngã tư\b", r"chung cư\b", r"khu đô thị\b", r"cổng\b", r"bến xe\b", r"nghĩa trang\b", r"cửa khẩu\b",
 ]
 ADMIN_WORDS = ["xã", "phường", "thị trấn", "huyện", "quận", "thành phố", "tỉnh"]
 NOT_PLACE_CONTEXT = ["nơi thường trú", "hktt", "trú tại", "trụ sở tòa án", "viện kiểm sát", "tòa án nhân dân"]
-FINE = r"(?:phạt tiền|phạt bổ sung).*\d{1,3}(?:\.\d{3})+~đồng"
+FINE = r"(?:phạt\s+tiền|phạt\s+bổ\s+sung).*\d{1,3}(?:\.\d{3})+\s*đồng"
 CHARGE_OBJECT = "chất ma túy"
 CONTEXT_CHARS = 500
 
-# Rules for the decision section: label, rule, pattern, group that is the entity.
+# Rules for the decision section: label, rule, expression, group that is the entity, a word in lower case that every match holds.
 NAME_PART = "(?:[A-ZĐ][a-zàáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵ]+|[A-ZĐ])"
 RULES = [
-    ("PERSON", "decision_person", rf"\bbị cáo ({NAME_PART}(?: {NAME_PART}){{1,5}})", 1),
-    ("PERSON", "decision_person", rf"(?:Tuyên bố|Xử phạt|Buộc) (?:bị cáo )?({NAME_PART}(?: {NAME_PART}){{1,5}})", 1),
-    ("CHARGE", "decision_charge", "(?:Tàng trữ|Mua bán|Vận chuyển|Tổ chức sử dụng|Sử dụng) trái phép chất ma túy", 0),
-    ("LEGAL_ARTICLE", "decision_legal_article", r"\bđiểm [a-z] khoản \d+ Điều \d+[a-z]?\b", 0),
-    ("LEGAL_ARTICLE", "decision_legal_article", r"\bkhoản \d+ Điều \d+[a-z]?\b", 0),
-    ("LEGAL_ARTICLE", "decision_legal_article", r"\bĐiều \d+[a-z]?\b", 0),
-    ("SENTENCE", "decision_sentence", r"(?:Xử phạt|phạt) (?:bị cáo )?[A-ZĐ][^.;:\n]{0,90}? (?:\d{1,2}|[a-zà-ỹ\s]+)~(?:\([^)]*\)~)?(?:năm|tháng) (?:\d{1,2}~(?:\([^)]*\)~)?tháng )?tù", 0),
-    ("SENTENCE", "decision_sentence", r"\b\d{1,2}~(?:\([^)]*\)~)?năm(?: \d{1,2}~(?:\([^)]*\)~)?tháng)? tù\b", 0),
-    ("SENTENCE", "decision_sentence", r"\b\d{1,2}~(?:\([^)]*\)~)?tháng tù\b", 0),
-    ("SENTENCE", "decision_sentence", r"phạt (?:bổ sung )?(?:bị cáo )?[A-ZĐ][^.;:\n]{0,80}? \d{1,3}(?:\.\d{3})+~đồng", 0),
-    ("SENTENCE", "decision_sentence", r"phạt tiền \d{1,3}(?:\.\d{3})+~đồng", 0),
+    ("PERSON", "decision_person", rf"\bbị\s+cáo\s+({NAME_PART}(?:\s+{NAME_PART}){{1,5}})", 1, "cáo"),
+    ("PERSON", "decision_person", rf"(?:Tuyên\s+bố|Xử\s+phạt|Buộc)\s+(?:bị\s+cáo\s+)?({NAME_PART}(?:\s+{NAME_PART}){{1,5}})", 1, None),
+    ("CHARGE", "decision_charge", r"(?:Tàng\s+trữ|Mua\s+bán|Vận\s+chuyển|Tổ\s+chức\s+sử\s+dụng|Sử\s+dụng)\s+trái\s+phép\s+chất\s+ma\s+túy", 0, "phép"),
+    ("LEGAL_ARTICLE", "decision_legal_article", r"\bđiểm\s+[a-z]\s+khoản\s+\d+\s+Điều\s+\d+[a-z]?\b", 0, "điểm"),
+    ("LEGAL_ARTICLE", "decision_legal_article", r"\bkhoản\s+\d+\s+Điều\s+\d+[a-z]?\b", 0, "khoản"),
+    ("LEGAL_ARTICLE", "decision_legal_article", r"\bĐiều\s+\d+[a-z]?\b", 0, "điều"),
+    ("SENTENCE", "decision_sentence", r"(?:Xử\s+phạt|phạt)\s+(?:bị\s+cáo\s+)?[A-ZĐ][^.;:\n]{0,90}?\s+(?:\d{1,2}|[a-zà-ỹ\s]+)\s*(?:\([^)]*\)\s*)?(?:năm|tháng)\s+(?:\d{1,2}\s*(?:\([^)]*\)\s*)?tháng\s+)?tù", 0, "tù"),
+    ("SENTENCE", "decision_sentence", r"\b\d{1,2}\s*(?:\([^)]*\)\s*)?năm(?:\s+\d{1,2}\s*(?:\([^)]*\)\s*)?tháng)?\s+tù\b", 0, "tù"),
+    ("SENTENCE", "decision_sentence", r"\b\d{1,2}\s*(?:\([^)]*\)\s*)?tháng\s+tù\b", 0, "tù"),
+    ("SENTENCE", "decision_sentence", r"phạt\s+(?:bổ\s+sung\s+)?(?:bị\s+cáo\s+)?[A-ZĐ][^.;:\n]{0,80}?\s+\d{1,3}(?:\.\d{3})+\s*đồng", 0, "đồng"),
+    ("SENTENCE", "decision_sentence", r"phạt\s+tiền\s+\d{1,3}(?:\.\d{3})+\s*đồng", 0, "đồng"),
 ]
 
 # Relations: type, label, label of the partner, how many places ahead.

@@ -16,7 +16,8 @@ from pyspark.sql.types import StringType
 
 from . import lexicon as L
 
-EDGES = r"(?U)^\s+|\s+$"
+#: Unicode white space, as (?U)\s has it.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, body) -> Column:
@@ -24,14 +25,35 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_BLOCK = 64
+
+
+def running_sums(values: Column) -> Column:
+    """The sums of the first 1, 2, ... of an array of ints: block by block, since arrays grow by copying."""
+    state = "struct<at:int,sums:array<int>>"
+
+    def prefix(part: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("sums")).cast(state)
+        add = lambda acc, x: let(acc["at"] + x, lambda at: F.struct(at.alias("at"), F.array_append(acc["sums"], at).alias("sums")).cast(state))
+        return F.aggregate(part, zero, add, lambda acc: acc["sums"])
+
+    def by_blocks(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")), lambda k: prefix(F.slice(v, k * _BLOCK + 1, F.lit(_BLOCK))))
+        shifted = lambda b: let(prefix(F.transform(b, lambda x: F.element_at(x, -1))), lambda ends: F.flatten(F.transform(b, lambda x, k: F.transform(x, lambda y: y + F.coalesce(F.get(ends, k - 1), F.lit(0))))))
+        return let(blocks, shifted)
+
+    return let(values, lambda v: F.when(F.size(v) <= _BLOCK, prefix(v)).otherwise(by_blocks(v)))
+
+
 def strip(text: Column) -> Column:
-    """text without white space at both ends."""
-    return F.regexp_replace(text, EDGES, "")
+    """text without white space at both ends; looks at the ends only."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
     """text stripped, and every run of white space one space."""
-    return F.btrim(F.regexp_replace(text, r"(?U)\s+", " "))
+    # single blanks, which are most, are passed over
+    return F.btrim(F.regexp_replace(text, r"(?U)[^\S ]\s*| \s+", " "))
 
 
 def words(text: Column) -> Column:
@@ -95,7 +117,7 @@ def clean_raw(text: Column, profile: str = "predict") -> Column:
     """normalize(), then without page numbers, rules and (predict) the national motto; at most one empty line in a row."""
     page, rule, motto = r"\s*\d{1,3}\s*", r"\s*[-–—_\s]{3,}", r"\s*(?:" + "|".join(L.MOTTO) + r")\s*"
     skip = f"{L.FLAGS}^(?:{page}|{rule}{'|' + motto if profile == 'predict' else ''})$"
-    lines = F.transform(F.filter(F.split(normalize(text, profile), r"\r\n|[\n\r]"), lambda x: ~x.rlike(skip)), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    lines = F.transform(F.filter(F.split(normalize(text, profile), r"\r\n|[\n\r]"), lambda x: ~x.rlike(skip)), lambda x: F.rtrim(x, F.lit(SPACES)))
     return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 

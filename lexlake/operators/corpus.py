@@ -166,13 +166,31 @@ def skip_existing(docs: DataFrame, done: DataFrame) -> DataFrame:
     return docs.join(done.select("source").distinct(), "source", "left_anti")
 
 
+_RANGES = 256
+
+
+def places(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """rows with place, from 0 in the order of a number within each key. A key of any share of the rows is numbered in ranges of `order`.
+
+    The bounds of ranges are approximate quantiles, which decide about balance only: rows before a range are counted, places in it ranked.
+    Rows of one key and order must be few; ties among them are in any order.
+    """
+    bounds = rows.agg(F.percentile_approx(order, [k / _RANGES for k in range(1, _RANGES)], 10_000).alias("q")).first()["q"] or []
+    at = F.col(order)
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b <= at)) if bounds else F.lit(0)
+    ranged = rows.withColumn("_range", part)
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n")).withColumn("_before", before).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(key, "_range").orderBy(order)) - 1
+    return ranged.withColumn("_inside", inside).join(counts, [key, "_range"]).withColumn("place", F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+
+
 def version_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """wanted (stem, n) with the next free name: the stem itself, then stem_1, stem_2, ...; existing: (name)."""
     parsed = existing.select(F.regexp_replace("name", r"_\d+$", "").alias("stem"), F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("name", r"_(\d+)$", 1), F.lit("")), F.lit("999999999")).cast("int"), F.lit(0)).alias("version"))
     top = parsed.groupBy("stem").agg(F.max("version").alias("top"))
-    place = F.row_number().over(Window.partitionBy("stem").orderBy("n"))
-    numbered = wanted.withColumn("_place", place).join(top, "stem", "left").withColumn("version", F.coalesce(F.col("top"), F.lit(-1)) + F.col("_place"))
-    return numbered.withColumn("name", F.when(F.col("version") == 0, F.col("stem")).otherwise(F.concat_ws("_", "stem", "version"))).drop("_place", "top", "version")
+    numbered = places(wanted, "stem", "n").join(top, "stem", "left").withColumn("version", F.coalesce(F.col("top"), F.lit(-1)) + F.col("place") + 1)
+    return numbered.withColumn("name", F.when(F.col("version") == 0, F.col("stem")).otherwise(F.concat_ws("_", "stem", "version"))).drop("place", "top", "version")
 
 
 def top_history(history: DataFrame, k: int = 30) -> DataFrame:

@@ -16,42 +16,47 @@ from ..functions import text as T
 SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
-def extract_spans(text: Column, expression: str, group: int = 0) -> Column:
+def extract_spans(text: Column, expression: str, group: int = 0, trigger: str | None = None, lowered: Column | None = None) -> Column:
     """array<struct<start, end, text>> of all matches, left to right; with a group, of that group, which must end its match.
 
-    Matches must not be empty. Positions are sums of the lengths of matches and of the pieces between them; a text's
-    matches are few here, so the sums are taken within the row.
+    Matches must not be empty. Positions are sums of the lengths of matches and of the pieces between them. trigger: a lower-case word that every match holds; texts without it
+    are not searched. lowered is the text in lower case, if it is known.
     """
 
-    def spans(matches: Column, pieces: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+    def spans(matches: Column) -> Column:
+        pieces = F.slice(F.split(text, expression, -1), F.lit(1), F.size(matches))
+        ends = T.running_sums(F.zip_with(matches, pieces, lambda m, p: F.length(m) + F.length(p)))
 
-        def add(acc: Column, m: Column) -> Column:
-            start = acc["at"] + F.length(m["piece"])
-            inner = F.regexp_extract(m["match"], expression, group) if group else m["match"]
-            shift = F.length(m["match"]) - F.length(inner)
-            span = F.struct((start + shift).alias("start"), (start + shift + F.length(inner)).alias("end"), inner.alias("text"))
-            return F.struct((start + F.length(m["match"])).alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
+        def span(match: Column, end: Column) -> Column:
+            inner = F.regexp_extract(match, expression, group) if group else match
+            return F.struct((end - F.length(inner)).alias("start"), end.alias("end"), inner.alias("text"))
 
-        zipped = F.zip_with(matches, pieces, lambda m, p: F.struct(m.alias("match"), p.alias("piece")))
-        return F.aggregate(F.filter(zipped, lambda z: z["match"].isNotNull()), zero.cast(f"struct<at:int,found:{SPAN}>"), lambda acc, m: add(acc, m).cast(f"struct<at:int,found:{SPAN}>"), lambda acc: acc["found"])
+        return F.zip_with(matches, ends, span)
 
-    found = spans(F.regexp_extract_all(text, F.lit(expression), F.lit(0)), F.split(text, expression, -1))
-    return F.when(text.rlike(expression), found).otherwise(F.array().cast(SPAN))
+    # texts are split only once they are known to hold a match
+    found = T.let(F.regexp_extract_all(text, F.lit(expression), F.lit(0)), lambda m: F.when(F.size(m) > 0, spans(m)))
+    if trigger is not None:
+        found = F.when((F.lower(text) if lowered is None else lowered).contains(trigger), found)
+    return F.coalesce(found, F.array().cast(SPAN))
 
 
-def rule_entities(records: DataFrame) -> DataFrame:
+def rule_entities(records: DataFrame, labels: tuple[str, ...] | None = None) -> DataFrame:
     """Cleaned entities that the rules find in the decision section of records (doc_id, record_idx, section, text).
 
-    Rules nest, and every match stays: an article with its clause also counts alone.
+    Rules nest, and every match stays: an article with its clause also counts alone. labels: those wanted; rules of others don't run.
     """
     decision = records.where(F.col("section") == "quyet_dinh")
-    made = []
-    for label, rule, phrase, group in L.RULES:
-        made.append(F.transform(extract_spans(F.col("text"), L.FLAGS + L.pattern(phrase), group), _tagged(label, rule)))
-    each = decision.select("doc_id", "section", "record_idx", T.context_prefix(F.col("text")).alias("context"), F.inline(F.concat(*made)))
+
+    def search(lowered: Column) -> Column:
+        made = []
+        for label, rule, expression, group, trigger in L.RULES:
+            if labels is None or label in labels:
+                made.append(F.transform(extract_spans(F.col("text"), L.FLAGS + expression, group, trigger, lowered), _tagged(label, rule)))
+        return F.concat(*made)
+
+    each = decision.select("doc_id", "section", "record_idx", T.context_prefix(F.col("text")).alias("context"), F.inline(T.let(F.lower("text"), search)))
     rows = each.select("doc_id", "section", "record_idx", "label", "span.text", "span.start", "span.end", F.lit(1.0).alias("score"), F.lit(True).alias("rule_based"), "rule_name", "context")
-    return clean_entities(rows)
+    return clean_entities(rows, labels)
 
 
 def _tagged(label: str, rule: str):
@@ -66,8 +71,11 @@ def _named(span: Column, label: str) -> Column:
     return F.struct(span["start"].alias("start"), (span["start"] + F.length(name)).alias("end"), name.alias("text"))
 
 
-def clean_entities(entities: DataFrame) -> DataFrame:
-    """entities with their texts normalised by label; those that fail their label's rules are dropped. Positions stay as found."""
+def clean_entities(entities: DataFrame, labels: tuple[str, ...] | None = None) -> DataFrame:
+    """entities with their texts normalised by label; those that fail their label's rules are dropped. Positions stay as found.
+
+    labels: those that may come, if that is known; entities of others are dropped.
+    """
     label, context, raw = F.col("_label"), F.col("context"), F.col("_raw")
     checks = {
         "DRUG": (T.norm_drug, lambda t: ~P.bad_drug(t) & ~P.bad_drug_context(context)),
@@ -81,7 +89,7 @@ def clean_entities(entities: DataFrame) -> DataFrame:
     }
     # each branch gives the normalised text, or null where the label's rules fail
     out = F.lit(None).cast("string")
-    for name, (normal, holds) in checks.items():
+    for name, (normal, holds) in ((n, c) for n, c in checks.items() if labels is None or n in labels):
         out = F.when(label == name, T.let(normal(raw), _kept_if(holds))).otherwise(out)
     named = entities.withColumn("_label", T.label_alias(F.col("label"))).withColumn("_raw", T.trim_entity(F.col("text")))
     # as a generated column it is made once, whatever filters come above

@@ -20,11 +20,12 @@ def locate_sections(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with content_pos, reasoning_pos, decision_pos (null: no such heading); text should be clean."""
     # the folded text is an expensive column that several searches share: it is bound once
     folded = docs.withColumn("_folded", fold_upper(F.col(text)))
-    reasoning = position(F.col("_folded"), L.any_of(L.REASONING_HEADS, lines=True))
-    found = folded.withColumn("content_pos", position(F.col("_folded"), L.any_of(L.CONTENT_HEADS, lines=True))).withColumn("reasoning_pos", reasoning)
+    heads = lambda phrases: L.any_of(phrases, lines=True, flags="(?U)")  # noqa: E731  folded text has capitals only
+    reasoning = position(F.col("_folded"), heads(L.REASONING_HEADS))
+    found = folded.withColumn("content_pos", position(F.col("_folded"), heads(L.CONTENT_HEADS))).withColumn("reasoning_pos", reasoning)
     start = F.coalesce(F.col("reasoning_pos") + L.DECISION_OFFSET, F.lit(0))
     rest = F.substring("_folded", start + 1, F.length("_folded"))
-    return found.withColumn("decision_pos", start + position(rest, L.any_of(L.DECISION_HEADS, lines=True))).drop("_folded")
+    return found.withColumn("decision_pos", start + position(rest, heads(L.DECISION_HEADS))).drop("_folded")
 
 
 def _between(text: Column, start: Column, end: Column | None = None) -> Column:
@@ -94,7 +95,7 @@ def pack_sentences(text: Column, most: int = L.PACK_WORDS) -> Column:
 
 def _until_stop(text: Column, stops: list[str]) -> Column:
     """text up to the first stop, found on its folded form; text and form are computed once."""
-    stop = L.any_of(stops, lines=True)
+    stop = L.any_of(stops, lines=True, flags="(?U)")
     return let(text, lambda t: strip(F.left(t, let(fold_upper(t), lambda f: F.coalesce(position(f, stop), F.length(f))))))
 
 
@@ -137,10 +138,11 @@ def split_heading_prefix(text: Column) -> Column:
     return F.when(body.rlike(L.any_of([L.SUMMARY_OPENING])), plain).otherwise(out)
 
 
-def build_records(docs: DataFrame, mode: str = "raw") -> DataFrame:
+def build_records(docs: DataFrame, mode: str = "raw", sections: tuple[str, ...] | None = None) -> DataFrame:
     """Prediction records of docs (doc_id, source, text): doc_id, record_id, source, record_idx, section, text, ner_targets.
 
-    record_idx counts a document's records from 1; ner_targets are the labels that its section may hold.
+    record_idx counts a document's records from 1; ner_targets are the labels that its section may hold. sections: those wanted; others
+    are not segmented, and record_idx counts the records of those alone.
     """
     cleaned = docs.select("doc_id", source_key(F.col("source")).alias("source"), clean_raw(F.col("text")).alias("text"))
     cut = slice_sections(locate_sections(cleaned)).select("doc_id", "source", "content_text", "reasoning_text", "decision_text")
@@ -148,7 +150,8 @@ def build_records(docs: DataFrame, mode: str = "raw") -> DataFrame:
     content = F.filter(split_paragraphs(F.col("content_text")), lambda x: P.relevant_content_para(x, mode))
     reasoning = F.filter(split_paragraphs(F.col("reasoning_text")), P.relevant_reasoning_para)
     decision = F.filter(F.transform(decision_clauses(F.col("decision_text")), normalize_paragraph), lambda x: x != "")
-    parts = F.concat(tag(content, "noi_dung"), tag(reasoning, "nhan_dinh"), tag(decision, "quyet_dinh"))
+    made = {"noi_dung": content, "nhan_dinh": reasoning, "quyet_dinh": decision}
+    parts = F.concat(*[tag(paras, name) for name, paras in made.items() if sections is None or name in sections])
     rows = cut.select("doc_id", "source", F.posexplode(parts).alias("at", "part")).select("doc_id", "source", (F.col("at") + 1).alias("record_idx"), "part.section", "part.text")
     return rows.select("doc_id", F.format_string("%s::%04d", "source", "record_idx").alias("record_id"), "source", "record_idx", "section", "text", ner_targets(F.col("section")).alias("ner_targets"))
 

@@ -17,12 +17,15 @@ SPANS = "array<struct<start:int,end:int,label:string>>"
 
 
 def tokenize(records: DataFrame, text: str = "text") -> DataFrame:
-    """The non-space runs of each record's text with their positions."""
-    each = records.select("record_id", F.posexplode(F.arrays_zip(F.split(text, r"(?U)\S+", -1).alias("gap"), F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)).alias("token"))).alias("token_idx", "x"))
-    rows = each.where("x.token is not null").select("record_id", "token_idx", "x.token", F.length("x.gap").alias("gap"))
-    run = Window.partitionBy("record_id").orderBy("token_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.col("gap") + F.length("token")).over(run).cast("int")
-    return rows.withColumn("end", end).select("record_id", "token_idx", "token", (F.col("end") - F.length("token")).alias("start"), "end")
+    """The non-space runs of each record's text with their positions, which are summed within the row, so that nothing is shuffled."""
+    tokens, gaps = F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)), F.split(text, r"(?U)\S+", -1)
+
+    def rows(found: Column) -> Column:
+        ends = T.running_sums(F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda token, gap: F.length(gap) + F.length(token)))
+        return F.zip_with(found, ends, lambda token, end: F.struct(token.alias("token"), (end - F.length(token)).alias("start"), end.alias("end")))
+
+    each = records.select("record_id", F.posexplode(T.let(tokens, rows)).alias("token_idx", "x"))
+    return each.select("record_id", "token_idx", "x.token", "x.start", "x.end")
 
 
 def token_windows(tokens: DataFrame, size: int = L.WINDOW_WORDS) -> DataFrame:
@@ -118,23 +121,36 @@ def reanchor(rows: DataFrame) -> DataFrame:
     return rows.withColumn("new_start", start).withColumn("new_end", start + length)
 
 
-def phrase_locate(pages: DataFrame, phrases: DataFrame, hits: int = 20, longest: int = 220) -> DataFrame:
+_ANCHOR_WORDS = 4
+
+
+def phrase_locate(pages: DataFrame, phrases: DataFrame, hits: int | None = None, longest: int | None = None) -> DataFrame:
     """Where phrases (phrase_id, text) stand in pages (page_id, text) as runs of words, case and punctuation aside.
 
-    page_id, phrase_id, first_word, hit: at most `hits` places of a phrase on a page, numbered from 1. Phrases meet
-    pages by their first word, and only runs of the phrase's length are compared.
+    page_id, phrase_id, first_word, hit: the places of a phrase on a page, numbered from 1. Phrases meet pages by the hash of their first
+    words, up to four; what meets is then compared word for word, over the whole phrase. The limits are off unless given: a report of
+    results takes hits=20 places of a phrase on a page, and phrases of longest=220 characters at most.
     """
     key = lambda text: F.filter(F.transform(T.words(text), T.token_key), lambda w: w != "")
-    sought = phrases.where(F.length("text") <= longest).select("phrase_id", key(F.col("text")).alias("words")).where(F.size("words") > 0)
-    sought = sought.select("phrase_id", F.get("words", F.lit(0)).alias("word"), F.size("words").alias("n"), F.array_join("words", " ").alias("run"))
-    tokens = pages.select("page_id", key(F.col("text")).alias("page_words")).select("page_id", F.posexplode("page_words").alias("first_word", "word"))
-    most = sought.agg(F.max("n")).first()[0] or 0
-    ahead = Window.partitionBy("page_id").orderBy("first_word").rowsBetween(Window.currentRow, max(most - 1, 0))
-    runs = tokens.withColumn("ahead", F.collect_list("word").over(ahead))
-    match = F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ") == F.col("run")
-    found = runs.join(sought, "word").where((F.size("ahead") >= F.col("n")) & match)
-    numbered = F.row_number().over(Window.partitionBy("page_id", "phrase_id").orderBy("first_word"))
-    return found.withColumn("hit", numbered).where(F.col("hit") <= hits).select("page_id", "phrase_id", "first_word", "hit")
+    sought = phrases.where(F.length("text") <= longest) if longest is not None else phrases
+    sought = sought.select("phrase_id", key(F.col("text")).alias("run")).where(F.size("run") > 0)
+    sought = sought.withColumn("k", F.least(F.size("run"), F.lit(_ANCHOR_WORDS))).withColumn("anchor", F.xxhash64(F.array_join(F.slice("run", F.lit(1), F.col("k")), " ")))
+    paged = pages.select("page_id", key(F.col("text")).alias("words"))
+    lengths = sorted(r["k"] for r in sought.select("k").distinct().collect())  # at most four numbers
+    if not lengths:
+        return paged.select("page_id", F.lit(None).cast(phrases.schema["phrase_id"].dataType).alias("phrase_id"), F.lit(0).alias("first_word"), F.lit(0).alias("hit")).limit(0)
+
+    def anchors(k: int) -> Column:
+        places = F.sequence(F.lit(0), F.size("words") - k)
+        return F.when(F.size("words") >= k, F.transform(places, lambda i: F.struct(F.lit(k).alias("k"), i.alias("first_word"), F.xxhash64(F.array_join(F.slice("words", i + 1, F.lit(k)), " ")).alias("anchor"))))
+
+    met = paged.select("page_id", F.inline(F.flatten(F.filter(F.array(*map(anchors, lengths)), lambda a: a.isNotNull())))).join(sought, ["k", "anchor"])
+    places = F.struct("phrase_id", "first_word", "run")
+    whole = paged.join(met.groupBy("page_id").agg(F.collect_list(places).alias("places")), "page_id")
+    stands = lambda p: F.slice("words", p["first_word"] + 1, F.size(p["run"])) == p["run"]
+    found = whole.select("page_id", F.inline(F.filter("places", stands))).drop("run")
+    numbered = found.withColumn("hit", F.row_number().over(Window.partitionBy("page_id", "phrase_id").orderBy("first_word")))
+    return (numbered.where(F.col("hit") <= hits) if hits is not None else numbered).select("page_id", "phrase_id", "first_word", "hit")
 
 
 def phrase_stats(phrases: DataFrame, found: DataFrame) -> DataFrame:
@@ -144,7 +160,7 @@ def phrase_stats(phrases: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def unmatched(stats: DataFrame, most: int = 80) -> DataFrame:
-    """The first `most` phrases without a place: the report's cap."""
+    """The longest `most` phrases without a place, ties by phrase_id: a report's cap."""
     return stats.where("occurrences = 0").orderBy(F.desc(F.length("text")), "phrase_id").limit(most)
 
 

@@ -200,11 +200,11 @@ def corpus_polarity_counts(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT source AS stem, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE doc_id % 10 = 0)
+WITH w AS (SELECT source AS stem, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)
 SELECT stem, doc_id, CASE WHEN stem IN ('src1', 'src2') THEN stem || '_' || (n + 4) WHEN stem = 'src3' THEN stem || '_' || n WHEN n = 1 THEN stem ELSE stem || '_' || (n - 1) END AS name FROM w""")
 def corpus_version_names(spark, sf_dir):
     """New names for documents of sources of which some have files already."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 10 = 0").select(F.col("source").alias("stem"), "doc_id", F.col("doc_id").alias("n"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("stem"), "doc_id", F.col("doc_id").alias("n"))
     existing = spark.createDataFrame([("src1",), ("src1_4",), ("src2_4",), ("src2_1",), ("src3",)], "name string")
     return C.version_names(docs, existing).select("stem", "doc_id", "name")
 

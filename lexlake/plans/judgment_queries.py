@@ -82,7 +82,8 @@ def judgment_entities(spark, sf_dir):
 
 @query(_sql("SELECT text AS article, count(*) AS n FROM entities WHERE label = 'LEGAL_ARTICLE' AND text LIKE 'Điều%' GROUP BY text", _ENTITIES))
 def judgment_article_counts(spark, sf_dir):
-    found = E.rule_entities(_records(spark, sf_dir)).where("label = 'LEGAL_ARTICLE'")
+    """Counts need no record numbers, one section and one label: nothing else is segmented or searched."""
+    found = E.rule_entities(S.build_records(fixture.judgments(spark, sf_dir), sections=("quyet_dinh",)), labels=("LEGAL_ARTICLE",))
     return found.where(F.col("text").startswith("Điều")).groupBy(F.col("text").alias("article")).agg(F.count("*").alias("n"))
 
 

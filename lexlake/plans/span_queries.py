@@ -88,19 +88,34 @@ def span_reanchor(spark, sf_dir):
     return X.reanchor(moved).select("record_id", "label", "new_start", "new_end")
 
 
-@query(r"""
-WITH phrases AS (SELECT item_id AS phrase_id, array_to_string(list_slice(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), 1, 3), ' ') AS text FROM benchmark),
-keyed AS (SELECT phrase_id, list_filter(list_transform(string_split_regex(lower(text), '\s+'), lambda w: regexp_replace(w, '[^0-9a-zà-ỹđ]+', '', 'g')), lambda w: w <> '') AS w FROM phrases),
-page_words AS (SELECT doc_id, list_filter(list_transform(string_split_regex(lower(text), '\s+'), lambda w: regexp_replace(w, '[^0-9a-zà-ỹđ]+', '', 'g')), lambda w: w <> '') AS w FROM documents),
+_WORD_KEYS = r"list_filter(list_transform(string_split_regex(lower(text), '\s+'), lambda w: regexp_replace(w, '[^0-9a-zà-ỹđ]+', '', 'g')), lambda w: w <> '')"
+
+
+@query(rf"""
+WITH keyed AS (SELECT item_id AS phrase_id, {_WORD_KEYS} AS w FROM benchmark),
+page_words AS (SELECT doc_id, {_WORD_KEYS} AS w FROM documents),
 tokens AS (SELECT doc_id, w, n - 1 AS first_word, word FROM (SELECT doc_id, w, generate_subscripts(w, 1) AS n, unnest(w) AS word FROM page_words)),
-found AS (SELECT doc_id, phrase_id, first_word, row_number() OVER (PARTITION BY doc_id, phrase_id ORDER BY first_word) AS hit FROM tokens t JOIN keyed k ON t.word = k.w[1] AND list_slice(t.w, first_word + 1, first_word + len(k.w)) = k.w)
-SELECT doc_id AS page_id, phrase_id, first_word::INT AS first_word, hit::INT AS hit FROM found WHERE hit <= 20""")
+met AS (SELECT t.*, k.phrase_id, k.w AS run FROM tokens t JOIN keyed k ON t.word = k.w[1] AND (t.w[first_word + 2] = k.w[2] OR len(k.w) < 2) AND (t.w[first_word + 3] = k.w[3] OR len(k.w) < 3)),
+found AS (SELECT doc_id, phrase_id, first_word, row_number() OVER (PARTITION BY doc_id, phrase_id ORDER BY first_word) AS hit FROM met WHERE list_slice(w, first_word + 1, first_word + len(run)) = run)
+SELECT doc_id AS page_id, phrase_id, first_word::INT AS first_word, hit::INT AS hit FROM found""")
 def span_phrase_locate(spark, sf_dir):
-    """The first three words of each benchmark item, wherever they stand in documents."""
+    """Whole benchmark items, wherever they stand in documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("page_id"), "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("phrase_id"), "text")
+    return X.phrase_locate(docs, items)
+
+
+@query(rf"""
+WITH words AS (SELECT DISTINCT unnest({_WORD_KEYS}) AS word FROM documents),
+opening AS (SELECT conv_id, (string_split_regex(trim(text), '\s+'))[1] AS text FROM conversations WHERE turn = 0 AND text IS NOT NULL),
+keyed AS (SELECT conv_id, text, {_WORD_KEYS}[1] AS key FROM opening)
+SELECT conv_id AS phrase_id, text, 0::BIGINT AS occurrences FROM keyed WHERE key IS NULL OR key NOT IN (SELECT word FROM words) ORDER BY length(text) DESC, conv_id LIMIT 80""")
+def span_unmatched(spark, sf_dir):
+    """A report's cap of 80: the longest opening words of conversations that stand in no document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("page_id"), "text")
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    phrases = items.select(F.col("item_id").alias("phrase_id"), F.array_join(F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 3), " ").alias("text"))
-    return X.phrase_locate(docs, phrases)
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0 and text is not null")
+    words = turns.select(F.col("conv_id").alias("phrase_id"), F.get(F.split(F.trim("text"), r"\s+"), F.lit(0)).alias("text"))
+    return X.unmatched(X.phrase_stats(words, X.phrase_locate(docs, words)))
 
 
 @query(fixture.with_tables("SELECT drug AS text, count(*) AS occurrences FROM annotated WHERE drug <> 'cần sa' GROUP BY drug UNION ALL SELECT 'Fentanyl', 0", "annotated"))

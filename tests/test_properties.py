@@ -181,8 +181,11 @@ def test_select_best_tagger(spark, records):
 def test_phrases(spark):
     pages = spark.createDataFrame([(1, "The Cat, sat on the cat sat."), (2, "x " * 30 + "cat " * 30)], "page_id int, text string")
     phrases = spark.createDataFrame([(1, "the CAT"), (2, "dog"), (3, "cat"), (4, "w " * 200)], "phrase_id int, text string")
-    found = X.phrase_locate(pages, phrases)
+    found = X.phrase_locate(pages, phrases, hits=20, longest=220)
     assert {tuple(r) for r in found.where("page_id = 1").collect()} == {(1, 1, 0, 1), (1, 1, 4, 2), (1, 3, 1, 1), (1, 3, 5, 2)}
     assert found.where("page_id = 2 and phrase_id = 3").count() == 20
+    assert X.phrase_locate(pages, phrases).where("page_id = 2 and phrase_id = 3").count() == 30
+    assert X.phrase_locate(pages.union(spark.createDataFrame([(3, "w " * 250)], pages.schema)), phrases).where("phrase_id = 4").count() == 51
+    assert X.phrase_locate(pages, phrases.limit(0)).count() == 0
     stats = X.phrase_stats(phrases, found)
     assert [r["phrase_id"] for r in X.unmatched(stats).collect()] == [4, 2]
