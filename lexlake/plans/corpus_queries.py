@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,9 +18,13 @@ from .registry import query
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
+    """A new folder that driver and executors share, gone when the session ends: below spark.checkpoint.dir, or the warehouse where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/lexlake-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/lexlake-{uuid.uuid4().hex}")
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return f"{path.toString()}/data"
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,14 +81,11 @@ def source_file_stats(spark, sf_dir):
 
 @query(_GOLD_LINES + "SELECT 'part1.jsonl' AS source_file, count(*) AS n FROM annotated WHERE rid % 2 = 1")
 def source_folder_roundtrip(spark, sf_dir):
-    """Lines written as files, and the folder read again without one of them."""
-    folder = shared_folder(spark)
-    lines = _lines(spark, sf_dir)
-    for name in ("part0.jsonl", "part1.jsonl"):
-        K.write_lines(lines.where(F.col("source_file") == name), "line", f"{folder}/{name}")
-    read = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("source_file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    good, _ = R.records_and_rejects(read.select("source_file", (F.col("n") + 1).alias("line_no"), "line").where("source_file != 'part0.jsonl'"))
-    return good.groupBy("source_file").agg(F.count("*").alias("n"))
+    """Lines written as files of two names, and the folder loaded again without those of one."""
+    folder, lines = shared_folder(spark), _lines(spark, sf_dir)
+    names = [K.write_jsonl(lines.where(F.col("source_file") == f"{n}.jsonl"), "line", folder, n) for n in ("part0", "part1")]
+    good = R.load_corpus(spark, folder, exclude=tuple(names[0]))
+    return good.groupBy(F.regexp_replace("source_file", r"-\d+", "").alias("source_file")).agg(F.count("*").alias("n"))
 
 
 @query(fixture.with_tables("SELECT source, 5 * count(*) AS n FROM judgments GROUP BY source", "judgments"))
@@ -143,17 +144,27 @@ def corpus_resolve_split(spark, sf_dir):
     return C.resolve_split(some, train=0.8, dev=0.1, seed=7).select("source", "split").distinct()
 
 
-@query(_split_sql("SELECT source, 2 AS splits FROM rec WHERE false"))
+@query(_split_sql("SELECT source, count(DISTINCT CASE WHEN rid % 9 = 0 THEN 'test' ELSE split END) AS splits FROM rec GROUP BY source HAVING count(DISTINCT CASE WHEN rid % 9 = 0 THEN 'test' ELSE split END) > 1"))
 def corpus_leaks(spark, sf_dir):
-    return C.leaks(_split(spark, sf_dir))
+    """A sound split into which every ninth record was put by itself, into test."""
+    return C.leaks(_split(spark, sf_dir).withColumn("split", F.when(F.col("rid") % 9 == 0, "test").otherwise(F.col("split"))))
 
 
-@query(_split_sql("""
+@query(_split_sql("SELECT count(*) AS n FROM rec WHERE false"))
+def corpus_no_leaks(spark, sf_dir):
+    """A sound split has none."""
+    return C.leaks(_split(spark, sf_dir)).agg(F.count("*").alias("n"))
+
+
+_STATS = """
 , lab AS (SELECT * FROM (VALUES (0, 'PERSON'), (1, 'DRUG'), (2, 'DRUG_WEIGHT'), (3, 'CRIME_TIME'), (4, 'CRIME_LOC'), (5, 'CHARGE'), (6, 'SENTENCE'), (7, 'LEGAL_ARTICLE')) AS t(row_order, name))
 SELECT l.row_order, l.name, count(u.label) FILTER (split = 'train') AS train, count(u.label) FILTER (split = 'dev') AS dev, count(u.label) FILTER (split = 'test') AS test, count(u.label) AS "all" FROM lab l LEFT JOIN u ON u.label = l.name GROUP BY ALL
 UNION ALL SELECT 8, '#Entities in total', count(*) FILTER (split = 'train'), count(*) FILTER (split = 'dev'), count(*) FILTER (split = 'test'), count(*) FROM u
 UNION ALL SELECT 9, '#Rows/snippets in total', count(*) FILTER (split = 'train'), count(*) FILTER (split = 'dev'), count(*) FILTER (split = 'test'), count(*) FROM rec
-UNION ALL SELECT 10, '#Source judgments in total', count(DISTINCT source) FILTER (split = 'train'), count(DISTINCT source) FILTER (split = 'dev'), count(DISTINCT source) FILTER (split = 'test'), count(DISTINCT source) FROM rec"""))
+UNION ALL SELECT 10, '#Source judgments in total', count(DISTINCT source) FILTER (split = 'train'), count(DISTINCT source) FILTER (split = 'dev'), count(DISTINCT source) FILTER (split = 'test'), count(DISTINCT source) FROM rec"""
+
+
+@query(_split_sql(_STATS))
 def corpus_split_stats(spark, sf_dir):
     return C.split_stats(_split(spark, sf_dir), _uneven(spark, sf_dir))
 
@@ -165,26 +176,73 @@ def corpus_split_samples(spark, sf_dir):
     return C.split_samples(_split(spark, sf_dir), _uneven(spark, sf_dir))
 
 
-@query(_split_sql("""
-, everyone AS (SELECT split, record_id, source FROM rec UNION ALL SELECT 'all', record_id, source FROM rec), ub AS (SELECT split, label FROM u UNION ALL SELECT 'all', label FROM u)
-SELECT b.split, count(*) AS records, count(DISTINCT source) AS documents, (SELECT count(*) FROM ub WHERE ub.split = b.split) AS entities, (SELECT count(*) FROM ub WHERE ub.split = b.split AND label = 'DRUG') AS drugs FROM everyone b GROUP BY b.split"""))
+_DOC_STATS = """
+, everyone AS (SELECT split, record_id, source FROM rec UNION ALL SELECT 'all', record_id, source FROM rec), ub AS (SELECT split, label FROM u UNION ALL SELECT 'all', label FROM u),
+stats AS (SELECT b.split, count(*) AS records, count(DISTINCT source) AS documents, (SELECT count(*) FROM ub WHERE ub.split = b.split) AS entities,
+  (SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM (SELECT label, count(*) AS n FROM ub WHERE ub.split = b.split GROUP BY label)) AS labels FROM everyone b GROUP BY b.split)
+"""
+
+
+def _pairs(labels: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+
+
+@query(_split_sql(_DOC_STATS + "SELECT split, records, documents, entities, labels FROM stats"))
 def corpus_doc_stats(spark, sf_dir):
-    return C.doc_stats(_split(spark, sf_dir), _uneven(spark, sf_dir)).select("split", "records", "documents", "entities", F.element_at("labels", "DRUG").alias("drugs"))
+    return C.doc_stats(_split(spark, sf_dir), _uneven(spark, sf_dir)).withColumn("labels", _pairs(F.col("labels")))
 
 
-@query(_split_sql("""
-SELECT 42 AS seed, 0.85 AS train_ratio, count(*) AS records, (SELECT count(*) FROM u WHERE split = 'test') AS test_entities FROM rec"""))
+@query(_split_sql(_DOC_STATS + "SELECT 42 AS seed, 0.85 AS train_ratio, 0.1 AS dev_ratio, split, records, documents, entities, labels FROM stats"))
 def corpus_split_report(spark, sf_dir):
-    """The JSON report, read again."""
+    """The JSON report with all its fields, read again."""
     report = C.split_report(C.doc_stats(_split(spark, sf_dir), _uneven(spark, sf_dir)))
-    read = report.select(F.from_json("report", "seed int, train_ratio double, stats map<string,string>").alias("r"))
-    return read.select("r.seed", "r.train_ratio", F.get_json_object(F.element_at("r.stats", "all"), "$.records").cast("long").alias("records"), F.get_json_object(F.element_at("r.stats", "test"), "$.entities").cast("long").alias("test_entities"))
+    read = report.select(F.from_json("report", "seed int, train_ratio double, dev_ratio double, stats map<string,string>").alias("r"))
+    each = read.select("r.seed", "r.train_ratio", "r.dev_ratio", F.explode("r.stats").alias("split", "json"))
+    stats = each.withColumn("s", F.from_json("json", "records long, documents long, entities long, labels map<string,long>"))
+    return stats.select("seed", "train_ratio", "dev_ratio", "split", "s.records", "s.documents", "s.entities", _pairs(F.col("s.labels")).alias("labels"))
 
 
-@query(_split_sql("""
-SELECT 9 AS row_order, '| #Rows/snippets in total | ' || format('{:,}', count(*) FILTER (split = 'train')) || ' | ' || format('{:,}', count(*) FILTER (split = 'dev')) || ' | ' || format('{:,}', count(*) FILTER (split = 'test')) || ' | ' || format('{:,}', count(*)) || ' |' AS line FROM rec"""))
+def _stats_sql(body: str) -> str:
+    return _split_sql(_STATS.replace("SELECT l.row_order, l.name", "stats AS (SELECT l.row_order, l.name").replace("AS t(row_order, name))\n", "AS t(row_order, name)),\n") + ")\n" + body)
+
+
+@query(_stats_sql("""SELECT row_order, '| ' || name || ' | ' || format('{:,}', train) || ' | ' || format('{:,}', dev) || ' | ' || format('{:,}', test) || ' | ' || format('{:,}', "all") || ' |' AS line FROM stats"""))
 def corpus_stats_markdown(spark, sf_dir):
-    return C.stats_markdown(C.split_stats(_split(spark, sf_dir), _uneven(spark, sf_dir))).where("row_order = 9")
+    return C.stats_markdown(C.split_stats(_split(spark, sf_dir), _uneven(spark, sf_dir)))
+
+
+@query(_stats_sql("""SELECT 'name,train,dev,test,all' AS line UNION ALL SELECT name || ',' || train || ',' || dev || ',' || test || ',' || "all" FROM stats"""))
+def sink_stats_csv(spark, sf_dir):
+    """The lines of the statistics file, written and read again; readers take the byte order mark off."""
+    path = shared_folder(spark)
+    K.write_stats_csv(C.split_stats(_split(spark, sf_dir), _uneven(spark, sf_dir)), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query(fixture.with_tables("SELECT form, label, count(*) AS support, 0.5 AS f1 FROM gold, (VALUES ('csv'), ('json')) AS f(form) GROUP BY form, label", "annotated", "gold"))
+def sink_metrics_roundtrip(spark, sf_dir):
+    """A table of metrics in both forms, read again."""
+    folder = shared_folder(spark)
+    metrics = fixture.gold(spark, sf_dir).groupBy("label").agg(F.count("*").alias("support")).withColumn("f1", F.lit(0.5))
+    for form in ("csv", "json"):
+        K.write_metrics(metrics, f"{folder}/{form}", form=form)
+    csv = spark.read.option("header", True).csv(f"{folder}/csv").select(F.lit("csv").alias("form"), "label", F.col("support").cast("long").alias("support"), F.col("f1").cast("double").alias("f1"))
+    return csv.union(spark.read.json(f"{folder}/json").select(F.lit("json"), "label", "support", "f1"))
+
+
+@query(fixture.with_tables("SELECT doc_id, source, (n - 1)::INT AS para_idx, 'Normal' AS style, line AS text FROM judgments, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, n) WHERE line <> ''", "judgments"))
+def source_paragraph_table(spark, sf_dir):
+    """Lines of judgments as paragraphs of annotated documents."""
+    lines = fixture.judgments(spark, sf_dir).select("doc_id", F.concat("source", F.lit(" (2)")).alias("source"), F.posexplode(F.split("text", "\n")).alias("para_idx", "text"))
+    return R.paragraph_table(lines.withColumn("style", F.lit("Normal")))
+
+
+@query(fixture.with_tables("SELECT doc_id, n::INT - 1 AS idx, line AS text FROM judgments, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, n) WHERE line <> '' AND n <> 2", "judgments"))
+def corpus_anti_units(spark, sf_dir):
+    """Lines of judgments that aren't among their positive units."""
+    docs = fixture.judgments(spark, sf_dir)
+    units = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text")).where("text != ''")
+    return C.anti_units(units, S.positive_content(docs)).select("doc_id", "idx", "text")
 
 
 @query(fixture.with_tables("""
@@ -260,14 +318,13 @@ def corpus_strict_records(spark, sf_dir):
     return R.strict_records(lines).select("record_id", "source", T.count_words(F.col("text")).alias("n_words"))
 
 
-@query(fixture.with_tables("SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM judgments GROUP BY source", "judgments"))
+@query(fixture.with_tables("SELECT 'part' AS stem, count(*) AS n, sum(length(text) + 1)::BIGINT AS chars FROM judgments", "judgments"))
 def source_read_documents(spark, sf_dir):
-    """All judgments written as text files, in a folder for each source, and the files read as documents."""
+    """All judgments written as text files, and the files read as documents."""
     folder = shared_folder(spark)
-    docs = fixture.judgments(spark, sf_dir)
-    docs.repartition("source", F.col("doc_id") % 2).select("source", F.col("text").alias("value")).write.partitionBy("source").option("lineSep", "\u0001").text(folder)
-    read = spark.read.option("recursiveFileLookup", True).text(folder, lineSep="\u0001").withColumn("source", F.regexp_extract(F.col("_metadata.file_path"), "source=([^/]+)/", 1))
-    return read.groupBy(T.source_key(F.col("source")).alias("source")).agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
+    K.write_lines(fixture.judgments(spark, sf_dir), "text", folder)
+    read = R.read_documents(spark, folder).select(F.left("source", F.lit(4)).alias("stem"), F.regexp_count("text", F.lit("QUYẾT ĐỊNH:")).alias("n"), F.length("text").alias("chars"))
+    return read.groupBy("stem").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
 
 
 @query(_split_sql("SELECT split, count(*) AS n FROM rec GROUP BY split"))

@@ -9,7 +9,8 @@ from ..functions import gloss
 from ..functions import predicates as P
 from ..operators import entities as E
 from ..operators import segment as S
-from . import fixture, pipeline
+from ..operators import tagger
+from . import cases, fixture, pipeline
 from .registry import query
 
 # SQL below restates what the template of the judgments holds; it shares no rule with the operators.
@@ -197,6 +198,22 @@ def judgment_result_json(spark, sf_dir):
     return read.select("doc_id", "r.n_entities", F.size("r.relations").cast("long").alias("n_relations"), F.length("r.nhan_dinh").cast("long").alias("reasoning_chars"))
 
 
+@query(_sql("""
+SELECT label, true AS rule_based, count(*) AS n FROM entities GROUP BY label
+UNION ALL SELECT 'DRUG', false, count(*) FROM judgments WHERE regexp_matches(split_part(text, chr(10), 2), 'Methamphetamine|Heroine|Ketamine|MDMA')""", _ENTITIES))
+def judgment_model_and_rules(spark, sf_dir):
+    """The whole pipeline with a tagger beside the rules; the tagger's charges belong to no section that it is asked about."""
+
+    def load():
+        import re
+
+        found = re.compile("Methamphetamine|Heroine|Ketamine|MDMA")
+        return lambda text: [{"label": kind, "start": m.start(), "end": m.end(), "text": m[0], "score": 0.9} for m in found.finditer(text) for kind in ("DRUG", "CHARGE")]
+
+    made = pipeline.analyse(fixture.judgments(spark, sf_dir), tagger.register_tagger(load))
+    return made.entities.groupBy("label", "rule_based").agg(F.count("*").alias("n"))
+
+
 @query(_sql("SELECT doc_id, label, text AS word, lower(text) AS word_key, ord FROM entities", _ENTITIES))
 def judgment_best_score(spark, sf_dir):
     return E.best_score(_ordered(spark, sf_dir)).select("doc_id", "label", "word", "word_key", "ord")
@@ -232,6 +249,34 @@ def judgment_predicates(spark, sf_dir):
     return _records(spark, sf_dir).groupBy("section", "record_idx").agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in tests.items()])
 
 
+_UNITS = [(name, text, holds) for name, (yes, no) in cases.UNITS.items() for texts, holds in ((yes, True), (no, False)) for text in texts]
+_UNITS_SQL = ", ".join(f"({k}, '{name}', {str(holds).lower()})" for k, (name, _, holds) in enumerate(_UNITS))
+
+
+@query(f"SELECT name, holds, count(*) AS n FROM orders JOIN (VALUES {_UNITS_SQL}) AS u(k, name, holds) ON u.k = o_orderkey % {len(_UNITS)} GROUP BY name, holds")
+def judgment_unit_rules(spark, sf_dir):
+    """Every predicate on units where it is known to hold or to fail, dealt out over all orders."""
+    texts = F.element_at(F.array(*[F.lit(t) for _, t, _ in _UNITS]), F.col("k") + 1)
+    names = F.element_at(F.array(*[F.lit(n) for n, _, _ in _UNITS]), F.col("k") + 1)
+    units = fixture.orders(spark, sf_dir).select((F.col("o_orderkey") % len(_UNITS)).cast("int").alias("k")).select(names.alias("name"), texts.alias("text"))
+    holds = F.lit(None).cast("boolean")
+    for name in cases.UNITS:
+        test = (lambda t: P.relevant_content_para(t, "filtered")) if name == "relevant_content_para" else getattr(P, name)
+        holds = F.when(F.col("name") == name, test(F.col("text"))).otherwise(holds)
+    return units.groupBy("name", holds.alias("holds")).agg(F.count("*").alias("n"))
+
+
+_CASES_SQL = ", ".join(f"({k}, {cases.sql_text('PERSON' if label == 'DEFENDANT' else label)}, {cases.sql_text(clean)})" for k, (label, _, _, clean) in enumerate(cases.ENTITIES))
+
+
+@query(f"SELECT o_orderkey AS doc_id, label, clean AS text FROM orders JOIN (VALUES {_CASES_SQL}) AS c(k, label, clean) ON c.k = o_orderkey % {len(cases.ENTITIES)} WHERE clean IS NOT NULL")
+def judgment_entity_rules(spark, sf_dir):
+    """Cleaning of entities that pass and fail their labels' rules, dealt out over all orders."""
+    each = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("label", "text", "context"), case[:3], strict=True)]) for case in cases.ENTITIES])
+    dealt = fixture.orders(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), F.element_at(each, (F.col("o_orderkey") % len(cases.ENTITIES) + 1).cast("int")).alias("c"))
+    return E.clean_entities(dealt.select("doc_id", "c.*", F.lit(1.0).alias("score"))).select("doc_id", "label", "text")
+
+
 _GLOSS = ", ".join(f"('{label}', {n}, '{key}', '{text.replace(chr(39), chr(39) * 2)}')" for n, (label, keys, text) in enumerate(gloss.GLOSS) for key in keys)
 _GLOSS_DEFAULT = "CASE e.label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in gloss.DEFAULTS.items()) + " ELSE '' END"
 

@@ -20,7 +20,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    """source_file, line_no and line of files of JSON lines, of any size; line numbers count from 1, blank lines too."""
+    """source_file, line_no and line of files of JSON lines, of any size; line numbers count from 1, blank lines too.
+
+    The files are scanned twice within one query, by the same plan: both scans cut them into the same blocks, in the same order.
+    """
     reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
     lines = reader.option("lineSep", "\n").text(paths).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,21 @@ def write_split(records: DataFrame, path: str, mode: str = "errorifexists") -> N
     annotated_lines(records).write.mode(mode).partitionBy("split").text(path)
 
 
+BOM = "\ufeff"
+
+
+def stats_lines(stats: DataFrame) -> DataFrame:
+    """row_order and value: the table of statistics as lines of CSV, a header with a byte order mark first."""
+    columns = [c for c in stats.columns if c != "row_order"]
+    header = stats.sparkSession.createDataFrame([(-1, BOM + ",".join(columns))], "row_order int, value string")
+    text = lambda c: F.col(c).cast("string")
+    field = lambda c: F.when(text(c).rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text(c))
+    return header.union(stats.select("row_order", F.concat_ws(",", *map(field, columns)).alias("value")))
+
+
 def write_stats_csv(stats: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    stats.orderBy("row_order").drop("row_order").coalesce(1).write.mode(mode).option("header", True).csv(path)
+    """One file of some ten lines, which spreadsheets open as UTF-8."""
+    stats_lines(stats).repartition(1).sortWithinPartitions("row_order").select("value").write.mode(mode).text(path)
 
 
 def write_lines(lines: DataFrame, column: str, path: str, mode: str = "errorifexists") -> None:
@@ -44,5 +59,22 @@ def write_bio(tagged: DataFrame, path: str, mode: str = "errorifexists") -> None
     export_bio(tagged).select(F.concat("block", F.lit("\n")).alias("value")).write.mode(mode).text(path)
 
 
-def write_metrics(metrics: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    metrics.write.mode(mode).option("header", True).csv(path)
+def write_metrics(metrics: DataFrame, path: str, mode: str = "errorifexists", form: str = "csv") -> None:
+    """form: csv (with a header) or json (a line for each row)."""
+    writer = metrics.write.mode(mode)
+    writer.json(path) if form == "json" else writer.option("header", True).csv(path)
+
+
+def write_jsonl(lines: DataFrame, column: str, folder: str, stem: str) -> list[str]:
+    """Lines as files stem-00000.jsonl, ... of a folder that may hold others; their names."""
+    spark, made = lines.sparkSession, []
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    apart = f"{folder}/_new-{uuid.uuid4().hex}"
+    write_lines(lines, column, apart)
+    store = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in sorted(store.listStatus(path(apart)), key=lambda x: x.getPath().getName()):
+        if status.getPath().getName().startswith("part-"):
+            made.append(f"{stem}-{len(made):05d}.jsonl")
+            store.rename(status.getPath(), path(f"{folder}/{made[-1]}"))
+    store.delete(path(apart), True)
+    return made

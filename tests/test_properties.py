@@ -189,3 +189,11 @@ def test_phrases(spark):
     assert X.phrase_locate(pages, phrases.limit(0)).count() == 0
     stats = X.phrase_stats(phrases, found)
     assert [r["phrase_id"] for r in X.unmatched(stats).collect()] == [4, 2]
+
+
+def test_statistics_file_begins_with_a_byte_order_mark(spark, tmp_path):
+    from lexlake.sources import sinks as K
+
+    K.write_stats_csv(spark.createDataFrame([(1, 'a "b", c', 5), (0, "#x", 7)], "row_order int, name string, n int"), f"{tmp_path}/stats")
+    (part,) = (tmp_path / "stats").glob("part-*")
+    assert part.read_bytes().decode() == '﻿name,n\n#x,7\n"a ""b"", c",5\n'
