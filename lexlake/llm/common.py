@@ -20,13 +20,14 @@ def let(value: Column, body) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    A folder of this machine is set only where the session names none (local tests).
+    Where the session names none, one is set: a folder of this machine in local mode, else one below the warehouse.
     """
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
     if known.isEmpty():
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        one_machine = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        context.setCheckpointDir(named or (tempfile.mkdtemp(prefix="spark-checkpoint-") if one_machine else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoint"))
         known = context._jsc.sc().getCheckpointDir()
     return known.get()
 
