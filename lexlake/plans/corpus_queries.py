@@ -88,6 +88,19 @@ def source_folder_roundtrip(spark, sf_dir):
     return good.groupBy(F.regexp_replace("source_file", r"-\d+", "").alias("source_file")).agg(F.count("*").alias("n"))
 
 
+@query(fixture.with_tables("""
+SELECT 'records' AS kind, 'part0.jsonl' AS name, count(*) AS n FROM annotated WHERE rid % 2 = 0 AND (rid % 10 <> 0 OR rid // 10 % 5 IN (3, 4))
+UNION ALL SELECT 'rejects', 'part0.jsonl', count(*) FROM annotated WHERE rid % 10 = 0 AND rid // 10 % 5 IN (1, 2)
+UNION ALL SELECT 'label', label, count(*) + CASE WHEN label = 'DRUG' THEN (SELECT count(*) FROM annotated WHERE rid % 10 = 0 AND rid // 10 % 5 = 4) ELSE 0 END FROM gold WHERE rid % 2 = 0 AND rid % 10 <> 0 GROUP BY label""", "annotated", "gold"))
+def source_merge_annotated(spark, sf_dir):
+    """The report of a folder that is merged without the files of one name: good and bad lines by file, spans by label."""
+    folder, lines = shared_folder(spark), _lines(spark, sf_dir)
+    names = [K.write_jsonl(lines.where(F.col("source_file") == f"{n}.jsonl"), "line", folder, n) for n in ("part0", "part1")]
+    _, by_file, by_label = R.merge_annotated(spark, folder, exclude=tuple(names[1]))
+    files = by_file.groupBy(F.regexp_replace("source_file", r"-\d+", "").alias("name")).agg(F.sum("records").alias("records"), F.sum("rejects").alias("rejects"))
+    return files.unpivot("name", ["records", "rejects"], "kind", "n").select("kind", "name", "n").union(by_label.select(F.lit("label"), "label", "n"))
+
+
 @query(fixture.with_tables("SELECT source, 5 * count(*) AS n FROM judgments GROUP BY source", "judgments"))
 def sink_records_roundtrip(spark, sf_dir):
     """Prediction records written by source, counted from the files."""

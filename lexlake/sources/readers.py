@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.spans import explode_spans
 
 SPANS = "array<struct<start:int,end:int,label:string>>"
 
@@ -96,6 +97,16 @@ def load_corpus(spark: SparkSession, folder: str, exclude: tuple[str, ...] = ())
     return records_and_rejects(lines.where(~F.col("source_file").isin(list(exclude))) if exclude else lines)[0]
 
 
+def merge_annotated(spark: SparkSession, folder: str, exclude: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As load_corpus(), with its report: good records; (source_file, records, rejects, entities); (label, n) of usable spans."""
+    lines = read_lines(spark, folder, "*.jsonl")
+    parsed = parse_annotated(lines.where(~F.col("source_file").isin(list(exclude))) if exclude else lines)
+    good = parsed.where("error is null").drop("error", "line")
+    by_file = parsed.groupBy("source_file").agg(
+        F.count_if(F.col("error").isNull()).alias("records"), F.count_if(F.col("error").isNotNull()).alias("rejects"), F.sum(F.when(F.col("error").isNull(), F.size("spans")).otherwise(0)).alias("entities"))
+    return good, by_file, explode_spans(good).groupBy("label").agg(F.count("*").alias("n"))
+
+
 def paragraph_table(paragraphs: DataFrame) -> DataFrame:
     """Paragraphs (doc_id, source, para_idx, style, text) in one shape, whatever they come with; empty ones are dropped."""
     return paragraphs.select("doc_id", T.source_key(F.col("source")).alias("source"), F.col("para_idx").cast("int").alias("para_idx"), F.coalesce("style", F.lit("")).alias("style"), T.normalize(F.col("text"), "annotated").alias("text")).where("text != ''")
