@@ -20,6 +20,7 @@ empty result; other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -93,8 +94,10 @@ class _Search:
 
 
 def _joined(rows: DataFrame, nodes: list[tuple], kind: str, how: str = "inner") -> DataFrame:
-    """rows with the columns of a table of nodes."""
-    table = rows.sparkSession.createDataFrame(nodes, kind)
+    """rows with the columns of a table of nodes, which comes as one JSON text, so that no Python worker makes rows of it."""
+    names = [c.split()[0] for c in kind.split(", ")]
+    listed = F.from_json(F.lit(json.dumps([dict(zip(names, n, strict=True)) for n in nodes])), f"array<struct<{kind}>>")
+    table = rows.sparkSession.range(1).select(F.inline(listed))
     return rows.join(F.broadcast(table) if len(nodes) <= _BROADCAST_NODES else table, "node", how)
 
 
