@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, langid, licenses, packing, pii, quality, shards, simhash
+from . import bpe, chat, exact_dedup, langid, licenses, packing, pii, quality, repeats, shards, simhash
 
-MODULES = [chat, langid, quality, licenses, shards, packing, exact_dedup, bpe, pii, simhash]
+MODULES = [chat, langid, quality, licenses, shards, packing, exact_dedup, bpe, pii, simhash, repeats]
 
 
 def queries() -> dict:
