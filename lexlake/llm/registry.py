@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, langid, licenses, packing, pii, quality, repeats, shards, simhash
+from . import bpe, chat, exact_dedup, langid, licenses, packing, pii, quality, repeats, shards, simhash, trie
 
-MODULES = [chat, langid, quality, licenses, shards, packing, exact_dedup, bpe, pii, simhash, repeats]
+MODULES = [chat, langid, quality, licenses, shards, packing, exact_dedup, bpe, pii, simhash, repeats, trie]
 
 
 def queries() -> dict:
