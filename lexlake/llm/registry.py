@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, langid, licenses, packing, pii, quality, repeats, shards, simhash, trie
+from . import bpe, chat, exact_dedup, langid, licenses, packing, pii, quality, repeats, shards, simhash, trie, whitening
 
-MODULES = [chat, langid, quality, licenses, shards, packing, exact_dedup, bpe, pii, simhash, repeats, trie]
+MODULES = [chat, langid, quality, licenses, shards, packing, exact_dedup, bpe, pii, simhash, repeats, trie, whitening]
 
 
 def queries() -> dict:
