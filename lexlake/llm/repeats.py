@@ -123,7 +123,7 @@ def piece_rows(texts: DataFrame, length: int, hot: Hot) -> DataFrame:
         run = np.zeros(len(order), bool)
         run[order[1:]] = same
         no_id, doc_id, text_hash = (np.array([d[k] for d in docs])[of] for k in range(3))
-        dest = np.where(run, text_hash, hot.dest(anchor, piece))
+        dest = np.where(run, text_hash ^ (doc_id.astype(np.int64) << 20) ^ first, hot.dest(anchor, piece))
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (dest, anchor, piece, no_id, doc_id.astype(np.int64), text_hash, first.astype(np.int32), last.astype(np.int32), run)], ENTRY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
