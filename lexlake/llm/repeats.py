@@ -34,12 +34,12 @@ from . import common
 
 LENGTH = 100
 #: Different pieces of an anchor from which it is dealt into parts, and pieces of a block that one task merges at once.
-HOT_ROWS = 32_768
+HOT_ROWS = 16_384
 #: One text in so many is read to find hot anchors; there are at most HOT_SHARE of them.
 SAMPLE, HOT_SHARE = 16, 16_384
 #: Pieces of a shard with a transform of its own.
 SHARD_PIECES = 2048
-_CHUNK_BYTES = 16_000_000
+_CHUNK_BYTES = 8_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 ENTRY = ["dest", "anchor", "piece", "no_id", "doc_id", "text_hash", "first", "last", "run"]
