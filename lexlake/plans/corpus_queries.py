@@ -101,6 +101,55 @@ def source_merge_annotated(spark, sf_dir):
     return files.unpivot("name", ["records", "rejects"], "kind", "n").select("kind", "name", "n").union(by_label.select(F.lit("label"), "label", "n"))
 
 
+def _rich_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines with fields that no reader asks for: whole meta objects, others without a source, null ones, labels under their other name or missing."""
+    rows = _records(spark, sf_dir)
+    triples = F.to_json(F.transform("spans", lambda s: F.array(s["start"].cast("string"), s["end"].cast("string"), s["label"])))
+    labels = F.regexp_replace(triples, r'"(\d+)"', "$1")
+    number = lambda c: c.cast("string")
+    way = [
+        F.concat(F.lit('"labels": '), labels, F.lit(', "meta": {"para_idx": '), number(F.col("rid") % 50), F.lit(', "source": "'), F.col("source"), F.lit('", "source_file": "orig.jsonl", "section": "noi_dung", "ner_targets": ["DRUG", "PERSON"]}')),
+        F.concat(F.lit('"meta": {"section": "quyet_dinh"}, "label": '), labels), F.lit('"meta": null'), F.lit('"labels": null, "label": "x", "meta": {"source": null, "flag": true}'),
+    ]
+    head = F.concat(F.lit('{"note": {"rev": '), number(F.col("rid") % 7), F.lit(', "by": [1.5, null]}, "id": "'), F.col("record_id"), F.lit('", "text": "'), F.col("text"), F.lit('", '))
+    line = F.concat(head, F.element_at(F.array(*way), (F.col("rid") % 4 + 1).cast("int")), F.lit("}"))
+    return rows.select(F.concat(F.lit("part"), number(F.col("rid") % 2), F.lit(".jsonl")).alias("source_file"), F.col("rid").cast("int").alias("line_no"), line.alias("line"))
+
+
+def _rich_sql(body: str) -> str:
+    return fixture.with_tables("", "annotated", "gold").rstrip() + """,
+l AS (SELECT rid, '[' || string_agg('[' || start_at || ',' || end_at || ',"' || label || '"]', ',' ORDER BY start_at) || ']' AS labels FROM gold GROUP BY rid),
+r AS (SELECT a.*, l.labels, 'part' || a.rid % 2 AS stem, '"note":{"by":[1.5,null],"rev":' || a.rid % 7 || '},' AS note FROM annotated a JOIN l USING (rid))
+""" + body
+
+
+@query(_rich_sql("""SELECT '{"id":"' || record_id || '",' || CASE rid % 4
+  WHEN 0 THEN '"labels":' || labels || ',"meta":{"ner_targets":["DRUG","PERSON"],"para_idx":' || rid % 50 || ',"section":"noi_dung","source":"' || source || '","source_file":"orig.jsonl"},'
+  WHEN 1 THEN '"labels":' || labels || ',"meta":{"section":"quyet_dinh","source":"' || stem || '","source_file":"' || stem || '.jsonl"},'
+  WHEN 2 THEN '"labels":[],"meta":{"source":"' || stem || '","source_file":"' || stem || '.jsonl"},'
+  ELSE '"label":"x","labels":[],"meta":{"flag":true,"source":null,"source_file":"' || stem || '.jsonl"},' END || note || '"text":"' || text || '"}' AS line FROM r"""))
+def source_lossless_merge(spark, sf_dir):
+    """Annotated records read and merged into one folder with all that they came with."""
+    folder = shared_folder(spark)
+    good, _ = R.records_and_rejects(_rich_lines(spark, sf_dir))
+    K.write_jsonl(K.merged_lines(good), "value", folder, "merged")
+    return spark.read.text(folder).select(F.col("value").alias("line"))
+
+
+@query(_rich_sql("""SELECT CASE rid % 3 WHEN 0 THEN 'dev' ELSE 'train' END AS split, '{"id":"' || record_id || '",' || CASE rid % 4
+  WHEN 0 THEN '"labels":' || labels || ',"meta":{"ner_targets":["DRUG","PERSON"],"para_idx":' || rid % 50 || ',"section":"noi_dung","source":"' || source || '","source_file":"orig.jsonl",'
+  WHEN 1 THEN '"labels":' || labels || ',"meta":{"section":"quyet_dinh","source":"' || stem || '","source_file":"' || stem || '.jsonl",'
+  WHEN 2 THEN '"labels":[],"meta":{"source":"' || stem || '","source_file":"' || stem || '.jsonl",'
+  ELSE '"label":"x","labels":[],"meta":{"flag":true,"source":"' || stem || '","source_file":"' || stem || '.jsonl",' END || '"split":"' || CASE rid % 3 WHEN 0 THEN 'dev' ELSE 'train' END || '"},' || note || '"text":"' || text || '"}' AS line FROM r"""))
+def source_lossless_split(spark, sf_dir):
+    """Annotated records read, given a split and written by split: meta and unknown fields are still there."""
+    folder = shared_folder(spark)
+    good, _ = R.records_and_rejects(_rich_lines(spark, sf_dir))
+    rid = F.regexp_extract("record_id", r"R(\d+)", 1).cast("long")
+    K.write_split(good.withColumn("split", F.when(rid % 3 == 0, "dev").otherwise("train")), folder)
+    return spark.read.text(folder).select("split", F.col("value").alias("line"))
+
+
 @query(fixture.with_tables("SELECT source, 5 * count(*) AS n FROM judgments GROUP BY source", "judgments"))
 def sink_records_roundtrip(spark, sf_dir):
     """Prediction records written by source, counted from the files."""

@@ -47,8 +47,10 @@ def _field(record: Column, name: str, kind: str) -> Column:
 
 
 def spans_of(record: Column) -> Column:
-    """The spans of a record: labels, label or entities, as triples or as objects; null when the field is no list."""
-    labels = F.coalesce(*[F.when(~F.is_variant_null(v), v) for v in (_field(record, n, "variant") for n in ("labels", "label", "entities"))])
+    """The spans of a record, as triples or as objects: of the first of labels, label and entities that it has; null when that field is no list."""
+    fields = _object(record, "$")
+    first = F.get(F.filter(F.array(*map(F.lit, ("labels", "label", "entities"))), lambda n: F.map_contains_key(fields, n)), F.lit(0))
+    labels = T.let(F.element_at(fields, first), lambda v: F.when(~F.is_variant_null(v), v))
     listed = F.try_variant_get(labels, "$", "array<variant>")
 
     def span(v: Column) -> Column:
@@ -60,8 +62,35 @@ def spans_of(record: Column) -> Column:
     return F.when(labels.isNull(), F.array().cast(SPANS)).otherwise(F.filter(F.transform(listed, span), lambda s: s["label"].isNotNull()).cast(SPANS))
 
 
+def _object(record: Column, path: str) -> Column:
+    """The fields of an object of a record; none where there is no object."""
+    return F.coalesce(F.try_variant_get(record, path, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+
+
+def set_fields(fields: Column, **values: Column) -> Column:
+    """fields (a map of variants) with some of them set, whatever they were before."""
+    others = F.map_filter(fields, lambda k, _: ~k.isin(list(values)))
+    return F.map_concat(others, F.create_map(*[x for name, value in values.items() for x in (F.lit(name), value.cast("variant"))]))
+
+
+def with_defaults(record: Column, source_file: Column) -> Column:
+    """The whole record as it came, but for what must be there: labels (a list) and meta with source and source_file.
+
+    labels is what the record calls labels, or else label; null counts as an empty list. A meta that is no object is replaced. Fields of meta
+    that are there stay, be they null; all others, of meta and of the record, pass through.
+    """
+    fields, meta = _object(record, "$"), _object(record, "$.meta")
+    named = F.map_contains_key(fields, F.lit("labels"))
+    labels = F.element_at(fields, F.when(named, F.lit("labels")).otherwise(F.lit("label")))
+    kept = F.map_filter(fields, lambda k, _: (k != "label") | named)
+    defaults = F.create_map(F.lit("source"), F.regexp_replace(source_file, r"\.jsonl$", "").cast("variant"), F.lit("source_file"), source_file.cast("variant"))
+    whole_meta = F.map_concat(meta, F.map_filter(defaults, lambda k, _: ~F.map_contains_key(meta, k)))
+    listed = F.when(labels.isNull() | F.is_variant_null(labels), F.parse_json(F.lit("[]"))).otherwise(labels)
+    return F.to_variant_object(set_fields(kept, labels=listed, meta=F.to_variant_object(whole_meta)))
+
+
 def parse_annotated(lines: DataFrame) -> DataFrame:
-    """lines with what they say: error (null: a record), record_id, source, text, spans, split.
+    """lines with what they say: error (null: a record), record_id, source, text, spans, split, and the whole record with its defaults (a VARIANT).
 
     error is `json` for a line that doesn't parse, `text` for a record without a text, `labels` for labels that are no list.
     The source defaults to the file's name without its ending.
@@ -74,21 +103,24 @@ def parse_annotated(lines: DataFrame) -> DataFrame:
     source = F.coalesce(F.nullif(_field(record, "meta.source", "string"), F.lit("")), F.nullif(_field(record, "source", "string"), F.lit("")), F.regexp_replace("source_file", r"\.jsonl$", ""))
     return parsed.select(
         "source_file", "line_no", "line", error.alias("error"), F.coalesce(_field(record, "id", "string"), F.concat_ws(":", "source_file", "line_no")).alias("record_id"),
-        source.alias("source"), text.alias("text"), "spans", _field(record, "meta.split", "string").alias("split"),
+        source.alias("source"), text.alias("text"), "spans", _field(record, "meta.split", "string").alias("split"), with_defaults(record, F.col("source_file")).alias("record"),
     )
 
 
 def records_and_rejects(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good records, and (source_file, line_no, error, line) of the others."""
+    """Good records, with their lines as they were, and (source_file, line_no, error, line) of the others."""
     parsed = parse_annotated(lines)
-    return parsed.where("error is null").drop("error", "line"), parsed.where("error is not null").select("source_file", "line_no", "error", "line")
+    return parsed.where("error is null").drop("error"), parsed.where("error is not null").select("source_file", "line_no", "error", "line")
 
 
 def strict_records(lines: DataFrame) -> DataFrame:
-    """Records of lines that must all be good: the first look at a bad one fails the job, with its file and line."""
+    """Records of lines that must all be good: the first bad one fails the job, with its file and line.
+
+    The check is a filter, so no plan that reads the rows can leave it out, whichever columns it asks for.
+    """
     parsed = parse_annotated(lines)
     where = F.concat(F.lit("bad record ("), F.col("error"), F.lit(") in "), F.col("source_file"), F.lit(":"), F.col("line_no").cast("string"))
-    return parsed.withColumn("text", F.when(F.col("error").isNull(), F.col("text")).otherwise(F.raise_error(where).cast("string"))).drop("error", "line")
+    return parsed.where(F.when(F.col("error").isNotNull(), F.raise_error(where).cast("boolean")).otherwise(F.lit(True))).drop("error")
 
 
 def load_corpus(spark: SparkSession, folder: str, exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -101,7 +133,7 @@ def merge_annotated(spark: SparkSession, folder: str, exclude: tuple[str, ...] =
     """As load_corpus(), with its report: good records; (source_file, records, rejects, entities); (label, n) of usable spans."""
     lines = read_lines(spark, folder, "*.jsonl")
     parsed = parse_annotated(lines.where(~F.col("source_file").isin(list(exclude))) if exclude else lines)
-    good = parsed.where("error is null").drop("error", "line")
+    good = parsed.where("error is null").drop("error")
     by_file = parsed.groupBy("source_file").agg(
         F.count_if(F.col("error").isNull()).alias("records"), F.count_if(F.col("error").isNotNull()).alias("rejects"), F.sum(F.when(F.col("error").isNull(), F.size("spans")).otherwise(0)).alias("entities"))
     return good, by_file, explode_spans(good).groupBy("label").agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.spans import export_bio
+from .readers import _object, set_fields
 
 
 def record_lines(records: DataFrame) -> DataFrame:
@@ -21,13 +22,25 @@ def write_records(records: DataFrame, path: str, mode: str = "errorifexists") ->
 
 
 def annotated_lines(records: DataFrame) -> DataFrame:
-    """split and value: a JSON line for each annotated record, spans as triples."""
+    """split and value: a JSON line for each annotated record, spans as triples.
+
+    Records that were read (with a column record) keep all fields that they came with; id, text, labels and the meta fields source and split are set.
+    """
     triple = F.transform("spans", lambda s: F.concat(F.lit("["), F.concat_ws(",", s["start"], s["end"]), F.lit(',"'), s["label"], F.lit('"]')))
     labels = F.concat(F.lit("["), F.array_join(triple, ","), F.lit("]"))
+    if "record" in records.columns:
+        meta = F.map_filter(set_fields(_object(F.col("record"), "$.meta"), source=F.col("source"), split=F.col("split")), lambda k, v: v.isNotNull())
+        whole = set_fields(_object(F.col("record"), "$"), id=F.col("record_id"), text=F.col("text"), labels=F.parse_json(labels), meta=F.to_variant_object(meta))
+        return records.select("split", F.to_json(F.to_variant_object(whole)).alias("value"))
     head = F.to_json(F.struct(F.col("record_id").alias("id"), "text", F.struct("source", "split").alias("meta")))
     return records.select("split", F.concat(F.left(head, F.length(head) - 1), F.lit(',"labels":'), labels, F.lit("}")).alias("value"))
 
 
+def merged_lines(records: DataFrame) -> DataFrame:
+    """source_file and value: the JSON line of each record that was read, with the defaults of the readers and all that it came with."""
+    return records.select("source_file", F.to_json("record").alias("value"))
+
+
 def write_split(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
     annotated_lines(records).write.mode(mode).partitionBy("split").text(path)
 

@@ -1,5 +1,6 @@
 """Properties of splits, spans and metrics, and totals of a published corpus."""
 
+import json
 import random
 
 import pytest
@@ -124,13 +125,30 @@ def test_readers_on_files(spark, tmp_path):
     assert sorted((r["line_no"], r["error"]) for r in bad.collect()) == [(3, "json"), (4, "text"), (6, "labels")]
     spans = {(r["start"], r["end"], r["label"]) for r in X.explode_spans(good).collect()}
     assert spans == {(0, 1, "DRUG"), (0, 2, "PERSON"), (1, 3, "DRUG")}
-    with pytest.raises(Exception, match="bad record .json. in a.jsonl:3"):
-        R.strict_records(lines).collect()
+    strict = R.strict_records(lines)
+    for read in (strict.collect, strict.count, strict.select("record_id").collect, strict.groupBy("source").count().collect, strict.select(F.lit(1)).collect, strict.agg(F.max("line_no")).collect):
+        with pytest.raises(Exception, match="bad record .json. in a.jsonl:3"):
+            read()
+    assert R.strict_records(lines.where("line_no not in (3, 4, 6)")).count() == 5
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs/BA 5 (2).txt").write_text("một\nhai")
     assert [tuple(r) for r in R.read_documents(spark, f"{tmp_path}/docs").collect()] == [("BA 5", "một\nhai")]
 
 
+def test_records_keep_what_they_came_with(spark):
+    whole = {"id": "a::1", "text": "Lò Văn H", "labels": [[0, 8, "PERSON"]], "stray": {"x": [1, 2.5, None]}, "meta": {"source": "s", "source_file": "orig.jsonl", "section": "noi_dung", "ner_targets": ["DRUG"], "para_idx": 3, "split": "dev"}}
+    others = [{"text": "t", "labels": None, "label": [[0, 1, "DRUG"]], "meta": None}, {"text": "t", "label": [[0, 1, "DRUG"]], "meta": [1]}, {"text": "t", "meta": {"source": None}}]
+    lines = spark.createDataFrame([("f.jsonl", k, json.dumps(x, ensure_ascii=False)) for k, x in enumerate([whole, *others])], "source_file string, line_no int, line string")
+    good, bad = R.records_and_rejects(lines)
+    assert bad.count() == 0 and [r["line"] for r in good.orderBy("line_no").collect()] == [r["line"] for r in lines.collect()]
+    merged = [json.loads(r["value"]) for r in K.merged_lines(good.orderBy("line_no")).collect()]
+    named = {"source": "f", "source_file": "f.jsonl"}
+    assert merged == [whole, {"text": "t", "label": [[0, 1, "DRUG"]], "labels": [], "meta": named}, {"text": "t", "labels": [[0, 1, "DRUG"]], "meta": named}, {"text": "t", "labels": [], "meta": {"source": None, "source_file": "f.jsonl"}}]
+    written = {(x := json.loads(r["value"]))["id"]: x for r in K.annotated_lines(good.withColumn("split", F.lit("test"))).collect()}
+    assert written["a::1"] == whole | {"meta": whole["meta"] | {"split": "test"}}
+    assert written["f.jsonl:2"] == {"id": "f.jsonl:2", "text": "t", "labels": [[0, 1, "DRUG"]], "meta": named | {"split": "test"}}
+
+
 def test_line_numbers_of_files_that_are_split(spark, tmp_path):
     made = {f"{name}.jsonl": [f"{name} line {k}" if k % 7 else "" for k in range(n)] for name, n in (("a", 900), ("b", 5), ("c", 1300))}
     for name, lines in made.items():
