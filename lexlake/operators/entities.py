@@ -2,6 +2,10 @@
 
 Entities are rows: doc_id, section, record_idx, label, text, start, end, score, rule_based, rule_name, context. Work by
 document is one shuffle on doc_id; everything before it is narrow.
+
+Views of a document take docs, the documents that must have one: those without records or entities get empty texts, empty lists, counts of 0
+and lines that say so. Their ids travel in the shuffle that groups the view, as rows without anything else, so no join is added.
+Without docs a view has the documents that have something to show.
 """
 
 from __future__ import annotations
@@ -150,10 +154,15 @@ def relations(ordered: DataFrame) -> DataFrame:
     return each.select("doc_id", "r.rel_type", "from_text", F.col("r.to.text").alias("to_text"), "from_ord", F.col("r.to.ord").alias("to_ord"))
 
 
-def sections_text(records: DataFrame) -> DataFrame:
+def _with_docs(rows: DataFrame, docs: DataFrame | None) -> DataFrame:
+    """rows, and a row of nulls for each of docs."""
+    return rows if docs is None else rows.unionByName(docs.select("doc_id"), allowMissingColumns=True)
+
+
+def sections_text(records: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """doc_id with the text of each section: its records in order, an empty line between; '' for a missing section."""
     ordered = lambda name: F.array_sort(F.collect_list(F.when((F.col("section") == name) & (T.strip(F.col("text")) != ""), F.struct("record_idx", T.strip(F.col("text")).alias("text")))))
-    return records.groupBy("doc_id").agg(*[F.array_join(F.transform(ordered(name), lambda x: x["text"]), "\n\n").alias(name) for name in L.SECTION_RANK])
+    return _with_docs(records.select("doc_id", "section", "record_idx", "text"), docs).groupBy("doc_id").agg(*[F.array_join(F.transform(ordered(name), lambda x: x["text"]), "\n\n").alias(name) for name in L.SECTION_RANK])
 
 
 def filtered_text(sections: DataFrame) -> DataFrame:
@@ -162,17 +171,17 @@ def filtered_text(sections: DataFrame) -> DataFrame:
     return sections.select("doc_id", F.concat_ws("\n\n", *parts).alias("text"))
 
 
-def entities_by_label(ordered: DataFrame) -> DataFrame:
+def entities_by_label(ordered: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """doc_id and a map from each of the labels to its entities in order; labels without any have an empty list."""
     item = F.struct("ord", "text", "score", "section", "start", "end", "record_idx", "rule_based", "rule_name")
     lists = [F.struct(F.lit(label).alias("label"), F.array_sort(F.collect_list(F.when(F.col("label") == label, item))).alias("items")) for label in L.LABELS]
-    return ordered.groupBy("doc_id").agg(F.map_from_entries(F.array(*lists)).alias("entities"))
+    return _with_docs(ordered, docs).groupBy("doc_id").agg(F.map_from_entries(F.array(*lists)).alias("entities"))
 
 
-def entity_counts(ordered: DataFrame) -> DataFrame:
+def entity_counts(ordered: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """doc_id, a count for each label, and n_entities."""
     counts = [F.count_if(F.col("label") == label).alias(label.lower()) for label in L.LABELS]
-    return ordered.groupBy("doc_id").agg(*counts, F.count("*").alias("n_entities"))
+    return _with_docs(ordered, docs).groupBy("doc_id").agg(*counts, F.count("label").alias("n_entities"))
 
 
 def highlighted(records: DataFrame, ordered: DataFrame) -> DataFrame:
@@ -182,37 +191,42 @@ def highlighted(records: DataFrame, ordered: DataFrame) -> DataFrame:
     return records.select("doc_id", "record_idx", "section", "text").join(spans, ["doc_id", "record_idx"])
 
 
-def summary_lines(ordered: DataFrame) -> DataFrame:
+def summary_lines(ordered: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """doc_id, label and line of every document and label: distinct words whatever their case, in order, or a notice that there are none."""
     word = T.strip(F.col("text"))
     first = Window.partitionBy("doc_id", "label", F.lower(word)).orderBy("ord")
     distinct = ordered.withColumn("word", word).withColumn("_n", F.row_number().over(first)).where("_n = 1 and word != ''")
     parts = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == label, F.struct("ord", "word")))), lambda x: x["word"]), "; ").alias(label) for label in L.REPORT_ORDER]
-    wide = distinct.groupBy("doc_id").agg(*parts)
+    wide = _with_docs(distinct, docs).groupBy("doc_id").agg(*parts)
     line = lambda label: F.concat(F.lit(L.LABEL_TITLES[label] + ": "), F.coalesce(F.nullif(F.col(label), F.lit("")), F.lit(L.NOT_FOUND)))
     return wide.select("doc_id", F.posexplode(F.array(*[F.struct(F.lit(label).alias("label"), line(label).alias("line")) for label in L.REPORT_ORDER])).alias("place", "x")).select("doc_id", "place", "x.label", "x.line")
 
 
 def report_text(records: DataFrame, ordered: DataFrame, sources: DataFrame) -> DataFrame:
-    """doc_id and report: summary lines, then each highlighted record under its section with its tagged entities."""
-    summary = summary_lines(ordered).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("summary"))
+    """doc_id and report of each of sources: summary lines, then each highlighted record under its section with its tagged entities.
+
+    sources may bring model and elapsed_ms, which stand in the report's head.
+    """
+    summary = summary_lines(ordered, sources).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("summary"))
     tags = F.array_join(F.transform("spans", lambda s: F.concat(F.lit("["), s["entity"], F.lit(": "), s["word"], F.lit("]"))), "; ")
     passage = F.concat(F.lit("\n["), T.section_title(F.col("section")), F.lit("]\nThực thể: "), tags, F.lit("\n"), T.strip(F.col("text")))
     passages = highlighted(records, ordered).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record_idx", passage.alias("p")))), lambda x: x["p"]), "\n").alias("passages"))
+    given = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")) if name in sources.columns else F.lit("")
+    head = sources.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), given("model").alias("model"), given("elapsed_ms").alias("elapsed_ms"))
     whole = F.concat_ws(
-        "\n", F.lit("KẾT QUẢ NHẬN DIỆN THỰC THỂ BẢN ÁN HÌNH SỰ MA TÚY"), F.lit("=" * 70), F.concat(F.lit("Tên file: "), F.col("source")), F.lit(""),
-        F.lit("I. TÓM TẮT THỰC THỂ"), F.lit("-" * 70), F.col("summary"), F.lit(""), F.lit("II. VĂN BẢN ĐƯỢC GÁN NHÃN"), F.lit("-" * 70), F.col("passages"),
+        "\n", F.lit("KẾT QUẢ NHẬN DIỆN THỰC THỂ BẢN ÁN HÌNH SỰ MA TÚY"), F.lit("=" * 70), F.concat(F.lit("Tên file: "), F.col("source")), F.concat(F.lit("Model: "), F.col("model")),
+        F.concat(F.lit("Thời gian xử lý: "), F.col("elapsed_ms"), F.lit(" ms")), F.lit(""), F.lit("I. TÓM TẮT THỰC THỂ"), F.lit("-" * 70), F.col("summary"), F.lit(""), F.lit("II. VĂN BẢN ĐƯỢC GÁN NHÃN"), F.lit("-" * 70), F.col("passages"),
     )
-    return sources.select("doc_id", "source").join(summary, "doc_id").join(passages, "doc_id").select("doc_id", whole.alias("report"))
+    return head.join(summary, "doc_id").join(passages, "doc_id", "left").select("doc_id", whole.alias("report"))
 
 
 def report_html(ordered: DataFrame, records: DataFrame, sources: DataFrame) -> DataFrame:
-    """doc_id and html: a table of the summary and the recognised text, escaped."""
+    """doc_id and html of each of sources: a table of the summary and the recognised text, escaped."""
     row = F.concat(F.lit("<tr><td>"), T.html_escape(F.col("label")), F.lit("</td><td>"), T.html_escape(F.col("line")), F.lit("</td></tr>"))
-    summary = summary_lines(ordered).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", row.alias("row")))), lambda x: x["row"]), "").alias("summary"))
+    summary = summary_lines(ordered, sources).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", row.alias("row")))), lambda x: x["row"]), "").alias("summary"))
     text = flatten_text(highlighted(records, ordered)).select("doc_id", F.replace(T.html_escape(F.col("text")), F.lit("\n"), F.lit("<br/>")).alias("body"))
-    page = F.concat(F.lit("<!doctype html><html lang=\"vi\"><head><meta charset=\"utf-8\"/><title>"), T.html_escape(F.col("source")), F.lit("</title></head><body><table>"), F.col("summary"), F.lit("</table><div>"), F.col("body"), F.lit("</div></body></html>"))
-    return sources.select("doc_id", "source").join(summary, "doc_id").join(text, "doc_id").select("doc_id", page.alias("html"))
+    page = F.concat(F.lit("<!doctype html><html lang=\"vi\"><head><meta charset=\"utf-8\"/><title>"), T.html_escape(F.coalesce("source", F.lit(""))), F.lit("</title></head><body><table>"), F.col("summary"), F.lit("</table><div>"), F.coalesce("body", F.lit("")), F.lit("</div></body></html>"))
+    return sources.select("doc_id", "source").join(summary, "doc_id").join(text, "doc_id", "left").select("doc_id", page.alias("html"))
 
 
 def flatten_offsets(marked: DataFrame) -> DataFrame:
@@ -244,10 +258,11 @@ def best_score(entities: DataFrame) -> DataFrame:
 
 
 def longest_first(entities: DataFrame) -> DataFrame:
-    """Distinct (label, text) whatever the case, two characters at least, with their rank: the longest first."""
-    order = Window.partitionBy("label", F.lower("text")).orderBy("text")
-    one = entities.select("label", "text").distinct().withColumn("_n", F.row_number().over(order)).where((F.col("_n") == 1) & (F.length("text") >= 2)).drop("_n")
-    return one.withColumn("length", F.length("text"))
+    """Distinct (label, text) of each document whatever the case, two characters at least, with length and rank from 1: the longest first, then as in the text."""
+    folded = Window.partitionBy("doc_id", "label", F.lower("text")).orderBy("ord")
+    one = entities.where(F.length("text") >= 2).withColumn("_n", F.row_number().over(folded)).where("_n = 1")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), "ord")).cast("long")
+    return one.select("doc_id", "label", "text", F.length("text").alias("length"), rank.alias("rank"))
 
 
 def first_words(ordered: DataFrame, label: str, k: int) -> DataFrame:
@@ -256,10 +271,13 @@ def first_words(ordered: DataFrame, label: str, k: int) -> DataFrame:
     return ordered.where(F.col("label") == label).groupBy("doc_id").agg(items.alias("words"))
 
 
-def result_documents(records: DataFrame, ordered: DataFrame) -> DataFrame:
+def result_documents(records: DataFrame, ordered: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """One nested row for each document: sections, entities by label, relations and counts."""
     links = relations(ordered).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("from_ord", "rel_type", "from_text", "to_text", "to_ord"))).alias("relations"))
-    return sections_text(records).join(entities_by_label(ordered), "doc_id", "left").join(entity_counts(ordered), "doc_id", "left").join(links, "doc_id", "left")
+    spine = records.select("doc_id").distinct() if docs is None else docs
+    whole = sections_text(records, docs).join(entities_by_label(ordered, spine), "doc_id").join(entity_counts(ordered, spine), "doc_id").join(links, "doc_id", "left")
+    none = F.array().cast(links.schema["relations"].dataType)
+    return whole.withColumn("relations", F.coalesce("relations", none))
 
 
 def result_json(results: DataFrame, dropped: tuple[str, ...] = ("model_dir", "model_root")) -> DataFrame:

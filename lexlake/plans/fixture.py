@@ -27,6 +27,33 @@ FROM orders
 """
 
 
+_NAMES = "CASE o_orderkey % 3 WHEN 0 THEN 'Giàng A P' WHEN 1 THEN 'Vàng Thị M' ELSE 'Hoàng Văn K' END"
+_CONTENT = "'NỘI DUNG VỤ ÁN:' || chr(10) || 'Ngày 0' || CAST(1 + o_orderkey % 9 AS STRING) || '/5/2021, ' || {name} || ' bị bắt quả tang khi đang cất giấu heroin trong người.'"
+_REASONING = "'NHẬN ĐỊNH CỦA TÒA ÁN:' || chr(10) || '[1] Hành vi của ' || {name} || ' mua bán trái phép chất ma túy đã đủ cơ sở kết luận, phù hợp với lời khai của người làm chứng, biên bản bắt người phạm tội quả tang, kết luận giám định và các tài liệu, chứng cứ khác đã được thẩm tra công khai tại phiên tòa xét xử hôm nay.'"
+_RULING = "'QUYẾT ĐỊNH:' || chr(10) || '1. Căn cứ khoản ' || CAST(1 + o_orderkey % 4 AS STRING) || ' Điều 251 Bộ luật Hình sự.' || chr(10)"
+
+#: Judgments of eight kinds, by o_orderkey % 8: whole; without a decision; without headings; with a decision that names nothing; with two
+#: defendants; with a fine and no prison; empty; with a decision alone, whose place is vague. Portable as JUDGMENTS is.
+LAYOUTS = f"""
+SELECT o_orderkey AS doc_id, 'BL-' || CAST(o_orderkey AS STRING) AS source,
+  CASE o_orderkey % 8
+  WHEN 0 THEN {_CONTENT} || chr(10) || {_REASONING} || chr(10) || {_RULING} || '2. Tuyên bố bị cáo ' || {{name}} || ' phạm tội Mua bán trái phép chất ma túy. Xử phạt 07 năm tù.'
+  WHEN 1 THEN {_CONTENT} || chr(10) || {_REASONING}
+  WHEN 2 THEN 'Bản ghi số ' || CAST(o_orderkey AS STRING) || ' chưa có mục nào.'
+  WHEN 3 THEN {_CONTENT} || chr(10) || {_REASONING} || chr(10) || 'QUYẾT ĐỊNH:' || chr(10) || '1. Tuyên án công khai.'
+  WHEN 4 THEN {_REASONING} || chr(10) || {_RULING} || '2. Tuyên bố bị cáo ' || {{name}} || ' phạm tội Mua bán trái phép chất ma túy. Xử phạt 08 năm tù. Tuyên bố bị cáo Sùng A D phạm tội Tàng trữ trái phép chất ma túy. Xử phạt 02 năm 06 tháng tù.'
+  WHEN 5 THEN {_CONTENT} || chr(10) || {_REASONING} || chr(10) || {_RULING} || '2. Phạt tiền bị cáo ' || {{name}} || ' 5.000.000 đồng sung ngân sách nhà nước.'
+  WHEN 6 THEN ''
+  ELSE 'QUYẾT ĐỊNH:' || chr(10) || '1. Tuyên bố bị cáo ' || {{name}} || ' phạm tội Vận chuyển trái phép chất ma túy tại đây. Xử phạt 03 năm tù.' END AS text
+FROM orders
+""".replace("{name}", _NAMES)
+
+
+def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, text: one invented judgment for each order, of eight kinds."""
+    return spark.sql(LAYOUTS.replace("FROM orders", "FROM {orders}"), orders=orders(spark, sf_dir))
+
+
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, text: one invented judgment for each order, over 200 sources."""
     return spark.sql(JUDGMENTS.replace("FROM orders", "FROM {orders}"), orders=orders(spark, sf_dir))
@@ -70,7 +97,7 @@ UNION ALL SELECT rid, record_id, 'CHARGE' AS label, 'tại' AS word, CAST(instr(
 
 def with_tables(body: str, *names: str) -> str:
     """DuckDB SQL of body with the named derived tables in front of it."""
-    made = {"judgments": JUDGMENTS, "annotated": ANNOTATED, "gold": GOLD, **PREDICTED}
+    made = {"judgments": JUDGMENTS, "layouts": LAYOUTS, "annotated": ANNOTATED, "gold": GOLD, **PREDICTED}
     return "WITH " + ",\n".join(f"{n} AS ({made[n]})" for n in names) + "\n" + body
 
 

@@ -173,11 +173,11 @@ def judgment_summary(spark, sf_dir):
 @query(_sql("""
 , passages AS (SELECT r.doc_id, r.record_idx, chr(10) || '[QUYẾT ĐỊNH]' || chr(10) || 'Thực thể: ' || string_agg('[' || e.label || ': ' || e.text || ']', '; ' ORDER BY e.start_at, length(e.text)) || chr(10) || any_value(r.text) AS p
   FROM records r JOIN entities e ON e.doc_id = r.doc_id AND e.record_idx = r.record_idx GROUP BY r.doc_id, r.record_idx)
-SELECT j.doc_id, md5('KẾT QUẢ NHẬN DIỆN THỰC THỂ BẢN ÁN HÌNH SỰ MA TÚY' || chr(10) || repeat('=', 70) || chr(10) || 'Tên file: ' || j.source || chr(10) || chr(10) || 'I. TÓM TẮT THỰC THỂ' || chr(10) || repeat('-', 70) || chr(10)
+SELECT j.doc_id, md5('KẾT QUẢ NHẬN DIỆN THỰC THỂ BẢN ÁN HÌNH SỰ MA TÚY' || chr(10) || repeat('=', 70) || chr(10) || 'Tên file: ' || j.source || chr(10) || 'Model: rules' || chr(10) || 'Thời gian xử lý: ' || j.doc_id % 100 || ' ms' || chr(10) || chr(10) || 'I. TÓM TẮT THỰC THỂ' || chr(10) || repeat('-', 70) || chr(10)
   || (SELECT string_agg(line, chr(10) ORDER BY place) FROM summary s WHERE s.doc_id = j.doc_id) || chr(10) || chr(10) || 'II. VĂN BẢN ĐƯỢC GÁN NHÃN' || chr(10) || repeat('-', 70) || chr(10)
   || (SELECT string_agg(p, chr(10) ORDER BY record_idx) FROM passages q WHERE q.doc_id = j.doc_id)) AS report_md5 FROM judgments j""", _ENTITIES, _RECORDS, _SUMMARY))
 def judgment_report(spark, sf_dir):
-    docs = fixture.judgments(spark, sf_dir)
+    docs = fixture.judgments(spark, sf_dir).withColumns({"model": F.lit("rules"), "elapsed_ms": F.col("doc_id") % 100})
     return E.report_text(_records(spark, sf_dir), _ordered(spark, sf_dir), docs).select("doc_id", F.md5("report").alias("report_md5"))
 
 
@@ -219,7 +219,7 @@ def judgment_best_score(spark, sf_dir):
     return E.best_score(_ordered(spark, sf_dir)).select("doc_id", "label", "word", "word_key", "ord")
 
 
-@query(_sql("SELECT DISTINCT label, text, length(text) AS length FROM entities", _ENTITIES))
+@query(_sql("SELECT doc_id, label, text, length(text) AS length, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, ord) AS rank FROM entities", _ENTITIES))
 def judgment_longest_first(spark, sf_dir):
     return E.longest_first(_ordered(spark, sf_dir))
 

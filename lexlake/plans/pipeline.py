@@ -28,7 +28,7 @@ def ordered_entities(records: DataFrame, tag=None, zero_last: bool = False) -> D
 
 
 def analyse(docs: DataFrame, tag=None, mode: str = "raw") -> Analysis:
-    """All tables of docs (doc_id, source, text). Nothing runs until one of them is used."""
+    """All tables of docs (doc_id, source, text); every one of docs has a result. Nothing runs until one of them is used."""
     records = S.build_records(docs, mode)
     ordered = ordered_entities(records, tag)
-    return Analysis(records, ordered, E.relations(ordered), E.result_documents(records, ordered))
+    return Analysis(records, ordered, E.relations(ordered), E.result_documents(records, ordered, docs))

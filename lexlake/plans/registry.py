@@ -23,6 +23,6 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
-    from . import corpus_queries, judgment_queries, span_queries, text_queries  # noqa: F401
+    from . import corpus_queries, judgment_queries, layout_queries, span_queries, text_queries  # noqa: F401
 
     return QUERIES, SQL
