@@ -46,12 +46,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: computed once, by one job. The files go when the session ends."""
+    """df written to the shared folder and read again: computed once, by one job. The files go when the session ends.
+
+    Shuffle files behind df are of no more use; Spark's cleaner removes them once the driver has collected its garbage, which may take long to come by itself.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.parquet(path)
 
 
