@@ -104,21 +104,54 @@ def align_to_tokens(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     return aligned.select("record_id", "span_idx", "label", "start", "end", "aligned_start", "aligned_end", off.alias("misaligned"))
 
 
-def reanchor(rows: DataFrame) -> DataFrame:
-    """rows (text, start, end, word) with start and end moved to where the word stands.
+_ANCHORED = "struct<start:int,end:int,label:string,word:string>"
+#: A run of white space in a text may be so much longer than the blank in a word.
+_WIDEST = 21
 
-    Positions that hold the word stay; else the first place of the word from start on, anywhere, whatever its case, or with other white space.
+
+def _find(text: Column, lowered: Column, word: Column, cursor: Column) -> Column:
+    """struct(start, end) of the word's place: from the cursor on or else anywhere; as it stands, or else whatever its case, or else with other white space."""
+    at = lambda hay, needle, start: F.nullif(F.call_function("locate", needle, hay, start + 1), F.lit(0)) - 1
+    place = lambda start, length: F.when(start.isNotNull(), F.struct(start.cast("int").alias("start"), (start + length).cast("int").alias("end")))
+    literal = F.regexp_replace(word, r"([\\\[\](){}.*+?^$|\-])", r"\\$1")
+    loose = F.concat(F.lit("(?iuU)"), F.regexp_replace(literal, r"(?U)\s+", rf"\\s{{1,{_WIDEST}}}"))
+
+    def spaced(start: Column) -> Column:
+        rest = F.substring(text, start + 1, F.length(text))
+        return F.when(F.regexp_instr(rest, loose) > 0, place(start + F.regexp_instr(rest, loose) - 1, F.length(F.regexp_substr(rest, loose))))
+
+    exact, folded = F.coalesce(at(text, word, cursor), at(text, word, F.lit(0))), F.coalesce(at(lowered, F.lower(word), cursor), at(lowered, F.lower(word), F.lit(0)))
+    return F.coalesce(place(exact, F.length(word)), place(folded, F.length(word)), spaced(cursor), spaced(F.lit(0)))
+
+
+def reanchor_spans(text: Column, spans: Column) -> Column:
+    """An array of spans (start, end, label, word) moved to where their words stand, in order of start, without those that overlap an earlier one.
+
+    One pass in the order given: places that hold the word stay, others are sought from the end of the furthest span before, so repeated words
+    find their next place; what is nowhere is dropped. An end is that of the passage found, with its white space. Of spans with one start the longest stays.
     """
-    text, word = F.col("text"), T.strip(F.col("word"))
-    slice_ = F.substring(text, F.col("start") + 1, F.col("end") - F.col("start"))
-    holds = (F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.length(text)) & (T.compare_key(slice_) == T.compare_key(word))
-    place = lambda hay, needle, at: F.nullif(F.call_function("locate", needle, hay, at), F.lit(0)) - 1
-    at = F.greatest(F.col("start") + 1, F.lit(1))
-    loose = F.concat(F.lit("(?iuU)"), F.regexp_replace(F.regexp_replace(word, r"([\\\[\](){}.*+?^$|\-])", r"\\$1"), r"(?U)\s+", r"\\\\s+"))
-    found = F.coalesce(place(text, word, at), place(text, word, F.lit(1)), place(F.lower(text), F.lower(word), at), place(F.lower(text), F.lower(word), F.lit(1)), F.nullif(F.regexp_instr(text, loose), F.lit(0)) - 1)
-    start = F.when(holds, F.col("start")).otherwise(F.when(word != "", found))
-    length = F.when(holds, F.col("end") - F.col("start")).otherwise(F.length(word))
-    return rows.withColumn("new_start", start).withColumn("new_end", start + length)
+
+    def step(lowered: Column):
+        def add(acc: Column, s: Column) -> Column:
+            word = T.strip(F.coalesce(s["word"], F.lit("")))
+            inside = F.coalesce((s["start"] >= 0) & (s["end"] > s["start"]) & (s["end"] <= F.length(text)), F.lit(False))
+            own = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+            stays = inside & ((word == "") | (T.compare_key(own) == T.compare_key(word)))
+            place = F.when(stays, F.struct(s["start"].alias("start"), s["end"].alias("end"))).when(word != "", _find(text, lowered, word, acc["cursor"]))
+            kept = lambda p: F.struct(
+                F.greatest(acc["cursor"], p["end"]).alias("cursor"),
+                F.array_append(acc["kept"], F.struct(p["start"].alias("start"), p["end"].alias("end"), s["label"].alias("label"), F.coalesce(F.nullif(word, F.lit("")), F.substring(text, p["start"] + 1, p["end"] - p["start"])).alias("word"))).alias("kept"),
+            ).cast(state)
+            return T.let(place, lambda p: F.when(p.isNull(), acc).otherwise(kept(p)))
+
+        return add
+
+    state = f"struct<cursor:int,kept:array<{_ANCHORED}>>"
+    none = F.struct(F.lit(0).alias("cursor"), F.array().cast(f"array<{_ANCHORED}>").alias("kept")).cast(state)
+    moved = T.let(F.lower(text), lambda lowered: F.aggregate(F.coalesce(spans, F.array().cast(f"array<{_ANCHORED}>")), none, step(lowered), lambda acc: acc["kept"]))
+    keyed = F.array_sort(F.transform(moved, lambda s, k: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), k.alias("k"), s.alias("s"))))
+    first = F.aggregate(keyed, none, lambda acc, x: F.when(x["start"] >= acc["cursor"], F.struct(x["s"]["end"].alias("cursor"), F.array_append(acc["kept"], x["s"]).alias("kept")).cast(state)).otherwise(acc), lambda acc: acc["kept"])
+    return first
 
 
 _ANCHOR_WORDS = 4

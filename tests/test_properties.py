@@ -215,3 +215,25 @@ def test_statistics_file_begins_with_a_byte_order_mark(spark, tmp_path):
     K.write_stats_csv(spark.createDataFrame([(1, 'a "b", c', 5), (0, "#x", 7)], "row_order int, name string, n int"), f"{tmp_path}/stats")
     (part,) = (tmp_path / "stats").glob("part-*")
     assert part.read_bytes().decode() == '﻿name,n\n#x,7\n"a ""b"", c",5\n'
+
+
+@pytest.mark.parametrize(
+    ("text", "spans", "want"),
+    [
+        ("Điều 249 và Điều 249", [(None, None, "Điều 249"), (None, None, "Điều 249")], [(0, 8), (12, 20)]),
+        ("Ông Lò   Văn H", [(None, None, "Lò Văn H")], [(4, 14)]),
+        ("Lò Văn H", [(None, None, "Lò   Văn  H")], [(0, 8)]),
+        ("x (a.b) y", [(5, 99, "(a.b)"), (-1, 3, "Y")], [(2, 7), (8, 9)]),
+        ("a b a", [(4, 5, "a"), (None, None, "a"), (None, None, "b")], [(0, 1), (2, 3), (4, 5)]),  # nothing behind the cursor: anywhere
+        ("abcdef", [(0, 3, "abc"), (0, 5, "abcde"), (4, 6, "ef")], [(0, 5)]),  # the longest of one start, then what overlaps nothing
+        ("abc", [(0, 2, ""), (None, None, ""), (1, 2, None)], [(0, 2)]),
+        ("abc", [(0, 1, "zz"), (0, 1, "A")], [(0, 1)]),
+        ("", [(0, 1, "a")], []),
+        ("abc", None, []),
+    ],
+)
+def test_reanchor(spark, text, spans, want):
+    kind = "text string, spans array<struct<start:int,end:int,label:string,word:string>>"
+    frame = spark.createDataFrame([(text, spans and [(a, b, "DRUG", w) for a, b, w in spans])], kind)
+    (row,) = frame.select(X.reanchor_spans(F.col("text"), F.col("spans")).alias("s")).collect()
+    assert [(s["start"], s["end"]) for s in row["s"]] == want and all(s["word"] for s in row["s"])
