@@ -5,6 +5,8 @@ Records are rows (record_id, source, text, spans, ...) and span tables as in spa
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,19 +37,23 @@ def corpus_summary(records: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def split_stats(records: DataFrame, spans: DataFrame) -> DataFrame:
-    """row_order, name, train, dev, test, all: entities of each label, then entities, rows and sources in total."""
-    named = spans.join(records.select("record_id", "split"), "record_id")
-    wide = lambda value, cond=None: [F.coalesce(value(F.col("split") == s), F.lit(0).cast("long")).alias(s) for s in SPLITS] + [F.coalesce(value(F.lit(True)), F.lit(0).cast("long")).alias("all")]
-    per_label = named.groupBy("label").agg(*wide(lambda c: F.count_if(c)))
-    spine = records.sparkSession.createDataFrame([(k, label) for k, label in enumerate(L.STATISTICS_ORDER)], "row_order int, label string")
-    rows = F.broadcast(spine).join(per_label, "label", "left").select("row_order", F.col("label").alias("name"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in [*SPLITS, "all"]])
-    n = len(L.STATISTICS_ORDER)
-    total = lambda k, name, frame, value: frame.agg(*wide(value)).select(F.lit(n + k).alias("row_order"), F.lit(name).alias("name"), *SPLITS, "all")
-    return (
-        rows.union(total(0, "#Entities in total", named, lambda c: F.count_if(c)))
-        .union(total(1, "#Rows/snippets in total", records, lambda c: F.count_if(c)))
-        .union(total(2, "#Source judgments in total", records, lambda c: F.count_distinct(F.when(c, F.col("source")))))
-    )
+    """row_order, name, train, dev, test, all: entities of each label, then entities, rows and sources in total.
+
+    One pass: records and spans are put together and counted by record, which needs no join, then by split and in total by grouping sets.
+    """
+    names = [*L.STATISTICS_ORDER, "#Entities in total", "#Rows/snippets in total", "#Source judgments in total"]
+    none = F.lit(None).cast("string")
+    both = records.select("record_id", "split", "source", none.alias("label"), F.lit(1).alias("row")).union(spans.select("record_id", none, none, "label", F.lit(0)))
+    counts = [F.count_if(F.col("label") == label).alias(f"n{k}") for k, label in enumerate(L.STATISTICS_ORDER)]
+    by_record = both.groupBy("record_id").agg(F.max("split").alias("split"), F.max("source").alias("source"), *counts, F.count("label").alias("n8"), F.sum("row").alias("n9")).where("n9 > 0")
+    sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(10)]
+    sets = by_record.groupingSets([["split"], []], "split").agg(F.grouping_id().alias("total"), *sums, F.count_distinct("source").alias("n10"))  # a row for each split, and one
+    column = lambda held: [F.max(F.when(held, F.col(f"n{k}"))).alias("x") for k in range(11)]
+    wanted = {s: (F.col("total") == 0) & (F.col("split") == s) for s in SPLITS} | {"all": F.col("total") == 1}
+    wide = sets.agg(*[F.array(*column(held)).alias(name) for name, held in wanted.items()])
+    value = lambda name: F.coalesce(F.get(F.col(name), F.col("row_order")), F.lit(0).cast("long")).alias(name)
+    rows = wide.select("*", F.posexplode(F.array(*map(F.lit, names))).alias("row_order", "name"))
+    return rows.select("row_order", "name", *map(value, wanted))
 
 
 def split_samples(records: DataFrame, spans: DataFrame) -> DataFrame:
@@ -193,6 +199,43 @@ def version_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     return numbered.withColumn("name", F.when(F.col("version") == 0, F.col("stem")).otherwise(F.concat_ws("_", "stem", "version"))).drop("place", "top", "version")
 
 
+HISTORY = "id string, at timestamp, kind string, filename string, model string, elapsed_ms long, count long, result string"
+
+
+def history_entries(results: DataFrame) -> DataFrame:
+    """Log rows (HISTORY, kind `saved`) of analyses (id, saved_at, filename, model_display_name, model_name, elapsed_ms, entities, highlighted; any of
+    them but id and saved_at may be missing): names by default, the number of all entities, and as JSON what a display needs again.
+
+    entities is a map from labels to lists.
+    """
+    given = lambda name, kind="string": F.col(name) if name in results.columns else F.lit(None).cast(kind)
+    named = lambda *names, default: F.coalesce(*[F.nullif(given(n).cast("string"), F.lit("")) for n in names], F.lit(default))
+    sizes = F.transform(F.map_values("entities"), lambda items: F.coalesce(F.size(items), F.lit(0))) if "entities" in results.columns else F.array().cast("array<int>")
+    count = F.aggregate(F.coalesce(sizes, F.array().cast("array<int>")), F.lit(0).cast("long"), lambda total, n: total + F.greatest(n, F.lit(0)))
+    kept = [n for n in ("filename", "model_name", "model_display_name", "elapsed_ms", "entities", "highlighted") if n in results.columns]
+    return results.select(
+        F.col("id").cast("string").alias("id"), F.col("saved_at").cast("timestamp").alias("at"), F.lit("saved").alias("kind"), named("filename", default="Không rõ tên").alias("filename"),
+        named("model_display_name", "model_name", default="PhoBERT").alias("model"), given("elapsed_ms").cast("long").alias("elapsed_ms"), count.alias("count"), F.to_json(F.struct(*kept)).alias("result"))
+
+
+def history_deletes(marks: DataFrame) -> DataFrame:
+    """Log rows (kind `deleted`) that take the entries of an id away (id, at); a null id clears all that was saved before."""
+    empty = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in HISTORY.split(", ")[3:]}
+    return marks.select(F.col("id").cast("string").alias("id"), F.col("at").cast("timestamp").alias("at"), F.lit("deleted").alias("kind"), *[v.alias(k) for k, v in empty.items()])
+
+
+def live_history(log: DataFrame) -> DataFrame:
+    """What a log of saves and deletes leaves: the latest version of each id that no later mark took away; a delete counts before a save of the same time.
+
+    The log is only ever appended to and merged here, on reading, by one partial aggregate; the newest clearing is one value.
+    """
+    row = F.struct("at", (F.col("kind") == "saved").alias("saved"), *[c.split()[0] for c in HISTORY.split(", ")[3:]])
+    latest = log.where("id IS NOT NULL").groupBy("id").agg(F.max(row).alias("last"))
+    cleared = log.where("id IS NULL AND kind = 'deleted'").agg(F.max("at").alias("cleared"))
+    live = latest.crossJoin(F.broadcast(cleared)).where("last.saved AND (cleared IS NULL OR last.at >= cleared)")
+    return live.select("id", F.col("last.at").alias("saved_at"), *[f"last.{c.split()[0]}" for c in HISTORY.split(", ")[3:]])
+
+
 def top_history(history: DataFrame, k: int = 30) -> DataFrame:
     """The newest k analyses; ties by id."""
     return history.orderBy(F.desc("saved_at"), F.desc("id")).limit(k)
@@ -204,9 +247,10 @@ def stats_markdown(stats: DataFrame) -> DataFrame:
     return stats.select("row_order", line.alias("line"))
 
 
-def split_report(stats: DataFrame, train: float = 0.85, dev: float = 0.10, seed: int = 42) -> DataFrame:
-    """One row: the JSON report of doc_stats()."""
+def split_report(stats: DataFrame, train: float = 0.85, dev: float = 0.10, seed: int = 42, paths: dict[str, str] | None = None) -> DataFrame:
+    """One row: the JSON report of doc_stats(), with all three ratios and where the splits were written (paths by split)."""
+    files = F.from_json(F.lit(json.dumps(paths or {})), "map<string,string>")
     item = F.struct("split", F.struct("records", "documents", "entities", "labels").alias("stats"))
     whole = F.map_from_entries(F.array_sort(F.collect_list(F.struct(item["split"], F.to_json(item["stats"])))))
-    head = F.struct(F.lit(seed).alias("seed"), F.lit(train).alias("train_ratio"), F.lit(dev).alias("dev_ratio"))
-    return stats.agg(F.to_json(F.struct(head["seed"].alias("seed"), head["train_ratio"].alias("train_ratio"), head["dev_ratio"].alias("dev_ratio"), whole.alias("stats"))).alias("report"))
+    head = F.struct(F.lit(seed).alias("seed"), F.lit(train).alias("train_ratio"), F.lit(dev).alias("dev_ratio"), F.lit(round(1 - train - dev, 10)).alias("test_ratio"), files.alias("files"))
+    return stats.agg(F.to_json(F.struct(head["seed"].alias("seed"), head["train_ratio"].alias("train_ratio"), head["dev_ratio"].alias("dev_ratio"), head["test_ratio"].alias("test_ratio"), head["files"].alias("files"), whole.alias("stats"))).alias("report"))

@@ -1,7 +1,7 @@
 """Tokens, BIO tags, overlaps, alignment, re-anchoring and phrase search over span tables.
 
 Annotated records are rows (record_id, text, spans array<struct<start, end, label>>); tokens are rows (record_id,
-token_idx, token, start, end). Joins of tokens and spans carry the record's key, so they are hash joins with the overlap as a rest.
+token_idx, token, start, end). Tokens and spans of a record meet in a sweep over their borders, in one sorted pass.
 """
 
 from __future__ import annotations
@@ -44,17 +44,38 @@ def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> C
     return F.greatest(a_start, b_start) < F.least(a_end, b_end)
 
 
+def _met(tokens: DataFrame, spans: DataFrame) -> DataFrame:
+    """spans with before and after of both borders: the last token that begins at or before the start, the one behind it, the last token that begins
+    before the end, and the one before that. Each token is a struct (token_idx, start, end).
+
+    A sweep over the record's borders: tokens and both ends of spans stand in one order, and each end looks at its neighbours among the tokens. The work is
+    that of sorting tokens + spans; no pairs are made, however long a record is. Tokens must not overlap.
+    """
+    token = F.struct("token_idx", "start", "end")
+    none = F.lit(None).cast("struct<token_idx:int,start:int,end:int>")
+    span = F.struct("span_idx", "start", "end", "label")
+    points = tokens.select("record_id", F.col("start").alias("at"), F.lit(1).alias("kind"), token.cast("struct<token_idx:int,start:int,end:int>").alias("token"), F.lit(None).cast(spans.select(span.alias("s")).schema["s"].dataType).alias("span"))
+    for border, kind in (("start", 2), ("end", 0)):  # at one position: ends of spans, then tokens, then starts of spans
+        points = points.union(spans.select("record_id", F.col(border), F.lit(kind), none, span))
+    over = "OVER (PARTITION BY record_id ORDER BY at, kind)"
+    seen = points.select(
+        "record_id", "kind", "span", F.expr(f"lag(token) IGNORE NULLS {over}").alias("last"), F.expr(f"lag(token, 2) IGNORE NULLS {over}").alias("second"), F.expr(f"lead(token) IGNORE NULLS {over}").alias("next")
+    )
+    of = lambda c, kind: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    ends = seen.where(F.col("span").isNotNull()).groupBy("record_id", "span").agg(of("last", 2).alias("from"), of("next", 2).alias("behind"), of("last", 0).alias("to"), of("second", 0).alias("ahead"))
+    return ends.select("record_id", "span.*", "from", "behind", "to", "ahead")
+
+
 def spans_to_bio(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """tokens with tag. A token that overlaps a span is B at the span's first token and I at others.
 
     Spans are laid in order of start, the longer first, then as listed; later ones overwrite.
     """
-    t, s = tokens.alias("t"), spans.alias("s")
-    hit = (F.col("t.record_id") == F.col("s.record_id")) & overlap(F.col("t.start"), F.col("t.end"), F.col("s.start"), F.col("s.end"))
-    pairs = t.join(s, hit).select("t.record_id", "t.token_idx", "s.span_idx", "s.label", F.col("s.start").alias("s_start"), F.col("s.end").alias("s_end"))
-    first = F.min("token_idx").over(Window.partitionBy("record_id", "span_idx")) == F.col("token_idx")
-    layer = F.struct(F.col("s_start"), (F.col("s_start") - F.col("s_end")).alias("shorter"), F.col("span_idx"))
-    tags = pairs.withColumn("tag", F.concat(F.when(first, "B-").otherwise("I-"), F.col("label"))).groupBy("record_id", "token_idx").agg(F.max_by("tag", layer).alias("tag"))
+    first = F.when(F.col("from.end") > F.col("start"), F.col("from.token_idx")).otherwise(F.col("behind.token_idx"))
+    met = _met(tokens, spans).select("record_id", "span_idx", "start", "end", "label", first.alias("first"), F.col("to.token_idx").alias("last")).where("first <= last")
+    layer = F.struct("start", (F.col("start") - F.col("end")).alias("shorter"), "span_idx").alias("layer")
+    each = met.select("record_id", "label", "first", layer, F.explode(F.sequence("first", "last")).alias("token_idx"))
+    tags = each.groupBy("record_id", "token_idx").agg(F.max_by(F.concat(F.when(F.col("token_idx") == F.col("first"), "B-").otherwise("I-"), F.col("label")), "layer").alias("tag"))
     return tokens.join(tags, ["record_id", "token_idx"], "left").withColumn("tag", F.coalesce("tag", F.lit("O")))
 
 
@@ -92,15 +113,16 @@ def drop_overlaps(spans: Column, longest: bool = False) -> Column:
 def align_to_tokens(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """spans with aligned_start and aligned_end at token borders, and misaligned.
 
-    A span that is off shrinks to the tokens inside it, or, where there are none, grows to those it touches.
+    A span that is off shrinks to the tokens inside it, or, where there are none, grows to those it touches. Spans that touch no token go.
     """
-    t, s = tokens.alias("t"), spans.alias("s")
-    touch = (F.col("t.record_id") == F.col("s.record_id")) & overlap(F.col("t.start"), F.col("t.end"), F.col("s.start"), F.col("s.end"))
-    inside = (F.col("t.start") >= F.col("s.start")) & (F.col("t.end") <= F.col("s.end"))
-    found = s.join(t, touch).groupBy("s.record_id", "s.span_idx", "s.start", "s.end", "s.label").agg(
-        F.min(F.when(inside, F.col("t.start"))).alias("in_start"), F.max(F.when(inside, F.col("t.end"))).alias("in_end"), F.min("t.start").alias("out_start"), F.max("t.end").alias("out_end"))
-    aligned = found.withColumn("aligned_start", F.coalesce("in_start", "out_start")).withColumn("aligned_end", F.coalesce("in_end", "out_end"))
-    off = (F.col("aligned_start") != F.col("start")) | (F.col("aligned_end") != F.col("end"))
+    start, end = F.col("start"), F.col("end")
+    touched = _met(tokens, spans).withColumn("out_start", F.when(F.col("from.end") > start, F.col("from.start")).otherwise(F.col("behind.start"))).withColumn("out_end", F.col("to.end")).where("out_start < out_end")
+    in_start = F.when(F.col("from.start") == start, start).otherwise(F.col("behind.start"))
+    in_end = F.when(F.col("to.end") <= end, F.col("to.end")).otherwise(F.col("ahead.end"))
+    found = touched.withColumn("in_start", in_start).withColumn("in_end", in_end)
+    inside = F.coalesce(F.col("in_start") < F.col("in_end"), F.lit(False))
+    aligned = found.withColumn("aligned_start", F.when(inside, F.col("in_start")).otherwise(F.col("out_start"))).withColumn("aligned_end", F.when(inside, F.col("in_end")).otherwise(F.col("out_end")))
+    off = (F.col("aligned_start") != start) | (F.col("aligned_end") != end)
     return aligned.select("record_id", "span_idx", "label", "start", "end", "aligned_start", "aligned_end", off.alias("misaligned"))
 
 
@@ -154,34 +176,39 @@ def reanchor_spans(text: Column, spans: Column) -> Column:
     return first
 
 
-_ANCHOR_WORDS = 4
+_GRAM = 4
 
 
 def phrase_locate(pages: DataFrame, phrases: DataFrame, hits: int | None = None, longest: int | None = None) -> DataFrame:
     """Where phrases (phrase_id, text) stand in pages (page_id, text) as runs of words, case and punctuation aside.
 
-    page_id, phrase_id, first_word, hit: the places of a phrase on a page, numbered from 1. Phrases meet pages by the hash of their first
-    words, up to four; what meets is then compared word for word, over the whole phrase. The limits are off unless given: a report of
-    results takes hits=20 places of a phrase on a page, and phrases of longest=220 characters at most.
+    page_id, phrase_id, first_word, hit: the places of a phrase on a page, numbered from 1. A phrase is the hashes of its runs of four words, one behind the
+    other and the last one at its end (a shorter phrase is one run); a page has the hash of the run at each of its words. Each run of a page that a
+    phrase has too votes for where the phrase would begin, and a phrase stands where all its runs voted. Only rows move: the page's runs meet the phrases' by
+    hash (Spark broadcasts the phrases below its threshold only), and votes are counted by partial sums, so that neither a page full of hits nor a
+    phrase on every page is gathered anywhere. The limits are off unless given: a report of results takes hits=20 places of a
+    phrase on a page, and phrases of longest=220 characters at most.
     """
     key = lambda text: F.filter(F.transform(T.words(text), T.token_key), lambda w: w != "")
+    gram = lambda words, at, k: F.xxhash64(F.array_join(F.slice(words, at + 1, F.lit(k) if isinstance(k, int) else k), " "))
     sought = phrases.where(F.length("text") <= longest) if longest is not None else phrases
-    sought = sought.select("phrase_id", key(F.col("text")).alias("run")).where(F.size("run") > 0)
-    sought = sought.withColumn("k", F.least(F.size("run"), F.lit(_ANCHOR_WORDS))).withColumn("anchor", F.xxhash64(F.array_join(F.slice("run", F.lit(1), F.col("k")), " ")))
+    sought = sought.select("phrase_id", key(F.col("text")).alias("run")).where(F.size("run") > 0).withColumn("k", F.least(F.size("run"), F.lit(_GRAM)))
+    last = F.size("run") - F.col("k")
+    offsets = F.array_distinct(F.array_append(F.sequence(F.lit(0), last, F.lit(_GRAM)), last))
+    runs = sought.withColumn("offsets", offsets).select("phrase_id", "k", F.size("offsets").alias("needed"), F.explode(F.transform("offsets", lambda o: F.struct(o.alias("offset"), gram(F.col("run"), o, F.col("k")).alias("gram")))).alias("x"))
+    runs = runs.select("phrase_id", "k", "needed", "x.offset", "x.gram")
     paged = pages.select("page_id", key(F.col("text")).alias("words"))
     lengths = sorted(r["k"] for r in sought.select("k").distinct().collect())  # at most four numbers
     if not lengths:
         return paged.select("page_id", F.lit(None).cast(phrases.schema["phrase_id"].dataType).alias("phrase_id"), F.lit(0).alias("first_word"), F.lit(0).alias("hit")).limit(0)
 
-    def anchors(k: int) -> Column:
+    def grams(k: int) -> Column:
         places = F.sequence(F.lit(0), F.size("words") - k)
-        return F.when(F.size("words") >= k, F.transform(places, lambda i: F.struct(F.lit(k).alias("k"), i.alias("first_word"), F.xxhash64(F.array_join(F.slice("words", i + 1, F.lit(k)), " ")).alias("anchor"))))
+        return F.when(F.size("words") >= k, F.transform(places, lambda i: F.struct(F.lit(k).alias("k"), i.alias("at"), gram(F.col("words"), i, k).alias("gram"))))
 
-    met = paged.select("page_id", F.inline(F.flatten(F.filter(F.array(*map(anchors, lengths)), lambda a: a.isNotNull())))).join(sought, ["k", "anchor"])
-    places = F.struct("phrase_id", "first_word", "run")
-    whole = paged.join(met.groupBy("page_id").agg(F.collect_list(places).alias("places")), "page_id")
-    stands = lambda p: F.slice("words", p["first_word"] + 1, F.size(p["run"])) == p["run"]
-    found = whole.select("page_id", F.inline(F.filter("places", stands))).drop("run")
+    each = paged.select("page_id", F.inline(F.flatten(F.filter(F.array(*map(grams, lengths)), lambda a: a.isNotNull()))))
+    votes = each.join(runs, ["k", "gram"]).select("page_id", "phrase_id", "needed", (F.col("at") - F.col("offset")).alias("first_word"))
+    found = votes.groupBy("page_id", "phrase_id", "first_word").agg(F.count("*").alias("votes"), F.max("needed").alias("needed")).where("votes = needed")
     numbered = found.withColumn("hit", F.row_number().over(Window.partitionBy("page_id", "phrase_id").orderBy("first_word")))
     return (numbered.where(F.col("hit") <= hits) if hits is not None else numbered).select("page_id", "phrase_id", "first_word", "hit")
 

@@ -150,11 +150,12 @@ def source_lossless_split(spark, sf_dir):
     return spark.read.text(folder).select("split", F.col("value").alias("line"))
 
 
-@query(fixture.with_tables("SELECT source, 5 * count(*) AS n FROM judgments GROUP BY source", "judgments"))
+@query(fixture.with_tables("SELECT CASE WHEN doc_id % 2 = 0 THEN 'BA-0' ELSE source END AS source, 5 * count(*) AS n FROM judgments GROUP BY ALL", "judgments"))
 def sink_records_roundtrip(spark, sf_dir):
-    """Prediction records written by source, counted from the files."""
+    """Prediction records written by source, of which one has half of all, counted from the files."""
     path = shared_folder(spark)
-    K.write_records(S.build_records(fixture.judgments(spark, sf_dir)).repartition("source"), path)
+    docs = fixture.judgments(spark, sf_dir).withColumn("source", F.when(F.col("doc_id") % 2 == 0, "BA-0").otherwise(F.col("source")))
+    K.write_records(S.build_records(docs), path)
     return spark.read.text(path).where(F.try_parse_json("value").isNotNull()).groupBy("source").agg(F.count("*").alias("n"))
 
 
@@ -254,14 +255,14 @@ def corpus_doc_stats(spark, sf_dir):
     return C.doc_stats(_split(spark, sf_dir), _uneven(spark, sf_dir)).withColumn("labels", _pairs(F.col("labels")))
 
 
-@query(_split_sql(_DOC_STATS + "SELECT 42 AS seed, 0.85 AS train_ratio, 0.1 AS dev_ratio, split, records, documents, entities, labels FROM stats"))
+@query(_split_sql(_DOC_STATS + "SELECT 42 AS seed, 0.85 AS train_ratio, 0.1 AS dev_ratio, 0.05 AS test_ratio, 'out/split=dev' AS dev_file, split, records, documents, entities, labels FROM stats"))
 def corpus_split_report(spark, sf_dir):
     """The JSON report with all its fields, read again."""
-    report = C.split_report(C.doc_stats(_split(spark, sf_dir), _uneven(spark, sf_dir)))
-    read = report.select(F.from_json("report", "seed int, train_ratio double, dev_ratio double, stats map<string,string>").alias("r"))
-    each = read.select("r.seed", "r.train_ratio", "r.dev_ratio", F.explode("r.stats").alias("split", "json"))
+    report = C.split_report(C.doc_stats(_split(spark, sf_dir), _uneven(spark, sf_dir)), paths={s: f"out/split={s}" for s in C.SPLITS})
+    read = report.select(F.from_json("report", "seed int, train_ratio double, dev_ratio double, test_ratio double, files map<string,string>, stats map<string,string>").alias("r"))
+    each = read.select("r.seed", "r.train_ratio", "r.dev_ratio", "r.test_ratio", F.col("r.files")["dev"].alias("dev_file"), F.explode("r.stats").alias("split", "json"))
     stats = each.withColumn("s", F.from_json("json", "records long, documents long, entities long, labels map<string,long>"))
-    return stats.select("seed", "train_ratio", "dev_ratio", "split", "s.records", "s.documents", "s.entities", _pairs(F.col("s.labels")).alias("labels"))
+    return stats.select("seed", "train_ratio", "dev_ratio", "test_ratio", "dev_file", "split", "s.records", "s.documents", "s.entities", _pairs(F.col("s.labels")).alias("labels"))
 
 
 def _stats_sql(body: str) -> str:
@@ -342,6 +343,47 @@ def corpus_top_history(spark, sf_dir):
     return C.top_history(events.select(F.col("event_id").alias("id"), F.col("ts").alias("saved_at"), "user_id"))
 
 
+_SAVED = "SELECT 'u' || user_id || '-' || event_id % 7 AS id, * FROM events"
+
+
+@query(f"""
+WITH log AS ({_SAVED}), last AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_type <> 'error' DESC, event_id DESC) AS n FROM log)
+SELECT id, ts AS saved_at, CASE WHEN event_type = 'signup' THEN 'Không rõ tên' ELSE 'file-' || event_id END AS filename, CASE event_type WHEN 'view' THEN 'crf' WHEN 'click' THEN 'PhoBERT' ELSE 'PhoBERT+CRF' END AS model,
+  CASE WHEN event_type <> 'click' THEN event_id % 1000 END AS elapsed_ms, event_id % 4 + event_id % 3 AS count, (event_id % 4)::INT AS n_drugs
+FROM last WHERE n = 1 AND event_type <> 'error' AND ts >= TIMESTAMP '2024-01-05 00:00:00'""")
+def corpus_live_history(spark, sf_dir):
+    """Analyses saved again and again under their ids, errors as deletes, all before the fifth of January cleared: what is left, with entity counts."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("id", F.concat(F.lit("u"), "user_id", F.lit("-"), F.col("event_id") % 7))
+    items = lambda k: F.transform(F.filter(F.sequence(F.lit(0), F.lit(k)), lambda i: i < F.col("event_id") % k), lambda i: F.concat(F.lit("word"), i))
+    kind = F.col("event_type")
+    saved = events.where("event_type != 'error'").select(
+        "id", F.col("ts").alias("saved_at"), F.when(kind != "signup", F.concat(F.lit("file-"), "event_id")).otherwise("").alias("filename"), F.when(kind.isin("signup", "purchase"), "PhoBERT+CRF").alias("model_display_name"),
+        F.when(kind == "view", "crf").alias("model_name"), F.when(kind != "click", F.col("event_id") % 1000).alias("elapsed_ms"), F.create_map(F.lit("DRUG"), items(4), F.lit("PERSON"), items(3)).alias("entities"))
+    marks = events.where("event_type = 'error'").select("id", F.col("ts").alias("at"))
+    clear = spark.range(1).select(F.lit(None).cast("string").alias("id"), F.lit("2024-01-05 00:00:00").cast("timestamp").alias("at"))
+    live = C.live_history(C.history_entries(saved).unionByName(C.history_deletes(marks)).unionByName(C.history_deletes(clear)))
+    drugs = F.size(F.from_json("result", "entities map<string,array<string>>")["entities"]["DRUG"])
+    return live.select("id", "saved_at", "filename", "model", "elapsed_ms", "count", drugs.alias("n_drugs"))
+
+
+@query(f"""
+WITH saved AS ({_SAVED}), half AS (SELECT id, ts >= TIMESTAMP '2024-01-16 00:00:00' AS late, min(ts) AS first, max(ts) AS last FROM saved GROUP BY ALL),
+mark AS (SELECT late, max(last) - INTERVAL 10 MINUTE AS at_ FROM half GROUP BY late), a AS (SELECT half.*, last + INTERVAL 1 HOUR < at_ AS gone FROM half JOIN mark USING (late) WHERE NOT late),
+b AS (SELECT coalesce(h.id, a.id) AS id, h.first, coalesce(h.last, a.last) AS last, (a.id IS NOT NULL AND NOT a.gone) AS known FROM (SELECT * FROM half WHERE late) h FULL JOIN a ON a.id = h.id WHERE h.id IS NOT NULL OR NOT a.gone)
+SELECT id, first AS saved_at, 'added' AS move FROM a UNION ALL SELECT id, last, 'expired' FROM a WHERE gone
+UNION ALL SELECT id, first, 'added' FROM b WHERE NOT known UNION ALL SELECT id, last, 'expired' FROM b WHERE last + INTERVAL 1 HOUR < (SELECT at_ FROM mark WHERE late)""")
+def stream_expiry(spark, sf_dir):
+    """Results that come in two runs of a stream, the second one from the first one's checkpoint and with results that are too late: what was added and what expired."""
+    folder = shared_folder(spark)
+    saved = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("u"), "user_id", F.lit("-"), F.col("event_id") % 7).alias("id"), F.col("ts").alias("saved_at"))
+    too_late = saved.where("saved_at < '2024-01-02 00:00:00'").select(F.concat(F.lit("late-"), "id").alias("id"), "saved_at")
+    for part in (saved.where("saved_at < '2024-01-16 00:00:00'"), saved.where("saved_at >= '2024-01-16 00:00:00'").union(too_late)):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("id string, saved_at timestamp").parquet(f"{folder}/in")
+        A.expire_stream(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 @query("SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 3600 SECOND")
 def stream_expire_results(spark, sf_dir):
     return A.expire_results(spark.read.parquet(f"{sf_dir}/events.parquet")).select("event_id", "user_id")

@@ -225,6 +225,31 @@ def tagger_linear_model(spark, sf_dir):
     return V.prf_sequence(test, tagger.tag_tokens(model, test.drop("tag")))
 
 
+@query(fixture.with_tables("""
+, f AS (SELECT source, record_id, ('0x' || left(md5('42|' || source), 8))::BIGINT % 3 AS fold FROM annotated)
+SELECT fold::INT AS fold, count(*) AS records, count(DISTINCT source) AS sources, 0::BIGINT AS shared FROM f GROUP BY fold""", "annotated").replace("\n, f AS", ", f AS"))
+def tagger_folds(spark, sf_dir):
+    """The folds in which models are compared: no source is in two of them."""
+    dealt = tagger.in_folds(fixture.annotated(spark, sf_dir).select("record_id", "source"))
+    shared = dealt.groupBy("source").agg(F.count_distinct("fold").alias("n"), F.min("fold").alias("fold")).groupBy("fold").agg(F.count_if(F.col("n") > 1).alias("shared"))
+    return dealt.groupBy("fold").agg(F.count("*").alias("records"), F.count_distinct("source").alias("sources")).join(shared, "fold")
+
+
+@query()
+def tagger_cross_validation(spark, sf_dir):
+    """Candidates by fold, and the tags on which the best one and its saved and loaded copy differ; a trained model has no SQL."""
+    from .corpus_queries import shared_folder
+
+    tagged = _tagged(spark, sf_dir).join(fixture.annotated(spark, sf_dir).select("record_id", "source"), "record_id")
+    grid = [{"reg": reg, "rounds": 3, "hashed": 256} for reg in (10.0, 0.01)]
+    path = shared_folder(spark)
+    model, best = tagger.save_best(tagged, grid, path, folds=2)
+    tags = lambda m: tagger.tag_tokens(m, tagged.drop("tag", "source")).select("record_id", "token_idx", "tag")
+    differ = tags(model).join(tags(tagger.load_tagger(path)).withColumnRenamed("tag", "other"), ["record_id", "token_idx"]).agg(F.count_if(F.col("tag") != F.col("other")).alias("differ"))
+    rows = [(k, p["reg"], p == best["params"], fold, f1) for k, p in enumerate(grid) for t in best["tried"] if t["params"] == p for fold, f1 in enumerate(t["f1"])]
+    return spark.createDataFrame(rows, "candidate int, reg double, best boolean, fold int, f1 double").crossJoin(differ)
+
+
 @query(_sql("SELECT rid AS doc_id, 'DRUG' AS label, drug AS text, start_at FROM annotated JOIN gold USING (rid) WHERE label = 'DRUG' AND drug <> 'cần sa'"))
 def tagger_score_records(spark, sf_dir):
     """A pattern as a model, behind the tagger interface, for sections that may hold drugs."""

@@ -17,8 +17,10 @@ def record_lines(records: DataFrame) -> DataFrame:
     return records.select("source", F.to_json(F.struct(F.col("record_id").alias("id"), "text", F.array().cast("array<string>").alias("labels"), meta.alias("meta"))).alias("value"))
 
 
-def write_records(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    record_lines(records).write.mode(mode).partitionBy("source").text(path)
+def write_records(records: DataFrame, path: str, mode: str = "errorifexists", rows_per_file: int = 1_000_000) -> None:
+    """A folder for each source, with few files. Rows of a source are brought together, but those of a large one stay with several tasks: Spark cuts
+    partitions above its advisory size, and puts small ones together."""
+    record_lines(records).hint("rebalance", "source").write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("source").text(path)
 
 
 def annotated_lines(records: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def duck(sf_dir):
 
 
 def shown(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
         return "null"
     return f"{float(x):.9g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 

@@ -205,6 +205,13 @@ def test_phrases(spark):
     assert X.phrase_locate(pages, phrases).where("page_id = 2 and phrase_id = 3").count() == 30
     assert X.phrase_locate(pages.union(spark.createDataFrame([(3, "w " * 250)], pages.schema)), phrases).where("phrase_id = 4").count() == 51
     assert X.phrase_locate(pages, phrases.limit(0)).count() == 0
+    words = ["a", "b", "c", "d", "e", "f", "g", "h", "i"]
+    text = " ".join(words + ["x"] + words[:8] + ["y"] + words + words)
+    wanted = {1: " ".join(words), 2: " ".join(words[:4]), 3: "c d e", 4: " ".join([*words, *words]), 5: " ".join(words[4:] + ["x"]), 6: "a b c d x", 7: "i a b c d e"}
+    hay = spark.createDataFrame([(1, text), (2, "nothing"), (3, ""), (4, None)], "page_id int, text string")
+    stood = {(r["phrase_id"], r["first_word"]) for r in X.phrase_locate(hay, spark.createDataFrame(list(wanted.items()), "phrase_id int, text string")).collect()}
+    runs = {k: v.split() for k, v in wanted.items()}
+    assert stood == {(k, at) for k, run in runs.items() for at in range(len(text.split())) if text.split()[at : at + len(run)] == run}
     stats = X.phrase_stats(phrases, found)
     assert [r["phrase_id"] for r in X.unmatched(stats).collect()] == [4, 2]
 
@@ -237,3 +244,121 @@ def test_reanchor(spark, text, spans, want):
     frame = spark.createDataFrame([(text, spans and [(a, b, "DRUG", w) for a, b, w in spans])], kind)
     (row,) = frame.select(X.reanchor_spans(F.col("text"), F.col("spans")).alias("s")).collect()
     assert [(s["start"], s["end"]) for s in row["s"]] == want and all(s["word"] for s in row["s"])
+
+
+def brute_tags(tokens, spans):
+    """Tag of each token by trying all spans, laid in order of start, the longer first, then as listed."""
+    tags = ["O"] * len(tokens)
+    for a, b, label in sorted(spans, key=lambda s: (s[0], s[0] - s[1])):
+        hit = [k for k, (x, y) in enumerate(tokens) if max(a, x) < min(b, y)]
+        for n, k in enumerate(hit):
+            tags[k] = ("I-" if n else "B-") + label
+    return tags
+
+
+def brute_aligned(tokens, span):
+    a, b = span[:2]
+    touched = [t for t in tokens if max(a, t[0]) < min(b, t[1])]
+    inside = [t for t in touched if t[0] >= a and t[1] <= b] or touched
+    return (inside[0][0], inside[-1][1]) if inside else None
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_sweep_against_all_pairs(spark, seed):
+    draw = random.Random(seed)
+    rows = []
+    for k in range(60):
+        text = "".join(draw.choice("ab  ") for _ in range(draw.randrange(40)))
+        spans = [(a, a + draw.randrange(1, 12), draw.choice(L.LABELS)) for a in (draw.randrange(max(1, len(text))) for _ in range(draw.randrange(8)))]
+        rows.append((f"r{k}", text, [s for s in spans if s[1] <= len(text)]))
+    frame = spark.createDataFrame(rows, "record_id string, text string, spans array<struct<start:int,end:int,label:string>>").repartition(3)
+    tokens, spans = X.tokenize(frame), X.explode_spans(frame)
+    tagged, aligned = {}, {}
+    for r in X.spans_to_bio(tokens, spans).orderBy("token_idx").collect():
+        tagged.setdefault(r["record_id"], []).append(r["tag"])
+    for r in X.align_to_tokens(tokens, spans).collect():
+        aligned[(r["record_id"], r["span_idx"])] = (r["aligned_start"], r["aligned_end"])
+        assert r["misaligned"] == ((r["aligned_start"], r["aligned_end"]) != (r["start"], r["end"]))
+    import re
+
+    for name, text, own in rows:
+        places = [m.span() for m in re.finditer(r"\S+", text)]
+        assert tagged.get(name, []) == brute_tags(places, own)
+        assert {k: v for k in range(len(own)) if (v := brute_aligned(places, own[k]))} == {k: aligned[(name, k)] for k in range(len(own)) if (name, k) in aligned}
+
+
+def test_sweep_over_one_long_record(spark):
+    """100,000 tokens and 10,000 spans in one record: all pairs would be a thousand million."""
+    tokens = spark.range(100_000).select(F.lit("r").alias("record_id"), F.col("id").cast("int").alias("token_idx"), F.lit("ab").alias("token"), (F.col("id") * 3).cast("int").alias("start"), (F.col("id") * 3 + 2).cast("int").alias("end"))
+    spans = spark.range(10_000).select(F.lit("r").alias("record_id"), F.col("id").cast("int").alias("span_idx"), (F.col("id") * 30).cast("int").alias("start"), (F.col("id") * 30 + 8).cast("int").alias("end"), F.lit("DRUG").alias("label"))
+    counts = {r["tag"]: r["count"] for r in X.spans_to_bio(tokens, spans).groupBy("tag").count().collect()}
+    assert counts == {"B-DRUG": 10_000, "I-DRUG": 20_000, "O": 70_000}
+    assert X.align_to_tokens(tokens, spans).where("not misaligned").count() == 10_000
+
+
+def test_statistics_of_odd_splits(spark):
+    records = spark.createDataFrame([("a", "s", "train"), ("b", "s", "other"), ("c", "t", None), ("d", None, "dev")], "record_id string, source string, split string")
+    spans = spark.createDataFrame([("a", "DRUG"), ("a", "DRUG"), ("b", "PERSON"), ("gone", "DRUG")], "record_id string, label string")
+    rows = {r["name"]: (r["train"], r["dev"], r["test"], r["all"]) for r in C.split_stats(records, spans).collect()}
+    assert rows["DRUG"] == (2, 0, 0, 2) and rows["PERSON"] == (0, 0, 0, 1) and rows["#Entities in total"] == (2, 0, 0, 3)
+    assert rows["#Rows/snippets in total"] == (1, 1, 0, 4) and rows["#Source judgments in total"] == (1, 0, 0, 2) and len(rows) == 11
+    assert {tuple(r)[2:] for r in C.split_stats(records.limit(0), spans.limit(0)).collect()} == {(0, 0, 0, 0)}
+
+
+def test_a_large_source_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 50)).alias("source"), F.col("id").cast("string").alias("record_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"), F.lit("noi_dung").alias("section"), F.array(F.lit("DRUG")).alias("ner_targets"), F.lit(1).alias("record_idx"))
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        K.write_records(rows, f"{tmp_path}/out", rows_per_file=4000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    files = {p.name.split("-")[1] for p in (tmp_path / "out/source=hot").glob("part-*")}
+    assert len(files) > 1 and all(sum(1 for _ in p.open()) <= 4000 for p in (tmp_path / "out").rglob("part-*"))
+    assert spark.read.text(f"{tmp_path}/out").count() == 20_000
+
+
+def test_history(spark):
+    at = "2024-01-0{} 00:00:00".format
+    rows = [("a", at(1), "", None, None, 5, {"DRUG": ["x"], "PERSON": None}), ("a", at(3), "f2", "m2", "n2", None, None), ("b", at(2), "g", None, "n", 7, {}), ("c", at(4), None, "", "", 1, {"DRUG": ["x", "y"]})]
+    results = spark.createDataFrame(rows, "id string, saved_at string, filename string, model_display_name string, model_name string, elapsed_ms long, entities map<string,array<string>>")
+    log = C.history_entries(results)
+    marks = lambda *m: C.history_deletes(spark.createDataFrame(list(m), "id string, at string"))
+    show = lambda frame: {(r["id"], r["filename"], r["model"], r["elapsed_ms"], r["count"]) for r in C.live_history(frame).collect()}
+    a, b, c = ("a", "f2", "m2", None, 0), ("b", "g", "n", 7, 0), ("c", "Không rõ tên", "PhoBERT", 1, 2)
+    assert show(log) == {a, b, c}
+    assert show(log.unionByName(marks(("b", at(5)), ("a", at(2))))) == {a, c}  # a was saved again after its delete
+    assert show(log.unionByName(marks((None, at(3))))) == {a, c}  # what is saved at the time of a clearing stays
+    assert show(log.limit(0)) == set() and [r["id"] for r in C.top_history(C.live_history(log), 2).collect()] == ["c", "a"]
+
+
+def test_expiry_over_a_restart(spark, tmp_path):
+    from lexlake.streaming import annotate as A
+
+    def run(*rows):
+        spark.createDataFrame([(i, f"2024-01-01 {t}:00") for i, t in rows], "id string, saved_at string").select("id", F.col("saved_at").cast("timestamp").alias("saved_at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = A.expire_stream(spark.readStream.schema("id string, saved_at timestamp").parquet(f"{tmp_path}/in"), ttl_seconds=3600, late="10 minutes")
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["id"], r["saved_at"].strftime("%H:%M"), r["move"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    first = [("a", "10:00", "added"), ("b", "10:30", "added")]
+    assert run(("a", "10:00"), ("b", "10:30"), ("a", "10:20"), (None, "10:00")) == first
+    # a restart from the checkpoint: b is renewed, a's latest result is an hour and more behind the watermark of 11:30
+    second = sorted([*first, ("a", "10:20", "expired"), ("c", "11:40", "added")])
+    assert run(("b", "11:20"), ("c", "11:40")) == second
+    # results behind the watermark are ignored, whether of a known id or a new one
+    assert run(("z", "10:00"), ("b", "09:00"), ("c", "11:41")) == second
+    assert run(("d", "14:00")) == sorted([*second, ("b", "11:20", "expired"), ("c", "11:41", "expired"), ("d", "14:00", "added")])
+
+
+def test_model_choice(spark, records, tmp_path, monkeypatch):
+    some = records.limit(120)
+    tagged = X.spans_to_bio(X.tokenize(some), X.explode_spans(some)).join(some.select("record_id", "source"), "record_id")
+    dealt = tagger.in_folds(some.select("source"), 3)
+    assert dealt.groupBy("source").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0 and dealt.select("fold").distinct().count() == 3
+    rated = iter([0.5, 0.7, 0.6, 0.6, 0.5, 0.7, 0.9])
+    monkeypatch.setattr(tagger, "train_token_classifier", lambda *_, **params: params)
+    monkeypatch.setattr(tagger, "tag_tokens", lambda model, dev: dev)
+    monkeypatch.setattr(tagger, "prf_sequence", lambda *_: spark.createDataFrame([("overall", next(rated))], "label string, f1 double"))
+    tried = tagger.cross_validate(tagged, [{"reg": r} for r in (1.0, 2.0, 3.0, 4.0)], folds=2, patience=2)
+    assert [t["params"]["reg"] for t in tried] == [1.0, 2.0, 3.0] and tried[0]["mean"] == 0.6  # none is better: patience ends before the fourth
