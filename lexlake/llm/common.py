@@ -55,8 +55,11 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.parquet(path)
+    made = spark.read.parquet(path)
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(60_000)  # the last event of the write holds its plan until events of the read have come
+    context._jvm.System.gc()
+    return made
 
 
 def free_name(df: DataFrame, name: str) -> str:
