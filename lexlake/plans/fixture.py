@@ -127,5 +127,9 @@ def records_with_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     items = [("CRIME_TIME", "crime_time"), ("CRIME_LOC", "crime_loc"), ("PERSON", "person"), ("DRUG", "drug"), ("DRUG_WEIGHT", "weight")]
-    span = lambda label, c: F.struct((F.call_function("instr", "text", c) - 1).alias("start"), (F.call_function("instr", "text", c) - 1 + F.length(c)).alias("end"), F.lit(label).alias("label"))
-    return annotated(spark, sf_dir).select("rid", "record_id", "source", "text", F.array(*[span(label, c) for label, c in items]).alias("spans"))
+    place = lambda c: F.call_function("instr", "text", c) - 1
+    span = lambda label, c: F.struct(place(c).alias("start"), (place(c) + F.length(c)).alias("end"), F.lit(label).alias("label"))
+    # sentences and spans are each made once, as generated columns; in place of their names the optimizer would put the expressions they are made of
+    made = annotated(spark, sf_dir)
+    made = made.select(F.inline(F.array(F.struct(*made.columns))))
+    return made.select("rid", "record_id", "source", "text", F.explode(F.array(F.array(*[span(label, c) for label, c in items]))).alias("spans"))
