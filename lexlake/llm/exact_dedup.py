@@ -14,7 +14,7 @@ table gives an empty result; other columns, whatever their names, are kept by dr
 
 from __future__ import annotations
 
-import hashlib
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -133,16 +133,8 @@ _ENTRY = "digest binary, keep_id long, keep_text long, keep_hash long, keep_row
 
 def digest_rows(docs: DataFrame) -> DataFrame:
     """row_id, doc_id, text_hash, row_hash and digest of each row; the text stays behind in the scan."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha = hashlib.sha256
-        for batch in batches:
-            digests = [sha(x.as_py().encode().lower()).digest() if x.is_valid else sha(b"").digest() for x in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(digests, pa.binary())], ["row_id", *_NAME, "digest"])
-
-    name = common.named_rows(docs)
-    slim = docs.select(F.monotonically_increasing_id().alias("row_id"), *[name[c].alias(c) for c in _NAME], F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "row_id long, doc_id long, text_hash long, row_hash long, digest binary")
+    name, lower = common.named_rows(docs), F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return docs.select(F.monotonically_increasing_id().alias("row_id"), *[name[c].alias(c) for c in _NAME], F.unhex(F.sha2(lower, 256)).alias("digest"))
 
 
 def _rank(doc_id, text_hash, row_hash, row_id) -> tuple:

@@ -10,7 +10,7 @@ their whole text, case and white space aside: copies count once, and different d
 A line of a third of all documents costs no task more than another: lines are counted through partial sums, first
 by (host, line, signature), and the verdict join has the lines on a side that adaptive execution splits.
 
-Defined results: a null text has no words and fails; a null source is a host of its own; repeated rows are judged
+Defined results: a null text has no words and fails; a null source counts as the empty one; repeated rows are judged
 each; a very long text is judged as a whole, within its row; a line that reaches a limit exactly is no boilerplate, and a document that
 keeps exactly the least share of its words stays; an empty table gives an empty result; other columns, whatever their names, are
 ignored by the verdict and kept by keep_good().
