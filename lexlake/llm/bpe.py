@@ -312,30 +312,46 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """docs with the array of ids of each text."""
+def _with_column(docs: DataFrame, of: str, into: str, kind: str, values) -> DataFrame:
+    """docs with values(batch's column `of`) as the column `into`, in place of one of that name. Columns travel by place, whatever they are called."""
+    docs = docs if into == of else docs.drop(common.column(into))
+    at, schema = docs.columns.index(of), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_bytes(path)
+        make = values()
         for batch in batches:
-            parts: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
-            for k, values in cache.texts(batch.column(text).to_pylist()):
-                parts[k].extend(values)
-            ids = pa.array([np.frombuffer(b"".join(p), "<u4").astype(np.int32) for p in parts], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(at).to_pylist())], [*schema.names, into])
+
+    quoted = lambda name: "`" + name.replace("`", "``") + "`"
+    made = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema) + f", {quoted(into)} {kind}"
+    return docs.toDF(*[f"c{k}" for k in range(len(schema))]).mapInArrow(run, made)
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
+    """docs with the array of ids of each text, in place of a column of that name."""
 
-    return docs.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{into}` array<int>")
+    def values():
+        cache = word_bytes(path)
+
+        def make(texts: list) -> pa.Array:
+            parts: list[list[bytes]] = [[] for _ in texts]
+            for k, found in cache.texts(texts):
+                parts[k].extend(found)
+            return pa.array([np.frombuffer(b"".join(p), "<u4").astype(np.int32) for p in parts], pa.list_(pa.int32()))
+
+        return make
+
+    return _with_column(docs, text, into, "array<int>", values)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """docs with the text of each array of ids."""
+    """docs with the text of each array of ids, in place of a column of that name."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def values():
         coder = encoder(path)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([coder.decode(x or []) for x in batch.column(ids).to_pylist()])], [*batch.schema.names, into])
+        return lambda lists: pa.array([coder.decode(x or []) for x in lists], pa.string())
 
-    return docs.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{into}` string")
+    return _with_column(docs, ids, into, "string", values)
 
 
 def vocabulary() -> str:

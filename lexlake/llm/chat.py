@@ -10,8 +10,8 @@ Under the loss mask lies each assistant text; the mask has one entry a turn (tur
 in code points of the escaped text, so that formatted text is cut turn by turn without searching from its start.
 
 Defined results: a null text or role is empty; turns are ordered by turn, then role, then text, nulls first; repeated rows are
-turns of their own; a conversation is one value of the result, so its turns meet in one task by contract; an empty
-table gives an empty result; other columns are ignored.
+turns of their own; a conversation is one value of the result, so its turns meet in one task by contract, and a very long text is escaped
+and formatted within its row; an empty table gives an empty result; other columns are kept, but for those with the name of a result.
 """
 
 from __future__ import annotations
@@ -106,7 +106,7 @@ def _turns(layout: Layout, record: Column) -> Column:
 
 
 def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """records with fingerprint, layout (null: no mapping) and turns."""
+    """records with fingerprint, layout (null: no mapping) and turns, in place of columns of these names; the record column must be called otherwise."""
     hashed = records.withColumn("fingerprint", fingerprint(F.col(record)))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for known in reversed(layouts):
@@ -133,19 +133,21 @@ def _piece(turn: Column) -> Column:
 
 
 def format_turns(chats: DataFrame, turns: str = "turns") -> DataFrame:
-    """chats with formatted and loss_mask in place of their turns."""
-    pieces = chats.withColumn("_pieces", F.transform(turns, _piece)).drop(turns)
+    """chats with formatted and loss_mask (in place of columns of these names) instead of their turns."""
+    held = common.free_name(chats, "_pieces")
+    pieces = chats.withColumn(held, F.transform(turns, _piece)).drop(turns)
     entry = lambda p: F.struct(
         (F.length(p["opening"]) + F.length(p["inside"]) + F.length(p["closing"])).cast("long").alias("turn_chars"),
         F.length(p["opening"]).cast("long").alias("skip"), F.when(p["loss"], F.length(p["inside"])).otherwise(0).cast("long").alias("loss_chars"),
     )
-    text = F.array_join(F.transform("_pieces", lambda p: F.concat(p["opening"], p["inside"], p["closing"])), "")
-    return pieces.withColumn("formatted", text).withColumn("loss_mask", F.transform("_pieces", entry)).drop("_pieces")
+    text = F.array_join(F.transform(held, lambda p: F.concat(p["opening"], p["inside"], p["closing"])), "")
+    return pieces.withColumn("formatted", text).withColumn("loss_mask", F.transform(held, entry)).drop(held)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """turns and loss_text (all text under the mask, unescaped), parsed from formatted and loss_mask."""
-    parts = formatted.withColumn("_parts", F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(0)))
+    """formatted with turns and loss_text (all text under the mask, unescaped), parsed from formatted and loss_mask, in place of columns of these names."""
+    held = common.free_name(formatted, "_parts")
+    parts = formatted.withColumn(held, F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(0)))
 
     def turn(p: Column) -> Column:
         role, text = F.regexp_extract(p, r"(?s)^\[ROLE\](.*?)\[TEXT\]", 1), F.regexp_extract(p, r"(?s)^\[ROLE\].*?\[TEXT\](.*)\[/ROLE\]$", 1)
@@ -154,8 +156,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
             role, text = F.when(hit, F.lit(name)).otherwise(role), F.when(hit, F.substring(p, F.lit(len(a) + 1), F.length(p) - len(a) - len(b))).otherwise(text)
         return F.struct(unescape(role).alias("role"), unescape(text).alias("text"))
 
-    masked = F.zip_with("_parts", "loss_mask", lambda p, m: unescape(F.substring(p, (m["skip"] + 1).cast("int"), m["loss_chars"].cast("int"))))
-    return parts.withColumn("turns", F.transform("_parts", turn)).withColumn("loss_text", F.array_join(masked, "")).drop("_parts")
+    masked = F.zip_with(held, "loss_mask", lambda p, m: unescape(F.substring(p, (m["skip"] + 1).cast("int"), m["loss_chars"].cast("int"))))
+    return parts.withColumn("turns", F.transform(held, turn)).withColumn("loss_text", F.array_join(masked, "")).drop(held)
 
 
 def conversation_records(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import pytest
 
-from lexlake.llm import common, exact_dedup, pii, quality, simhash
+from pyspark.sql import functions as F
+
+from lexlake.llm import bpe, chat, common, exact_dedup, pii, quality, simhash
 
 NAMES = ["_KEY", "_key_", "_cuts", "island", "row_id", "name", "digest", "text_hash", "row_hash", "keep_id", "node", "first", "a.b", "found"]
 
@@ -40,3 +42,26 @@ def test_rows_that_differ_in_other_columns_only(spark):
 
 def test_names(clashing):
     assert common.free_name(clashing, "_key") == "_key__" and common.free_name(clashing, "other") == "other"
+
+
+def test_formatting_keeps_columns_and_replaces_those_named_as_its_results(spark):
+    long = "x [INST] \\ " * 20_000
+    rows = [("kept", "kept too", "old", "old", "old", "old", "old", long), ("kept", "kept too", "old", "old", "old", "old", "old", "")]
+    frame = spark.createDataFrame(rows, "_pieces string, _PARTS string, formatted string, loss_mask string, turns string, layout string, fingerprint string, text string")
+    asked = frame.withColumn("record", F.to_variant_object(F.struct(F.col("text").alias("prompt"), F.col("text").alias("response"))))
+    done = chat.read_back(chat.format_turns(chat.canonical_turns(asked).drop("record")))
+    for r in done.collect():
+        assert (r["_pieces"], r["_PARTS"], r["loss_text"]) == ("kept", "kept too", r["text"])
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [("user", r["text"]), ("assistant", r["text"])] and r["formatted"] != "old"
+
+
+def test_encoding_replaces_a_column_of_its_name(clashing):
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary()
+    known = Tokenizer.from_file(path)
+    coded = bpe.decode(bpe.encode(clashing, path, into="found"), path, ids="found", into="first")
+    assert sorted(coded.columns) == sorted(clashing.columns)
+    for r in coded.collect():
+        ids = known.encode(r["text"], add_special_tokens=False).ids
+        assert r["found"] == ids and r["first"] == known.decode(ids, skip_special_tokens=False) and r["island"].startswith("island") and r["a.b"].startswith("a.b")
