@@ -221,12 +221,12 @@ def label_groups(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     return rows.join(named, "fp", "left")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, exact: bool = False) -> DataFrame:
     """docs with one row of each component of near copies (alike.py): the least doc_id, then text hash, then hash of all columns.
 
-    Of rows that are equal in every column one stays. The query's limits of shingles and bits bind the query only.
+    Of rows that are equal in every column one stays. The query's limits of shingles and bits bind the query only. exact: as of label_alike().
     """
-    stay = alike.label_alike(docs).select(F.struct("first.doc_id", "first.text_hash", "first.row_hash").alias("name"))
+    stay = alike.label_alike(docs, exact=exact).select(F.struct("first.doc_id", "first.text_hash", "first.row_hash").alias("name"))
     return common.keep_rows(docs, stay, once=True)
 
 

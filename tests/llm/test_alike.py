@@ -96,3 +96,20 @@ def test_unlike_texts_with_one_or_no_id_stay(spark):
     left = H.drop_near_copies(make_docs(spark, rows))
     want = [(None, text(k)) for k in range(20)] + [(7, text(30)), (7, text(31)), (8, text(32))]
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(str, want))
+
+
+def test_exact_mode_needs_no_bands(spark, monkeypatch):
+    """Bands that are useless: what is near is found by rare shingles alone."""
+    import numpy as np
+
+    rng = random.Random(11)
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([6, 60, 150]))]
+        texts += [" ".join(changed(rng, words, n)) for n in (0, 1, 1, 2)]
+    rows = list(enumerate(dict.fromkeys(texts)))
+    bands = A.BANDS
+    monkeypatch.setattr(A, "_band_keys", lambda hashes: np.arange(bands, dtype=np.uint64) + hashes[:1].sum() * np.uint64(1000003))
+    frame = make_docs(spark, rows)
+    least = lambda exact: sorted(r["doc_id"] for r in A.label_alike(frame, exact=exact).select("first.doc_id").distinct().collect())
+    assert least(True) == brute_least(rows) and len(least(False)) > len(least(True))
