@@ -55,7 +55,7 @@ def _met(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     none = F.lit(None).cast("struct<token_idx:int,start:int,end:int>")
     span = F.struct("span_idx", "start", "end", "label")
     points = tokens.select("record_id", F.col("start").alias("at"), F.lit(1).alias("kind"), token.cast("struct<token_idx:int,start:int,end:int>").alias("token"), F.lit(None).cast(spans.select(span.alias("s")).schema["s"].dataType).alias("span"))
-    borders = F.array(F.struct(F.col("start").alias("at"), F.lit(2).alias("kind")), F.struct("end", F.lit(0)))  # at one position: ends of spans, then tokens, then starts of spans
+    borders = F.array(F.struct(F.col("start").alias("at"), F.lit(2).alias("kind")), F.struct(F.col("end").alias("at"), F.lit(0).alias("kind")))  # at one position: ends of spans, then tokens, then starts of spans
     points = points.union(spans.select("record_id", F.inline(borders), none, span))
     over = "OVER (PARTITION BY record_id ORDER BY at, kind)"
     seen = points.select(
