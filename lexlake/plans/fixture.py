@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 JUDGMENTS = """
 SELECT o_orderkey AS doc_id,
@@ -106,13 +107,28 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ANNOTATED.replace("FROM orders", "FROM {orders}"), orders=orders(spark, sf_dir))
 
 
+_GOLD_COLUMNS = [("CRIME_TIME", "crime_time"), ("CRIME_LOC", "crime_loc"), ("PERSON", "person"), ("DRUG", "drug"), ("DRUG_WEIGHT", "weight")]
+
+
+def _made_once(table: DataFrame) -> DataFrame:
+    """table with its columns as generated ones; in place of their names the optimizer would put the expressions that they are made of, again and again."""
+    return table.select(F.inline(F.array(F.struct(*table.columns))))
+
+
+def _gold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of GOLD, all five spans of a sentence from one reading of it."""
+    place = lambda c: (F.call_function("instr", "text", c) - 1).cast("int")
+    span = lambda label, c: F.struct(F.lit(label).alias("label"), F.col(c).alias("word"), place(c).alias("start_at"), (place(c) + F.length(c)).cast("int").alias("end_at"))
+    return _made_once(annotated(spark, sf_dir)).select("rid", "record_id", F.inline(F.array(*[span(label, c) for label, c in _GOLD_COLUMNS])))
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rid, record_id, label, word, start, end."""
-    return _spans(spark.sql(GOLD.replace("FROM annotated", "FROM {annotated}"), annotated=annotated(spark, sf_dir)))
+    return _spans(_gold_rows(spark, sf_dir))
 
 
 def predicted(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
-    table = spark.sql(GOLD.replace("FROM annotated", "FROM {annotated}"), annotated=annotated(spark, sf_dir))
+    table = _gold_rows(spark, sf_dir)
     sql = PREDICTED[model].replace("FROM gold", "FROM {gold}").replace("FROM annotated", "FROM {annotated}")
     named = {"gold": table} | ({"annotated": annotated(spark, sf_dir)} if "{annotated}" in sql else {})
     return _spans(spark.sql(sql, **named))
@@ -124,12 +140,6 @@ def _spans(table: DataFrame) -> DataFrame:
 
 def records_with_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_id, source, text, spans of the annotated sentences."""
-    from pyspark.sql import functions as F
-
-    items = [("CRIME_TIME", "crime_time"), ("CRIME_LOC", "crime_loc"), ("PERSON", "person"), ("DRUG", "drug"), ("DRUG_WEIGHT", "weight")]
     place = lambda c: F.call_function("instr", "text", c) - 1
     span = lambda label, c: F.struct(place(c).alias("start"), (place(c) + F.length(c)).alias("end"), F.lit(label).alias("label"))
-    # sentences and spans are each made once, as generated columns; in place of their names the optimizer would put the expressions they are made of
-    made = annotated(spark, sf_dir)
-    made = made.select(F.inline(F.array(F.struct(*made.columns))))
-    return made.select("rid", "record_id", "source", "text", F.explode(F.array(F.array(*[span(label, c) for label, c in items]))).alias("spans"))
+    return _made_once(annotated(spark, sf_dir)).select("rid", "record_id", "source", "text", F.explode(F.array(F.array(*[span(label, c) for label, c in _GOLD_COLUMNS]))).alias("spans"))
