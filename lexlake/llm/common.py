@@ -39,6 +39,12 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def gone_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the session ends."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of df through the shared folder."""
     shared_folder(df.sparkSession)
@@ -53,8 +59,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    gone_at_end(spark, path)
     made = spark.read.parquet(path)
     context = spark.sparkContext
     context._jsc.sc().listenerBus().waitUntilEmpty(60_000)  # the last event of the write holds its plan until events of the read have come
