@@ -64,9 +64,9 @@ def write_stats_csv(stats: DataFrame, path: str, mode: str = "errorifexists") ->
     stats_lines(stats).repartition(1).sortWithinPartitions("row_order").select("value").write.mode(mode).text(path)
 
 
-def write_lines(lines: DataFrame, column: str, path: str, mode: str = "errorifexists") -> None:
-    """Reports, Markdown tables and JSON documents: one column of text."""
-    lines.select(F.col(column).alias("value")).write.mode(mode).text(path)
+def write_lines(lines: DataFrame, column: str, path: str, mode: str = "errorifexists", rows_per_file: int = 0) -> None:
+    """Reports, Markdown tables and JSON documents: one column of text. rows_per_file: a bound for files that are read as a whole; 0 is none."""
+    lines.select(F.col(column).alias("value")).write.mode(mode).option("maxRecordsPerFile", rows_per_file).text(path)
 
 
 def write_bio(tagged: DataFrame, path: str, mode: str = "errorifexists") -> None:
