@@ -2,12 +2,12 @@
 
 High-recall generators propose spans, which may overlap: the four base kinds and looser ones (number groups, long mixed
 tokens, spelled-out addresses). Each candidate gets features of its kind, its format (lengths, digits, groups) and its
-context (neighbouring characters). Boosted trees are fitted on a bounded sample of candidates, at most SAMPLE_ROWS on average.
+context (neighbouring characters). Boosted trees are fitted on all candidates but those held back, as distinct rows of features with their numbers.
 
 Labels come from signals that no feature shows the trees: the check digit of cards, the range of the parts of IP addresses, the number of
 digits of phones, the ending of spelled-out addresses, and, for numbers and tokens, a cue word right before the match. A cue makes
 a positive; a number or token without one is unlabelled, not negative. So for these two kinds the trees, which see the format of a match and what
-touches it but neither words nor signs before it, learn how often a format is announced. On a part of the sample that they were not fitted
+touches it but neither words nor signs before it, learn how often a format is announced. On the quarter of the candidates that they were not fitted
 on, the share of announced ones among the best-scoring candidates (as many as hold half of the announced ones) says how often true ones are
 announced at all. Where that share is LEAST_TOLD or more, a candidate counts as right with its own share over that one, and unannounced ones of
 the format are found too; where it is less, plain numbers and words look like personal data, and none of the kind is added. For the other kinds the
@@ -53,7 +53,6 @@ KINDS = tuple(PATTERNS)
 #: Words that announce personal data (fixed values).
 CUES = "token|key|secret|password|passwd|pwd|auth|bearer|ssn|iban|account|card|phone|tel|call|mail|passport"
 CONTEXT = 24
-SAMPLE_ROWS = 50_000
 HELD_BACK = 4
 PRECISION = 0.97
 #: Kinds of which only announced ones are labelled, and the share of announced ones that a format must have.
@@ -116,17 +115,15 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 
 def fit(found: DataFrame):
-    """(model, thresholds by kind), or None where the sample has one class only.
+    """(model, thresholds by kind), or None where there is one class only.
 
-    The sample is grouped to distinct rows of features with their counts, so that a training pass reads a small table.
+    All candidates count: they are grouped to distinct rows of features with their numbers as weights, so that a training pass reads a smaller table.
     """
     counted = found.agg(F.count("*").alias("n"), F.sum("label").alias("right")).first()
     if not counted["right"] or counted["right"] == counted["n"]:
         return None
-    rate = min(1.0, SAMPLE_ROWS / counted["n"])
-    sample = found.where(F.pmod(F.xxhash64("row_id", "start", "end", "kind"), F.lit(1 << 30)) < rate * (1 << 30))
     part = F.pmod(F.xxhash64("start", "row_id", "kind"), F.lit(HELD_BACK)) == 0
-    grouped = common.checkpoint(sample.groupBy("kind", *FEATURES, "label", part.alias("back")).agg(F.count("*").cast("double").alias("weight")).coalesce(2))
+    grouped = common.checkpoint(found.groupBy("kind", *FEATURES, "label", part.alias("back")).agg(F.count("*").cast("double").alias("weight")))
     classes = {r["label"] for r in grouped.where("not back").select("label").distinct().collect()}
     if len(classes) < 2:
         return None
