@@ -37,9 +37,9 @@ def _sql(body: str, *parts: str) -> str:
     return fixture.with_tables("", "layouts").rstrip() + "".join(f", {p.strip()}" for p in parts) + "\n" + body
 
 
-def _made(spark, sf_dir) -> tuple:
+def _made(spark, sf_dir, **how) -> tuple:
     docs = fixture.layouts(spark, sf_dir)
-    return docs, pipeline.analyse(docs)
+    return docs, pipeline.analyse(docs, **how)
 
 
 @query(_sql("""
@@ -97,7 +97,7 @@ SELECT j.doc_id, md5('KẾT QUẢ NHẬN DIỆN THỰC THỂ BẢN ÁN HÌNH S
   || coalesce(chr(10) || (SELECT string_agg(p, chr(10) ORDER BY record_idx) FROM passages q WHERE q.doc_id = j.doc_id), '')) AS report_md5 FROM layouts j""", _ENTITIES, _RECORDS, _LINES))
 def layout_report(spark, sf_dir):
     """A report for every document."""
-    docs, made = _made(spark, sf_dir)
+    docs, made = _made(spark, sf_dir, keep=fixture.stored)
     return E.report_text(made.records, made.entities, docs).select("doc_id", F.md5("report").alias("report_md5"))
 
 
@@ -107,7 +107,7 @@ SELECT j.doc_id, md5('<!doctype html><html lang="vi"><head><meta charset="utf-8"
   || coalesce((SELECT string_agg(text, '<br/><br/>' ORDER BY record_idx) FROM records r WHERE r.doc_id = j.doc_id AND EXISTS (SELECT 1 FROM entities e WHERE e.doc_id = r.doc_id AND e.record_idx = r.record_idx)), '')
   || '</div></body></html>') AS html_md5 FROM layouts j""", _ENTITIES, _RECORDS, _LINES))
 def layout_report_html(spark, sf_dir):
-    docs, made = _made(spark, sf_dir)
+    docs, made = _made(spark, sf_dir, keep=fixture.stored)
     return E.report_html(made.entities, made.records, docs).select("doc_id", F.md5("html").alias("html_md5"))
 
 
@@ -116,7 +116,7 @@ SELECT j.doc_id, 8 AS labels, (SELECT count(*) FROM entities e WHERE e.doc_id =
   (SELECT count(*) FROM records r WHERE r.doc_id = j.doc_id AND section = 'quyet_dinh') > 0 AS has_decision FROM layouts j""", _ENTITIES, _RECORDS))
 def layout_result_json(spark, sf_dir):
     """Results of every document as JSON, read again."""
-    _, made = _made(spark, sf_dir)
+    _, made = _made(spark, sf_dir, keep=fixture.stored)
     kept = "quyet_dinh string, n_entities long, entities map<string, array<struct<text:string>>>, relations array<struct<rel_type:string>>"
     read = E.result_json(made.results).select("doc_id", F.from_json("json", kept).alias("r"))
     return read.select("doc_id", F.size("r.entities").alias("labels"), "r.n_entities", F.size("r.relations").alias("n_relations"), (F.col("r.quyet_dinh") != "").alias("has_decision"))

@@ -33,3 +33,21 @@ def test_normalize_of_odd_texts(spark):
     want = ["bị cáo x y", 'a bc - "d"', "ma túy tàng trữ", " a b ", "", None, " a", " "]
     found = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", T.normalize(F.col("t")).alias("n")).orderBy("k").collect()
     assert [r["n"] for r in found] == want
+
+
+def test_entities_of_decisions_alone_have_the_same_order(spark, sf_dir):
+    from lexlake.plans import judgment_queries as Q
+
+    shown = ["doc_id", "label", "text", "start", "end", "ord"]
+    assert Q._decided(spark, sf_dir).select(*shown).exceptAll(Q._ordered(spark, sf_dir).select(*shown)).count() == 0
+
+
+def test_views_read_records_once_and_send_nothing_through_the_driver(spark, sf_dir):
+    from lexlake.plans import registry
+
+    queries, _ = registry.load()
+    plan = lambda name: queries[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    for name in ("judgment_report", "judgment_highlighted", "judgment_result_json"):
+        made = plan(name)
+        assert "Broadcast" not in made and "Generate posexplode(concat" not in made, name
+    assert plan("judgment_display_rows").count("orders.parquet") == 1
