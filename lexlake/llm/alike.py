@@ -3,7 +3,8 @@
 A text's words (A-Z lower-cased, split at ASCII white space) form a set of 5-word shingles, held as XXH64 hashes. Two texts
 link when the Jaccard similarity of their sets is 0.8 or more; links are exact but for collisions of 64-bit hashes.
 
-Search. Candidates are texts that agree on all ROWS MinHashes of one of BANDS bands: a pair of similarity s is missed with
+Search. First the SimHash operator's Gray-order index finds the texts whose fingerprints, made of the same shingles, lie within its bits; those that are
+alike indeed are joined. Alike texts may lie further apart, where the index selects nothing, so more candidates are texts that agree on all ROWS MinHashes of one of BANDS bands: a pair of similarity s is missed with
 probability (1 - s^ROWS)^BANDS, 6e-5 at 0.8. In PIVOTS rounds, each bucket's members are checked against one member of the bucket's
 largest component, another in each round, and components grow together. What then still lies outside the largest is checked against
 all members of other components; in a bucket of more than CROWD members only against those with which it shares one of its first
@@ -60,6 +61,14 @@ def _band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(flat[k * width : (k + 1) * width], k) for k in range(BANDS)], np.uint64)
 
 
+def _fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of shingles: a bit is 1 if set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        ones += np.unpackbits(hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
 NAME = ["doc_id", "text_hash", "row_hash"]
 
 
@@ -69,7 +78,7 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def shingle_rows(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, text_hash, row_hash, node (the hash of the set), n (its size) and keys (of its bands) of each row."""
+    """doc_id, text_hash, row_hash, node (the hash of the set), n (its size), fp (its fingerprint) and keys (of its bands) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,9 +86,10 @@ def shingle_rows(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             keys = np.concatenate([_band_keys(s) for s in sets] or [np.array([], np.uint64)]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node), pa.array([len(s) for s in sets], pa.int64()), lists], [*NAME, "node", "n", "keys"])
+            prints = np.array([_fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), lists], [*NAME, "node", "n", "fp", "keys"])
 
-    return _named(docs).mapInArrow(run, "doc_id long, text_hash long, row_hash long, node long, n long, keys array<long>")
+    return _named(docs).mapInArrow(run, "doc_id long, text_hash long, row_hash long, node long, n long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -112,6 +122,19 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return common.checkpoint(roots.join(found, "root", "left").select("node", F.coalesce("least", "root").alias("root")))
 
 
+def _indexed(nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that the Gray-order index over the fingerprints of nodes (node, n, fp) links: one node of each fingerprint with that of the
+    least one of its group, and the others of a fingerprint with that one."""
+    from .simhash import links
+
+    prints = common.checkpoint(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("one")))
+    of = lambda name: prints.select(F.col("fp").alias(name), F.col("one").alias(f"one_{name}"))
+    between = links(prints.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("one_a").alias("x"), F.col("one_b").alias("y"))
+    within = nodes.join(prints, "fp").where(F.col("node") != F.col("one.node")).select(F.struct("node", "n").alias("x"), F.col("one").alias("y"))
+    pairs = between.union(within).where(_sized(F.col("x.n"), F.col("y.n"), least))
+    return common.checkpoint(pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
+
+
 def _pivoted(placed: DataFrame, number: int, least: float) -> DataFrame:
     """Pairs (a, b): in each bucket, the members of other components with one member of the largest, another in each round."""
     draw = F.struct(F.xxhash64("node", "key", F.lit(number)).alias("draw"), "node", "n")
@@ -177,14 +200,16 @@ def label_alike(docs: DataFrame, words: int = SHINGLE_WORDS, least: float = LEAS
     """
     rows = common.checkpoint(shingle_rows(docs, words))
     name = F.struct(F.col("doc_id").isNull().alias("no_id"), *NAME)
-    nodes = common.checkpoint(rows.groupBy("node").agg(F.min(name).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    nodes = common.checkpoint(rows.groupBy("node").agg(F.min(name).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    near = _indexed(nodes.select("node", "n", "fp"), least)
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("count")).where("count > 1").select("key")
     members = common.checkpoint(keyed.join(buckets, "key"))
-    candidates = nodes.join(members.select("node").distinct(), "node", "left_semi").select("first.text_hash", "node")
+    sought = members.select("node").union(near.select("a")).union(near.select("b")).distinct()
+    candidates = nodes.join(sought, "node", "left_semi").select("first.text_hash", "node")
     sets = common.checkpoint(_sets(docs, candidates, words))
 
-    roots = candidates.select("node", F.col("node").alias("root"))
+    roots = _merged(candidates.select("node", F.col("node").alias("root")), _alike(near, sets, least))
     for number in range(PIVOTS):
         roots = _merged(roots, _alike(_pivoted(members.join(roots, "node"), number, least), sets, least))
     placed = members.join(roots, "node")
