@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import compare_key
+from .text import compare_key, let
 
 # Label, keys, explanation; earlier rows win. Keys may carry a space that must stand in the text.
 GLOSS = [
@@ -66,13 +66,17 @@ DEFAULTS = {
 
 def describe(label: Column, text: Column) -> Column:
     """The explanation of an entity; empty for labels without a dictionary. One chain of conditions: the dictionary is fixed and small."""
-    key = compare_key(text, quotes=True)
-    chain = None
-    for own, keys, explanation in GLOSS:
-        hit = F.lit(False)
-        for k in keys:
-            hit = hit | key.contains(k)
-        chain = (F if chain is None else chain).when((label == own) & hit, explanation)
-    for own, explanation in DEFAULTS.items():
-        chain = chain.when(label == own, explanation)
-    return chain.otherwise("")
+
+    def explained(key: Column) -> Column:
+        chain = None
+        for own, keys, explanation in GLOSS:
+            hit = F.lit(False)
+            for k in keys:
+                hit = hit | key.contains(k)
+            chain = (F if chain is None else chain).when((label == own) & hit, explanation)
+        for own, explanation in DEFAULTS.items():
+            chain = chain.when(label == own, explanation)
+        return chain.otherwise("")
+
+    # the key is made once, not for each word that is looked for in it
+    return let(compare_key(text, quotes=True), explained)
