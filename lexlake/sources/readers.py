@@ -141,7 +141,9 @@ def merge_annotated(spark: SparkSession, folder: str, exclude: tuple[str, ...] =
 
 def paragraph_table(paragraphs: DataFrame) -> DataFrame:
     """Paragraphs (doc_id, source, para_idx, style, text) in one shape, whatever they come with; empty ones are dropped."""
-    return paragraphs.select("doc_id", T.source_key(F.col("source")).alias("source"), F.col("para_idx").cast("int").alias("para_idx"), F.coalesce("style", F.lit("")).alias("style"), T.normalize(F.col("text"), "annotated").alias("text")).where("text != ''")
+    # as a generated column the text is made once; the filter above would make it again
+    made = paragraphs.withColumn("text", F.explode(F.array(T.normalize(F.col("text"), "annotated")))).where("text != ''")
+    return made.select("doc_id", T.source_key(F.col("source")).alias("source"), F.col("para_idx").cast("int").alias("para_idx"), F.coalesce("style", F.lit("")).alias("style"), "text")
 
 
 def load_metrics(frames: dict[str, DataFrame], labels: list[str]) -> DataFrame:
